@@ -28,6 +28,11 @@ def finite(value: Column | str) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
+def finite_sql(name: str) -> str:
+    """The same as SQL text, for expressions built as strings."""
+    return f"if(isnan({name}) or abs({name}) = double('infinity'), null, {name})"
+
+
 def clean_ticker(value: Column | str) -> Column:
     c = F.col(value) if isinstance(value, str) else value
     return F.upper(F.trim(c.cast("string")))

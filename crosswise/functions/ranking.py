@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import Layout, resolve
 
 
 def add_group_stats(
-    df: DataFrame, keys: Sequence[str], stats: dict[str, Column], layout: Layout | None = None
+    df: DataFrame, keys: Sequence[str], stats: dict[str, str], layout: Layout | None = None
 ) -> DataFrame:
     """Attach group aggregates to every row of the group.
 
+    `stats` maps a name to SQL in which @ marks each aggregate call, e.g.
+    "avg(x) @" or "stddev_pop(x) @".
+
     Within the task bound this is an unordered window (no second pass over the
     input). Beyond it the aggregates are combined map-side and joined back, so
     that a hot group is never gathered in one task; AQE broadcasts the small
@@ -22,9 +25,9 @@ def add_group_stats(
     """
     layout = resolve(layout, df, keys)
     if layout.splits == 1:
-        w = Window.partitionBy(*keys)
-        return df.select("*", *[expr.over(w).alias(name) for name, expr in stats.items()])
-    grouped = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in stats.items()])
+        over = f"over (partition by {', '.join(keys)})"
+        return df.selectExpr("*", *[f"{sql.replace('@', over)} as {name}" for name, sql in stats.items()])
+    grouped = df.groupBy(*keys).agg(*[F.expr(sql.replace("@", "")).alias(name) for name, sql in stats.items()])
     return df.join(grouped, list(keys))
 
 
@@ -53,22 +56,25 @@ def add_ranks(
 
 
 def _ranks_in_one_task(df, keys, value, tie, descending, position, average, count):
-    v = F.col(value)
-    first = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    present = v.isNotNull()
-    pos = position or "__pos"
-    keep = list(df.columns)
-    out = df.withColumn(
-        pos,
-        F.when(present, F.row_number().over(Window.partitionBy(*keys).orderBy(first, *tie))),
-    )
+    by = ", ".join(keys)
+    first = f"{value} {'desc' if descending else 'asc'} nulls last"
+    out = df
+    if position:
+        total = ", ".join([first, *tie])
+        out = out.withColumn(
+            position,
+            F.expr(f"if({value} is null, null, row_number() over (partition by {by} order by {total}))"),
+        )
+    # Ties are contiguous in the order above, so one more window node gives the
+    # first and last place of each tie and the group size without another sort.
+    spec = f"partition by {by} order by {first}"
+    extras = []
     if average:
-        # Ties are contiguous in the order above, so this frame reuses the sort.
-        ties = Window.partitionBy(*keys, value)
-        out = out.withColumn(average, (F.min(pos).over(ties) + F.max(pos).over(ties)) / 2.0)
+        last = f"count({value}) over ({spec} range between unbounded preceding and current row)"
+        extras.append(f"if({value} is null, null, (rank() over ({spec}) + {last}) / 2.0D) as {average}")
     if count:
-        out = out.withColumn(count, F.count(value).over(Window.partitionBy(*keys)))
-    return out.select(*keep, *[c for c in (position, average, count) if c])
+        extras.append(f"count({value}) over ({spec} rows between unbounded preceding and unbounded following) as {count}")
+    return out.selectExpr("*", *extras) if extras else out
 
 
 def _ranks_by_range(df, keys, value, tie, descending, position, average, count, layout):

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import require_none
-from ..functions.columns import finite
+from ..functions.columns import finite, finite_sql
 from ..functions.layout import Layout, resolve
 from ..functions.ranking import add_ranks
-from .portfolio import cost_scenarios, information_ratio, long_short_positions, weekly_trades
+from .portfolio import cost_scenarios, information_ratio, long_only_weekly, long_short_weight, weekly_book
 
 MODEL_WEEK = ("model", "week_date")
 
@@ -68,63 +68,51 @@ def ic_statistics(weekly: DataFrame, ic: str = "spearman_ic", keys: Sequence[str
 # --- rank state shared by E3-E8 ----------------------------------------------
 
 
-def relevance(first_rank: Column, n: Column) -> Column:
+def relevance(first_rank: str, n: str) -> str:
     """Label 0-4 from the first-tie rank of the outcome (W6's scale)."""
-    label = F.ceil(first_rank / n * 5) - 1
-    return F.when(n < 2, 0).otherwise(F.least(F.greatest(label, F.lit(0)), F.lit(4))).cast("int")
+    return f"cast(if({n} < 2, 0, least(greatest(ceil({first_rank} / {n} * 5) - 1, 0), 4)) as int)"
+
+
+STATE = ("place", "n", "__t", "__first", "__rs", "__rt", "label")
 
 
 def rank_state(
     frame: DataFrame, keys: Sequence[str], *, score: str, target: str, layout: Layout | None = None
 ) -> DataFrame:
-    """Scored rows with everything the ranking metrics read: score place (1 =
-    best), outcome place (1 = worst), both average ranks, group size, label."""
+    """Everything the ranking metrics read, per row: score place (1 = best),
+    scored names in the group, outcome place (1 = worst), both average ranks and
+    the label. Rows without a score stay, unranked, so that empty groups show."""
     layout = resolve(layout, frame, keys)
-    scored = frame.filter(finite(score).isNotNull()).withColumn("__t", finite(target))
-    placed = add_ranks(scored, keys, score, tie=["ticker"], descending=True, position="place", average="__rs", count="n", layout=layout)
+    clean = frame.selectExpr("*", f"{finite_sql(score)} as __s", f"if({finite_sql(score)} is null, null, {finite_sql(target)}) as __t")
+    placed = add_ranks(clean, keys, "__s", tie=["ticker"], descending=True, position="place", average="__rs", count="n", layout=layout)
     placed = add_ranks(placed, keys, "__t", tie=["ticker"], position="__first", average="__rt", layout=layout)
-    return placed.withColumn("label", F.when(F.col("__first").isNotNull(), relevance(F.col("__first"), F.col("n"))))
-
-
-def _gain(label: Column, place: Column, k: Column) -> Column:
-    return F.sum(F.when(place <= k, label / F.log2(place + 1.0)))
+    return placed.selectExpr("*", f"if(__first is null, null, {relevance('__first', 'n')}) as label").drop("__s")
 
 
-def _ndcg(dcg: Column, ideal: Column, empty: Column) -> Column:
-    return F.when(ideal > 0, dcg / ideal).otherwise(empty)
+def _ndcg_sql(k: str, side: str = "long", empty: str = "0D") -> str:
+    """NDCG as one aggregate. Labels rise with the outcome place, so the ideal
+    order is the outcome order itself: no extra sort. The short side reverses
+    both orders and flips the labels."""
+    gain, place, best = ("label", "place", "(n + 1 - __first)") if side == "long" else ("(4 - label)", "(n + 1 - place)", "__first")
+    def total(at):
+        return f"sum({gain} / log2({at} + 1)) filter (where {at} <= {k})"
+    return f"if({total(best)} > 0, {total(place)} / {total(best)}, {empty})"
 
 
-def dcg_columns(k: Column, suffix: str = "") -> list[Column]:
-    """Aggregates for NDCG on both sides. Labels rise with the outcome place, so
-    the ideal order is the outcome order itself: no extra sort."""
-    n, place, first, label = F.col("n"), F.col("place"), F.col("__first"), F.col("label")
-    flipped = 4 - label
-    return [
-        _gain(label, place, k).alias(f"__dcg_long{suffix}"),
-        _gain(label, n + 1 - first, k).alias(f"__ideal_long{suffix}"),
-        _gain(flipped, n + 1 - place, k).alias(f"__dcg_short{suffix}"),
-        _gain(flipped, first, k).alias(f"__ideal_short{suffix}"),
-    ]
-
-
-def _rank_corr() -> Column:
-    varied = (F.min("__rs") < F.max("__rs")) & (F.min("__rt") < F.max("__rt"))
-    return F.when(varied, F.corr("__rt", "__rs"))
+# A group is evaluated only when every scored name has an outcome.
+WHOLE = "max(n) > 0 and max(n) = count(__t)"
+# Score ranks run from the best score down, hence the sign.
+RANK_IC = "if(min(__rs) < max(__rs) and min(__rt) < max(__rt), -corr(__rt, __rs), null)"
 
 
 def ndcg_at(
     frame: DataFrame, k: int, keys: Sequence[str] = MODEL_WEEK, *, score: str = "prediction", target: str = "active_return_fwd",
-    empty: float | None = 0.0, layout: Layout | None = None,
+    empty: str = "0D", layout: Layout | None = None,
 ) -> DataFrame:
     """Long-side NDCG at min(k, n); weeks with a missing outcome are withheld."""
     state = rank_state(frame, keys, score=score, target=target, layout=layout)
-    depth = F.least(F.lit(k), F.col("n"))
-    sums = state.groupBy(*keys).agg(
-        F.max("n").alias("n_scored"), F.count("__t").alias("n_observed"), *dcg_columns(depth)
-    )
-    whole = F.col("n_scored") == F.col("n_observed")
-    value = _ndcg(F.col("__dcg_long"), F.col("__ideal_long"), F.lit(empty).cast("double"))
-    return sums.select(*keys, "n_scored", F.when(whole, value).alias("ndcg"))
+    value = f"if({WHOLE}, {_ndcg_sql(f'least({k}, n)', empty=empty)}, null)"
+    return state.groupBy(*keys).agg(F.expr("max(n)").alias("n_scored"), F.expr(value).alias("ndcg"))
 
 
 def symmetric_ndcg(
@@ -133,18 +121,11 @@ def symmetric_ndcg(
 ) -> DataFrame:
     """Mean of long and short NDCG at ceil(n / 5)."""
     state = rank_state(frame, keys, score=score, target=target, layout=layout)
-    sums = state.groupBy(*keys).agg(
-        F.max("n").alias("n_scored"), F.count("__t").alias("n_observed"), *dcg_columns(F.ceil(F.col("n") / 5))
-    )
-    long_side = _ndcg(F.col("__dcg_long"), F.col("__ideal_long"), F.lit(0.0))
-    short_side = _ndcg(F.col("__dcg_short"), F.col("__ideal_short"), F.lit(0.0))
-    whole = F.col("n_scored") == F.col("n_observed")
-    return sums.select(
-        *keys, "n_scored",
-        F.when(whole, long_side).alias("long_ndcg"),
-        F.when(whole, short_side).alias("short_ndcg"),
-        F.when(whole, (long_side + short_side) * 0.5).alias("ls_ndcg"),
+    sides = {side: f"if({WHOLE}, {_ndcg_sql('ceil(n / 5)', side)}, null)" for side in ("long", "short")}
+    both = state.groupBy(*keys).agg(
+        F.expr("max(n)").alias("n_scored"), *[F.expr(sql).alias(f"{side}_ndcg") for side, sql in sides.items()]
     )
+    return both.selectExpr("*", "(long_ndcg + short_ndcg) * 0.5D as ls_ndcg")
 
 
 def evaluate_scores(
@@ -154,39 +135,25 @@ def evaluate_scores(
     """E5: weekly ranking evaluation. Both sides hold ceil(20%) of the scored
     names; a missing outcome withholds the week's outcome metrics only."""
     keys = [*series, "week_date"]
-    layout = resolve(layout, frame, keys)
     state = rank_state(frame, keys, score=score, target=target, layout=layout)
-    n, place = F.col("n"), F.col("place")
-    k = F.ceil(F.lit(0.20) * n)
-    is_long, is_short = place <= k, place > n - k
-    sums = state.groupBy(*keys).agg(
-        F.max("n").alias("n_scored"), F.count("__t").alias("n_observed"), *dcg_columns(k),
-        F.avg(F.when(is_long, F.col("__t"))).alias("__long"), F.avg(F.when(is_short, F.col("__t"))).alias("__short"),
-        _rank_corr().alias("__ic"),
+    k = "ceil(0.2D * n)"
+    long_side, short_side = f"place <= {k}", f"place > n - {k}"
+    rows = state.selectExpr(
+        *keys, "ticker", *STATE, f"case when n < 2 then null when {long_side} then 1D / {k} when {short_side} then -1D / {k} end as weight"
     )
-    weight = F.when(is_long, 1.0).otherwise(0.0) - F.when(is_short, 1.0).otherwise(0.0)
-    held = state.filter((n >= 2) & (is_long | is_short)).select(*keys, "ticker", (weight / k).alias("weight")).filter("weight <> 0")
-    weeks = frame.select(*keys).distinct()
-    trades = weekly_trades(held, weeks, series)
-    sizes = weeks.join(sums, keys, "left")
-    joined = sizes.join(trades, keys)
-    enough = F.coalesce(F.col("n_scored") >= 2, F.lit(False))
-    whole = enough & (F.col("n_scored") == F.col("n_observed"))
-    long_side = _ndcg(F.col("__dcg_long"), F.col("__ideal_long"), F.lit(0.0))
-    short_side = _ndcg(F.col("__dcg_short"), F.col("__ideal_short"), F.lit(0.0))
-    # A week too small to hold anything also breaks the turnover chain after it.
-    w = Window.partitionBy(*series).orderBy("week_date")
-    chained = F.col("consecutive") & enough & F.coalesce(F.lag("n_scored").over(w) >= 2, F.lit(False))
-    return joined.select(
-        *keys,
-        F.coalesce("n_scored", F.lit(0)).alias("n_scored"),
-        F.coalesce("n_observed", F.lit(0)).alias("n_observed"),
-        F.when(whole, long_side).alias("long_ndcg"),
-        F.when(whole, short_side).alias("short_ndcg"),
-        F.when(whole, (long_side + short_side) * 0.5).alias("ls_ndcg"),
-        F.when(whole, F.col("__long") - F.col("__short")).alias("q1_q5_spread"),
-        F.when(whole, F.col("__ic")).alias("spearman"),
-        F.when(chained, F.col("traded") / 2).alias("turnover"),
+    ok = f"max(n) >= 2 and {WHOLE}"
+    aggregates = {
+        "n_scored": "max(n)",
+        "n_observed": "count(__t)",
+        "long_ndcg": f"if({ok}, {_ndcg_sql(k)}, null)",
+        "short_ndcg": f"if({ok}, {_ndcg_sql(k, 'short')}, null)",
+        "q1_q5_spread": f"if({ok}, avg(__t) filter (where {long_side}) - avg(__t) filter (where {short_side}), null)",
+        "spearman": f"if({ok}, {RANK_IC}, null)",
+    }
+    weekly = weekly_book(rows, series, aggregates, STATE)
+    return weekly.selectExpr(
+        *keys, "n_scored", "n_observed", "long_ndcg", "short_ndcg", "(long_ndcg + short_ndcg) * 0.5D as ls_ndcg",
+        "q1_q5_spread", "spearman", "if(consecutive, traded / 2, null) as turnover",
     )
 
 
@@ -211,30 +178,48 @@ def fold_summary(folds: DataFrame, keys: Sequence[str] = ("candidate",)) -> Data
 
 # --- E7 and the weekly extras of B9 ------------------------------------------
 
+# Capture of the actual top 20%, rank IC and NDCG@50, over rows that carry the
+# rank state, the outcome place from the top (__best) and the held weight (__w).
+WEEKLY_METRICS = {
+    "q1_capture": f"if({WHOLE}, count_if(__best <= ceil(0.2D * n) and __w > 0) / count_if(__best <= ceil(0.2D * n)), null)",
+    "rank_ic": f"if({WHOLE}, {RANK_IC}, null)",
+    "ndcg_at_50": f"if({WHOLE}, {_ndcg_sql('least(50, n)', empty='null')}, null)",
+}
 
-def weekly_rank_metrics(
-    frame: DataFrame, book: DataFrame, series: Sequence[str] = ("model",), *, score: str = "score", target: str = "active_return_train",
-    layout: Layout | None = None,
+
+def metric_state(
+    frame: DataFrame, series: Sequence[str] = ("model",), *, score: str = "score", target: str = "active_return_train", layout: Layout | None = None
 ) -> DataFrame:
-    """E7 capture of the actual top 20%, rank IC and NDCG@50 per week; all
-    missing when any outcome of the week is missing. `book` is the held set."""
+    """Rank state plus __best and the exact top-20% weight of each row."""
     keys = [*series, "week_date"]
+    layout = resolve(layout, frame, keys)
     state = rank_state(frame, keys, score=score, target=target, layout=layout)
-    top = add_ranks(state, keys, "__t", tie=["ticker"], descending=True, position="__best", layout=resolve(layout, state, keys))
-    marked = top.join(book.select(*keys, "ticker", F.lit(1).alias("__held")), [*keys, "ticker"], "left")
-    actual = F.col("__best") <= F.ceil(F.lit(0.20) * F.col("n"))
-    depth = F.least(F.lit(50), F.col("n"))
-    sums = marked.groupBy(*keys).agg(
-        F.max("n").alias("__n"), F.count("__t").alias("__seen"), *dcg_columns(depth),
-        F.try_divide(F.count(F.when(actual & F.col("__held").isNotNull(), 1)), F.count(F.when(actual, 1))).alias("__capture"),
-        _rank_corr().alias("__ic"),
-    )
-    whole = F.col("__n") == F.col("__seen")
-    return sums.select(
-        *keys,
-        F.when(whole, F.col("__capture")).alias("q1_capture"),
-        F.when(whole, F.col("__ic")).alias("rank_ic"),
-        F.when(whole, _ndcg(F.col("__dcg_long"), F.col("__ideal_long"), F.lit(None).cast("double"))).alias("ndcg_at_50"),
+    best = add_ranks(state, keys, "__t", tie=["ticker"], descending=True, position="__best", layout=layout)
+    return best.selectExpr("*", "if(place <= ceil(0.2D * n), 1D / ceil(0.2D * n), null) as weight")
+
+
+def weekly_rank_metrics(
+    frame: DataFrame, series: Sequence[str] = ("model",), *, book: DataFrame | None = None, score: str = "score",
+    target: str = "active_return_train", layout: Layout | None = None,
+) -> DataFrame:
+    """E7 and companions per week, all missing when an outcome is missing.
+    `book` replaces the exact top 20% as the held set."""
+    keys = [*series, "week_date"]
+    state = metric_state(frame, series, score=score, target=target, layout=layout)
+    if book is not None:
+        state = state.drop("weight").join(book.select(*keys, "ticker", "weight"), [*keys, "ticker"], "left")
+    return state.withColumn("__w", F.col("weight")).groupBy(*keys).agg(*[F.expr(sql).alias(k) for k, sql in WEEKLY_METRICS.items()])
+
+
+def evaluate_exact_q1(
+    frame: DataFrame, series: Sequence[str] = ("model",), *, score: str = "score", active: str = "raw_active_return",
+    stock: str | None = None, target: str = "active_return_train", cost_bps: float = 5, layout: Layout | None = None,
+) -> DataFrame:
+    """B9 with E7 for the exact top 20%: ranks, returns, trades and metrics of
+    every week in one pass over the scored rows."""
+    state = metric_state(frame, series, score=score, target=target, layout=layout)
+    return long_only_weekly(
+        state, series, active=active, stock=stock, cost_bps=cost_bps, extra=WEEKLY_METRICS, carry=[*STATE, "__best"]
     )
 
 
@@ -252,60 +237,40 @@ def quintile_violations(members: DataFrame, layout: Layout | None = None) -> Dat
 
 def comparative_weekly(members: DataFrame, layout: Layout | None = None, check: bool = False) -> DataFrame:
     """E8, weekly part: rank metrics, Q1-Q5 spreads, turnover and the flags of
-    weeks usable by every model, per metric family."""
+    weeks usable by every model, per metric family. `check` also verifies the
+    stored quintiles."""
     layout = resolve(layout, members, MODEL_WEEK)
     if check:
         require_none(quintile_violations(members, layout), "Quintiles are not Q1-high with ticker tie breaks")
-    series = ["model"]
-    weeks = members.select(*MODEL_WEEK).distinct()
     state = rank_state(members, MODEL_WEEK, score="prediction", target="active_return_fwd", layout=layout)
-    seen = F.lit(True)
-    for c in ("stock_return_fwd", "sector_return_fwd", "raw_active_return_fwd"):
-        seen = seen & finite(c).isNotNull()
-    n = F.col("n")
-    bucket = F.floor((F.col("place") - 1) * 5 / n) + 1
-    def spread(c):
-        return F.avg(F.when(bucket == 1, F.col(c))) - F.avg(F.when(bucket == 5, F.col(c)))
-    sums = state.groupBy(*MODEL_WEEK).agg(
-        F.max("n").alias("__n"), F.count("__t").alias("__targets"), F.count(F.when(seen, 1)).alias("__returns"),
-        *dcg_columns(F.least(F.lit(50), n)), _rank_corr().alias("__ic"),
-        spread("raw_active_return_fwd").alias("__active"), spread("stock_return_fwd").alias("__stock"),
-    )
-    scored = members.filter(finite("prediction").isNotNull())
-    legs = long_short_positions(scored, series, "prediction", layout).filter("weight is not null")
-    trades = weekly_trades(legs.select(*MODEL_WEEK, "ticker", "weight"), weeks, series)
-    w = Window.partitionBy("model").orderBy("week_date")
-    joined = weeks.join(sums, list(MODEL_WEEK), "left").join(trades, list(MODEL_WEEK))
-    size = F.coalesce("__n", F.lit(0))
-    enough = size >= 5
-    ranked, returned = enough & (F.col("__targets") == F.col("__n")), enough & (F.col("__returns") == F.col("__n"))
-    chained = F.col("consecutive") & enough & F.coalesce(F.lag("__n").over(w) >= 5, F.lit(False))
-    weekly = joined.select(
-        *MODEL_WEEK,
-        size.alias("scored_stocks"),
-        F.least(F.lit(50), size).alias("effective_ndcg_k"),
-        F.when(ranked, F.col("__ic")).alias("rank_ic"),
-        F.when(ranked, _ndcg(F.col("__dcg_long"), F.col("__ideal_long"), F.lit(0.0))).alias("ndcg_at_50"),
-        F.when(returned, F.col("__active")).alias("q1_q5_active_return"),
-        F.when(returned, F.col("__stock")).alias("q1_q5_stock_return"),
-        F.when(chained, F.col("traded") / 2).alias("turnover"),
+    returns = ("stock_return_fwd", "sector_return_fwd", "raw_active_return_fwd")
+    seen = " and ".join(f"{finite_sql(c)} is not null" for c in returns)
+    rows = state.selectExpr(
+        *MODEL_WEEK, "ticker", *STATE, f"if(place is null, null, {seen}) as __seen", "raw_active_return_fwd as __a", "stock_return_fwd as __r",
+        f"{long_short_weight()} as weight", f"{long_short_weight()} as __w",
     )
+    def spread(c):
+        return f"avg({c}) filter (where __w > 0) - avg({c}) filter (where __w < 0)"
+    ranked, returned = f"max(n) >= 5 and {WHOLE}", "max(n) >= 5 and max(n) = count_if(__seen)"
+    aggregates = {
+        "scored_stocks": "max(n)",
+        "effective_ndcg_k": "least(50, max(n))",
+        "rank_ic": f"if({ranked}, {RANK_IC}, null)",
+        "ndcg_at_50": f"if({ranked}, {_ndcg_sql('least(50, n)')}, null)",
+        "q1_q5_active_return": f"if({returned}, {spread('__a')}, null)",
+        "q1_q5_stock_return": f"if({returned}, {spread('__r')}, null)",
+    }
+    weekly = weekly_book(rows, ["model"], aggregates, [*STATE, "__seen", "__a", "__r", "__w"])
+    weekly = weekly.selectExpr(*MODEL_WEEK, *aggregates, "if(consecutive, traded / 2, null) as turnover")
+    # (model, week) is unique in this small table, so counting rows counts models.
+    models = weekly.select("model").distinct().agg(F.count(F.lit(1)).alias("__models"))
     families = {
-        "ranking": ["rank_ic", "ndcg_at_50"],
-        "returns": ["q1_q5_active_return", "q1_q5_stock_return"],
-        "turnover": ["turnover"],
+        "ranking": "rank_ic is not null and ndcg_at_50 is not null",
+        "returns": "q1_q5_active_return is not null and q1_q5_stock_return is not null",
+        "turnover": "turnover is not null",
     }
-    flags = {}
-    for name, columns in families.items():
-        usable = F.lit(True)
-        for c in columns:
-            usable = usable & F.col(c).isNotNull()
-        flags[f"common_{name}_week"] = usable
-    # (model, week) is unique here, so counting usable rows counts models.
-    models = members.select("model").distinct().agg(F.count(F.lit(1)).alias("__models"))
-    per_week = weekly.groupBy("week_date").agg(*[F.count(F.when(f, 1)).alias(f"__{name}") for name, f in flags.items()])
-    common = per_week.crossJoin(F.broadcast(models)).select("week_date", *[(F.col(f"__{f}") == F.col("__models")).alias(f) for f in flags])
-    return weekly.join(common, "week_date")
+    flags = [f"count_if({sql}) over (partition by week_date) = __models as common_{name}_week" for name, sql in families.items()]
+    return weekly.crossJoin(F.broadcast(models)).selectExpr(*weekly.columns, *flags)
 
 
 def comparative_summary(weekly: DataFrame) -> DataFrame:

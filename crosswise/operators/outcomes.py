@@ -9,39 +9,58 @@ from ..functions.checks import require_none
 from ..functions.columns import close_to
 from ..functions.layout import Layout, resolve
 from ..functions.ranking import add_group_stats
-from ..functions.timeseries import by_ticker
-from .panel import TARGET, cross_sectional_scores, observed_weeks
+from .panel import TARGET, cross_sectional_scores, observed_weeks, winsor_rank, zscore
 
 
 def with_benchmark(returns: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Sector mean over the whole universe of the week, and the active return."""
     layout = resolve(layout, returns, ["week_date", "sector"])
-    stats = add_group_stats(returns, ["week_date", "sector"], {"sector_return": F.avg("return_1w")}, layout)
+    stats = add_group_stats(returns, ["week_date", "sector"], {"sector_return": "avg(return_1w) @"}, layout)
     return stats.withColumn("raw_active_return", F.col("return_1w") - F.col("sector_return"))
 
 
-def forward_returns(returns: DataFrame, layout: Layout | None = None) -> DataFrame:
+def _lead_exact(names: dict[str, str]) -> list[str]:
+    w = "over (partition by ticker order by week_date)"
+    return [f"if(lead(week_date) {w} = next_week_date, lead({src}) {w}, null) as {dst}" for dst, src in names.items()]
+
+
+AHEAD = {
+    "stock_return_fwd": "return_1w",
+    "sector_return_fwd": "sector_return",
+    "raw_active_return_fwd": "raw_active_return",
+}
+
+
+def forward_returns(returns: DataFrame, layout: Layout | None = None, weeks: DataFrame | None = None) -> DataFrame:
     """O1/O2: stock, sector and active return at the next observed week.
 
     `returns`: (ticker, sector, week_date, return_1w), one row per ticker-week.
     The exact next week is required; a missing ticker-week is never skipped.
     """
-    based = with_benchmark(returns, layout).join(
-        observed_weeks(returns).select("week_date", "next_week_date"), "week_date"
-    )
-    w = by_ticker("week_date")
-    follows = F.lead("week_date").over(w) == F.col("next_week_date")
-    ahead = {
-        "stock_return_fwd": "return_1w",
-        "sector_return_fwd": "sector_return",
-        "raw_active_return_fwd": "raw_active_return",
-    }
-    out = based.select(
-        "ticker", "sector", "week_date", "next_week_date",
-        *[F.when(follows, F.lead(src).over(w)).alias(dst) for dst, src in ahead.items()],
-    )
-    source = F.when(F.col("stock_return_fwd").isNotNull(), "raw_feature_snapshot").otherwise("unobserved")
-    return out.withColumn("return_source", source).withColumn("return_source_url", F.lit(None).cast("string"))
+    weeks = observed_weeks(returns) if weeks is None else weeks
+    based = with_benchmark(returns, layout).join(weeks.select("week_date", "next_week_date"), "week_date")
+    out = based.selectExpr("ticker", "sector", "week_date", "next_week_date", *_lead_exact(AHEAD))
+    source = "if(stock_return_fwd is not null, 'raw_feature_snapshot', 'unobserved')"
+    return out.selectExpr("*", f"{source} as return_source", "cast(null as string) as return_source_url")
+
+
+def realized_outcomes(
+    returns: DataFrame, layout: Layout | None = None, lower: float = 0.01, upper: float = 0.99, weeks: DataFrame | None = None
+) -> DataFrame:
+    """O1 together with the normalized target, for rows that carry their own
+    score inputs: every column of `returns` passes through, and the four
+    next-week outcomes are read by one window per ticker. No join of the panel
+    with itself is planned.
+    """
+    layout = resolve(layout, returns, ["week_date"])
+    weeks = observed_weeks(returns) if weeks is None else weeks
+    if layout.splits == 1:
+        returns = returns.repartition("week_date")
+    based = with_benchmark(returns, layout)
+    ranked = winsor_rank(based, ["week_date", "sector"], "raw_active_return", "ticker", lower, upper, layout)
+    scored = zscore(ranked, ["week_date"], "percentile", TARGET, layout).drop("winsorized", "percentile")
+    joined = scored.join(weeks.select("week_date", "next_week_date"), "week_date")
+    return joined.selectExpr("*", *_lead_exact({**AHEAD, "active_return_fwd": TARGET}))
 
 
 def sector_benchmarks(returns: DataFrame) -> DataFrame:

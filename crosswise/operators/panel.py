@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import duplicate_keys, require_columns, require_none
-from ..functions.columns import FEATURE_DIRECTIONS, clean_ticker, close_to, epoch_or_date, finite, ticker_key
+from ..functions.columns import FEATURE_DIRECTIONS, clean_ticker, close_to, epoch_or_date, finite, finite_sql, ticker_key
 from ..functions.layout import Layout, resolve
 from ..functions.ranking import add_group_stats, add_ranks
 from ..functions.timeseries import by_ticker
@@ -77,65 +77,67 @@ def completed_sector_map(df: DataFrame) -> DataFrame:
 # --- P4 - P8: the cross-sectional transform ----------------------------------
 
 
-def to_long(df: DataFrame, ids: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+def to_long(df: DataFrame, ids: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
     """One row per (ids, feature). All features then share one sort and one
     chain of windows, and spread over tasks, instead of one chain per column."""
-    cells = F.array(*[F.struct(F.lit(name).alias("feature"), c.cast("double").alias("x")) for name, c in columns.items()])
-    return df.select(*ids, F.inline(cells))
+    cells = ", ".join(f"named_struct('feature', '{name}', 'x', cast({sql} as double))" for name, sql in columns.items())
+    return df.selectExpr(*ids, f"inline(array({cells}))")
 
 
-def winsor_rank(long: DataFrame, group: Sequence[str], tie: str, lower: float, upper: float, layout: Layout) -> DataFrame:
-    """P5 + P6 in one pass over the sorted group.
+def winsor_rank(df: DataFrame, group: Sequence[str], value: str, tie: str, lower: float, upper: float, layout: Layout) -> DataFrame:
+    """P5 + P6 in one pass over the sorted group: adds `winsorized` and
+    `percentile`.
 
-    The interpolated quantiles are read off the sorted positions, so no
-    percentile buffer is built. Clipped rows tie at the bounds; their average
-    rank follows from how many rows lie at or beyond each bound.
+    The interpolated quantiles are read off the rank positions, so no
+    percentile buffer is built; clipped rows tie at a bound, and their average
+    rank follows from the places of the values next to it.
     """
-    ranked = add_ranks(long, group, "x", tie=[tie], position="__p", average="__r", count="__n", layout=layout)
-
-    def at(q: float) -> tuple[Column, Column]:
-        place = (F.col("__n") - 1) * F.lit(q)
-        return F.floor(place), place - F.floor(place)
-
-    picks = {}
-    for side, q in (("lo", lower), ("hi", upper)):
-        base, _ = at(q)
-        for name, shift in ((f"__{side}0", 1), (f"__{side}1", 2)):
-            picks[name] = F.max(F.when(F.col("__p") == base + shift, F.col("x")))
-    bounded = add_group_stats(ranked, group, picks, layout)
-    for side, q in (("lo", lower), ("hi", upper)):
-        _, frac = at(q)
-        a, b = F.col(f"__{side}0"), F.coalesce(f"__{side}1", f"__{side}0")
-        bounded = bounded.withColumn(f"__{side}", a + (b - a) * frac)
-    counted = add_group_stats(
-        bounded,
-        group,
-        {
-            "__below": F.count(F.when(F.col("x") <= F.col("__lo"), 1)),
-            "__above": F.count(F.when(F.col("x") >= F.col("__hi"), 1)),
-        },
-        layout,
-    )
-    rank = (
-        F.when(F.col("x") <= F.col("__lo"), (F.col("__below") + 1) / 2.0)
-        .when(F.col("x") >= F.col("__hi"), F.col("__n") - (F.col("__above") - 1) / 2.0)
-        .otherwise(F.col("__r"))
-    )
-    clipped = F.when(F.col("x").isNotNull(), F.greatest(F.least(F.col("x"), F.col("__hi")), F.col("__lo")))
-    return counted.select(
-        *long.columns,
-        clipped.alias("winsorized"),
-        ((rank - 0.5) / F.col("__n")).alias("percentile"),
+    keep = df.columns
+    if layout.splits == 1:
+        spec = f"partition by {', '.join(group)} order by {value} nulls last"
+        ranked = df.selectExpr(
+            "*",
+            f"rank() over ({spec}) as __from",
+            f"count({value}) over ({spec} range between unbounded preceding and current row) as __to",
+            f"count({value}) over ({spec} rows between unbounded preceding and unbounded following) as __n",
+        )
+    else:
+        placed = add_ranks(df, group, value, tie=[tie], position="__p", count="__n", layout=layout)
+        ends = placed.groupBy(*group, value).agg(F.min("__p").alias("__from"), F.max("__p").alias("__to"))
+        # Missing values match nothing and keep null places.
+        ranked = placed.drop("__p").join(ends, [*group, value], "left")
+
+    def at(q: float, shift: int, what: str) -> str:
+        place = f"floor((__n - 1) * {q}D) + {1 + shift}"
+        return f"max(if({place} between __from and __to, {what}, null)) @"
+
+    picks = {
+        "__la": at(lower, 0, value), "__lb": at(lower, 1, value), "__la_to": at(lower, 0, "__to"), "__lb_to": at(lower, 1, "__to"),
+        "__ha": at(upper, 0, value), "__hb": at(upper, 1, value), "__ha_from": at(upper, 0, "__from"), "__hb_from": at(upper, 1, "__from"),
+    }
+    near = add_group_stats(ranked, group, picks, layout)
+
+    def bound(a: str, b: str, q: float) -> str:
+        place = f"(__n - 1) * {q}D"
+        return f"{a} + (coalesce({b}, {a}) - {a}) * ({place} - floor({place}))"
+
+    clipped = near.selectExpr("*", f"{bound('__la', '__lb', lower)} as __lo", f"{bound('__ha', '__hb', upper)} as __hi")
+    low_rank = "(if(__lo >= __lb, __lb_to, __la_to) + 1) / 2.0D"
+    high_rank = "(if(__hi <= __ha, __ha_from, __hb_from) + __n) / 2.0D"
+    rank = f"case when {value} <= __lo then {low_rank} when {value} >= __hi then {high_rank} else (__from + __to) / 2.0D end"
+    return clipped.selectExpr(
+        *keep,
+        f"if({value} is null, null, greatest(least({value}, __hi), __lo)) as winsorized",
+        f"if({value} is null, null, ({rank} - 0.5D) / __n) as percentile",
     )
 
 
 def zscore(df: DataFrame, group: Sequence[str], value: str, out: str, layout: Layout) -> DataFrame:
     """Population z-score; a constant cross-section scores 0."""
-    stats = add_group_stats(df, group, {"__mean": F.avg(value), "__std": F.stddev_pop(value)}, layout)
-    z = F.when(F.col("__std") > 1e-12, (F.col(value) - F.col("__mean")) / F.col("__std")).when(
-        F.col(value).isNotNull(), F.lit(0.0)
-    )
-    return stats.withColumn(out, z).drop("__mean", "__std")
+    keep = df.columns
+    stats = add_group_stats(df, group, {"__mean": f"avg({value}) @", "__std": f"stddev_pop({value}) @"}, layout)
+    z = f"case when __std > 1e-12D then ({value} - __mean) / __std when {value} is not null then 0.0D end"
+    return stats.selectExpr(*keep, f"{z} as {out}")
 
 
 def cross_sectional_scores(
@@ -148,21 +150,21 @@ def cross_sectional_scores(
     layout: Layout | None = None,
 ) -> DataFrame:
     """(ticker, sector, week_date, one score per feature, target)."""
-    check_arguments(directions, lower, upper)
     layout = resolve(layout, weekly, ["week_date"])
     if layout.splits == 1:
         # One exchange serves every (week, sector, feature) window and the pivot.
         weekly = weekly.repartition("week_date")
-    sector_week = ["week_date", "sector"]
-    ret = finite(return_column)
-    with_mean = add_group_stats(weekly.withColumn("__ret", ret), sector_week, {"__bench": F.avg("__ret")}, layout)
-    cells = {name: finite(name) * F.lit(float(sign)) for name, sign in directions.items()}
-    cells[TARGET] = F.col("__ret") - F.col("__bench")
+    cleaned = weekly.withColumn("__ret", finite(return_column))
+    with_mean = add_group_stats(cleaned, ["week_date", "sector"], {"__bench": "avg(__ret) @"}, layout)
+    cells = {name: f"{sign} * {finite_sql(name)}" for name, sign in directions.items()}
+    cells[TARGET] = "__ret - __bench"
     long = to_long(with_mean, ["ticker", "sector", "week_date"], cells)
-    ranked = winsor_rank(long, [*sector_week, "feature"], "ticker", lower, upper, layout)
+    # Key order: the (week, feature) windows then reuse the (week, feature,
+    # sector) sort as a prefix.
+    ranked = winsor_rank(long, ["week_date", "feature", "sector"], "x", "ticker", lower, upper, layout)
     scored = zscore(ranked, ["week_date", "feature"], "percentile", "z", layout)
     return scored.groupBy("week_date", "ticker", "sector").agg(
-        *[F.max(F.when(F.col("feature") == name, F.col("z"))).alias(name) for name in cells]
+        *[F.expr(f"max(z) filter (where feature = '{name}')").alias(name) for name in cells]
     )
 
 
@@ -186,14 +188,10 @@ def exact_neighbours(
     never bridged. One exchange on ticker instead of two self-joins."""
     weeks = observed_weeks(scored) if weeks is None else weeks
     with_weeks = scored.join(weeks, "week_date")
-    w = by_ticker("week_date")
-    came_from_prev = F.lag("week_date").over(w) == F.col("prev_week_date")
-    goes_to_next = F.lead("week_date").over(w) == F.col("next_week_date")
-    lagged = [F.when(came_from_prev, F.lag(f).over(w)).alias(f"{f}_train") for f in features]
-    ahead = F.when(goes_to_next, F.lead(target).over(w)).alias(forward)
-    return with_weeks.select(
-        "ticker", "sector", "week_date", "prev_week_date", *features, *lagged, target, ahead
-    )
+    w = "over (partition by ticker order by week_date)"
+    lags = [f"if(lag(week_date) {w} = prev_week_date, lag({f}) {w}, null) as {f}_train" for f in features]
+    ahead = f"if(lead(week_date) {w} = next_week_date, lead({target}) {w}, null) as {forward}"
+    return with_weeks.selectExpr("ticker", "sector", "week_date", "prev_week_date", *features, *lags, target, ahead)
 
 
 def build_panel(
@@ -205,9 +203,11 @@ def build_panel(
     lower: float = 0.01,
     upper: float = 0.99,
     layout: Layout | None = None,
+    weeks: DataFrame | None = None,
     check: bool = True,
 ) -> DataFrame:
-    """The whole panel. `check=False` skips the eager violation queries (for
+    """The whole panel. `weeks` (from observed_weeks) saves a pass over the
+    input where the calendar is known, e.g. from the partitions of a table. `check=False` skips the eager violation queries (for
     inputs already validated upstream)."""
     check_arguments(directions, lower, upper)
     require_columns(weekly, ["ticker", "week_date", return_column, *directions])
@@ -226,7 +226,7 @@ def build_panel(
     scored = cross_sectional_scores(
         weekly, directions, return_column=return_column, lower=lower, upper=upper, layout=layout
     )
-    return exact_neighbours(scored, list(directions))
+    return exact_neighbours(scored, list(directions), weeks=weeks)
 
 
 def trim_lookback(panel: DataFrame, start, end=None) -> DataFrame:
@@ -246,15 +246,19 @@ def panel_statistics(panel: DataFrame, features: Sequence[str]) -> DataFrame:
     """
     cols = [*features, TARGET]
     n = F.count(F.lit(1)).alias("rows")
-    missing_train = F.sum(
-        F.when(F.greatest(*[F.col(f"{f}_train").isNull() for f in features]), 1).otherwise(0)
-    ).alias("rows_with_any_missing_train_feature")
+    any_missing = F.lit(False)
+    for f in features:
+        any_missing = any_missing | F.col(f"{f}_train").isNull()
+    missing_train = F.sum(F.when(any_missing, 1).otherwise(0)).alias("rows_with_any_missing_train_feature")
     missing_fwd = F.sum(F.when(F.col(FORWARD).isNull(), 1).otherwise(0)).alias("rows_with_missing_active_return_fwd")
     sums = [e for c in cols for e in (F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"q_{c}"), F.count(c).alias(f"n_{c}"))]
     sector = panel.groupBy("week_date", "sector").agg(n, missing_train, missing_fwd, *sums)
 
+    def largest(values):
+        return F.greatest(F.lit(0.0), *values)
+
     def worst_mean(names):
-        return F.greatest(*[F.coalesce(F.abs(F.try_divide(F.col(f"s_{c}"), F.col(f"n_{c}"))), F.lit(0.0)) for c in names])
+        return largest([F.coalesce(F.abs(F.try_divide(F.col(f"s_{c}"), F.col(f"n_{c}"))), F.lit(0.0)) for c in names])
 
     carried = [e for c in cols for e in (F.sum(f"s_{c}").alias(f"s_{c}"), F.sum(f"q_{c}").alias(f"q_{c}"), F.sum(f"n_{c}").alias(f"n_{c}"))]
     week = (
@@ -275,7 +279,7 @@ def panel_statistics(panel: DataFrame, features: Sequence[str]) -> DataFrame:
 
     return (
         week.withColumn("fw", worst_mean(features)).withColumn("tw", worst_mean([TARGET]))
-        .withColumn("fe", F.greatest(*[std_error(c) for c in features]) if len(features) > 1 else std_error(features[0]))
+        .withColumn("fe", largest([std_error(c) for c in features]))
         .withColumn("te", std_error(TARGET))
         .agg(
             F.sum("rows").alias("rows"),

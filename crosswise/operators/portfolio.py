@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite
+from ..functions.columns import finite_sql
 from ..functions.layout import Layout, resolve
 from ..functions.ranking import add_ranks
 from ..functions.timeseries import stop_at_gap
@@ -95,65 +95,75 @@ def endpoints(cumulative: DataFrame) -> DataFrame:
 # --- trades -------------------------------------------------------------------
 
 
-def weekly_trades(holdings: DataFrame, weeks: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Dollars traded between one week's weights and the series' previous week.
-
-    holdings  (series..., week_date, ticker, weight) with non-zero weights only
-    weeks     (series..., week_date): every week of the series, held or not
-
-    Each holding pays |weight - previous weight|; a name that leaves pays its
-    weight in the following week. That is the full outer difference, computed
-    with one window by (series, ticker) over held rows and one map-side combined
-    sum instead of a join of the book with itself.
+def weekly_book(
+    rows: DataFrame, series: Sequence[str], aggregates: dict[str, str], carry: Sequence[str] = (), weeks: DataFrame | None = None
+) -> DataFrame:
+    """One row per series and week: caller's aggregates plus dollars traded.
+
+    rows        (series..., week_date, ticker, weight, carry...); weight may be
+                missing or zero for names that are scored but not held
+    aggregates  name -> SQL aggregate over the carried columns
+    weeks       (series..., week_date, prev_week, next_week) to trade against the
+                previous week of the series across calendar gaps; by default a
+                week trades against the one seven days before
+
+    Trades are the full outer difference of two successive books. Instead of
+    joining the book with itself, one window by (series, ticker) pays
+    |weight - previous weight| in the current week and books a leaving name's
+    weight in the following week; both legs and the caller's aggregates are then
+    combined map-side in one shuffle.
     """
     series = list(series)
-    order = Window.partitionBy(*series).orderBy("week_date")
-    steps = weeks.select(
-        *series, "week_date",
-        F.lag("week_date").over(order).alias("prev_week"),
-        F.lead("week_date").over(order).alias("next_week"),
+    by = ", ".join([*series, "ticker"])
+    w = f"over (partition by {by} order by week_date)"
+    if weeks is None:
+        before, after = "date_sub(week_date, 7)", "date_add(week_date, 7)"
+    else:
+        rows = rows.join(weeks.select(*series, "week_date", "prev_week", "next_week"), [*series, "week_date"])
+        before, after = "prev_week", "next_week"
+    legs = rows.selectExpr(
+        *series, "week_date", "coalesce(weight, 0D) as weight", *carry,
+        f"{after} as __after",
+        f"if(lag(week_date) {w} = {before}, coalesce(lag(weight) {w}, 0D), 0D) as __was",
+        f"coalesce(lead(week_date) {w} = {after}, false) as __stays",
     )
-    held = holdings.join(steps, [*series, "week_date"])
-    w = Window.partitionBy(*series, "ticker").orderBy("week_date")
-    kept = F.coalesce(F.lag("week_date").over(w) == F.col("prev_week"), F.lit(False))
-    stays = F.coalesce(F.lead("week_date").over(w) == F.col("next_week"), F.lit(False))
-    previous = F.when(kept, F.lag("weight").over(w)).otherwise(0.0)
-    legs = held.select(
-        *series, "week_date", "next_week", "weight",
-        F.abs(F.col("weight") - previous).alias("__in"),
-        F.when(stays, 0.0).otherwise(F.abs("weight")).alias("__out"),
-    )
-    moves = legs.select(
+    here = ", ".join(["week_date as week_date", "abs(weight - __was) as __move", "abs(weight) as __gross", "true as __row", *[f"{c} as {c}" for c in carry]])
+    gone = ", ".join(["__after as week_date", "abs(weight) as __move", "0D as __gross", "false as __row", *[f"null as {c}" for c in carry]])
+    legs = legs.selectExpr(
         *series,
-        F.inline(
-            F.array(
-                F.struct(F.col("week_date"), F.col("__in").alias("move"), F.abs("weight").alias("gross")),
-                F.struct(F.col("next_week").alias("week_date"), F.col("__out").alias("move"), F.lit(0.0).alias("gross")),
-            )
-        ),
-    ).filter("week_date is not null")
-    traded = moves.groupBy(*series, "week_date").agg(F.sum("move").alias("traded"), F.sum("gross").alias("gross_weight"))
-    consecutive = F.coalesce(F.datediff("week_date", "prev_week") == 7, F.lit(False))
-    return steps.join(traded, [*series, "week_date"], "left").select(
-        *series, "week_date", "prev_week", consecutive.alias("consecutive"),
-        F.coalesce("traded", F.lit(0.0)).alias("traded"),
-        F.coalesce("gross_weight", F.lit(0.0)).alias("gross_weight"),
+        f"inline(if(weight <> 0 and not __stays and __after is not null, array(struct({here}), struct({gone})), array(struct({here}))))",
+    )
+    weekly = legs.groupBy(*series, "week_date").agg(
+        F.expr("count_if(__row)").alias("__rows"),
+        F.sum("__move").alias("traded"),
+        F.sum("__gross").alias("gross_weight"),
+        *[F.expr(sql).alias(name) for name, sql in aggregates.items()],
+    )
+    # Departures may point at weeks the series does not have; a week whose book
+    # is empty neither trades nor anchors the next one.
+    order = f"over (partition by {', '.join(series)} order by week_date)"
+    return weekly.filter("__rows > 0").selectExpr(
+        *series, "week_date", "traded", "gross_weight", *aggregates,
+        f"coalesce(lag(week_date) {order} = date_sub(week_date, 7) and lag(gross_weight) {order} > 0 and gross_weight > 0, false) as consecutive",
+    )
+
+
+def series_weeks(frame: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Neighbouring weeks of each series (one row per series and week)."""
+    order = f"over (partition by {', '.join(series)} order by week_date)"
+    return frame.select(*series, "week_date").distinct().selectExpr(
+        "*", f"lag(week_date) {order} as prev_week", f"lead(week_date) {order} as next_week"
     )
 
 
 # --- B4 / B5: long/short ------------------------------------------------------
 
 
-def long_short_positions(scores: DataFrame, series: Sequence[str], score: str = "score", layout: Layout | None = None) -> DataFrame:
-    """Quintile legs under the high-first convention: +1/n long, -1/n short."""
-    keys = [*series, "week_date"]
-    ranked = add_ranks(scores, keys, score, tie=["ticker"], descending=True, position="__p", count="__n", layout=layout)
-    n = F.col("__n")
-    bucket = F.floor((F.col("__p") - 1) * 5 / n) + 1
-    # Q1 holds ceil(n/5) names and Q5 floor(n/5).
-    n_long, n_short = F.ceil(n / 5), F.floor(n / 5)
-    weight = F.when(bucket == 1, 1.0 / n_long).when(bucket == 5, F.try_divide(F.lit(-1.0), n_short))
-    return ranked.withColumn("weight", F.when(n >= 5, weight)).drop("__p", "__n")
+def long_short_weight(place: str = "place", n: str = "n") -> str:
+    """+1/n on Q1 and -1/n on Q5 (high score first). Q1 holds ceil(n/5) names,
+    Q5 floor(n/5); a cross-section below five names holds nothing."""
+    bucket = f"floor(({place} - 1) * 5 / {n})"
+    return f"case when {n} < 5 then null when {bucket} = 0 then 1D / ceil({n} / 5) when {bucket} = 4 then -1D / floor({n} / 5) end"
 
 
 def long_short_weekly(
@@ -162,19 +172,15 @@ def long_short_weekly(
 ) -> DataFrame:
     """Gross spread, turnover (half the traded dollars, only across
     consecutive weeks) and the turnover charged (1.0 when entering from cash)."""
-    layout = resolve(layout, frame, [*series, "week_date"])
-    booked = long_short_positions(frame, series, score, layout)
-    weeks = frame.select(*series, "week_date").distinct()
-    held = booked.filter("weight is not null")
-    gross = held.groupBy(*series, "week_date").agg(
-        (F.avg(F.when(F.col("weight") > 0, F.col(active))) - F.avg(F.when(F.col("weight") < 0, F.col(active)))).alias("gross_return"),
-    )
-    trades = weekly_trades(held.select(*series, "week_date", "ticker", "weight"), weeks, series)
-    turnover = F.when(F.col("consecutive"), F.col("traded") / 2)
-    return gross.join(trades, [*series, "week_date"]).select(
-        *series, "week_date", "gross_return",
-        turnover.alias("turnover"),
-        F.coalesce(turnover, F.lit(1.0)).alias("cost_turnover"),
+    keys = [*series, "week_date"]
+    layout = resolve(layout, frame, keys)
+    ranked = add_ranks(frame, keys, score, tie=["ticker"], descending=True, position="place", count="n", layout=layout)
+    legs = ranked.selectExpr(*keys, "ticker", f"{active} as __a", f"{long_short_weight()} as weight")
+    held = legs.filter("weight is not null").selectExpr("*", "weight as __w")
+    spread = "avg(__a) filter (where __w > 0) - avg(__a) filter (where __w < 0)"
+    weekly = weekly_book(held, series, {"gross_return": spread}, ["__a", "__w"])
+    return weekly.selectExpr(
+        *keys, "gross_return", "if(consecutive, traded / 2, null) as turnover", "if(consecutive, traded / 2, 1D) as cost_turnover"
     )
 
 
@@ -246,44 +252,51 @@ def sub_buckets(frame: DataFrame, series: Sequence[str] = ("model",), *, score:
 # --- B9: weekly long-only evaluation -----------------------------------------
 
 
+# Aggregates of a book's returns; a book with any unobserved return has none.
+HELD = "__w > 0"
+
+
+def _book_return(column: str) -> str:
+    return f"if(count_if({HELD} and {column} is null) = 0, sum(__w * {column}), null)"
+
+
 def long_only_weekly(
-    frame: DataFrame,
-    weights: DataFrame,
+    rows: DataFrame,
     series: Sequence[str] = ("model",),
     *,
     active: str = "raw_active_return",
     stock: str | None = None,
     cost_bps: float = LONG_ONLY_BPS,
-    rank_metrics: DataFrame | None = None,
+    extra: dict[str, str] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Returns, trades, costs and coverage of given target weights.
+    """Returns, trades, costs and coverage of target weights.
 
-    `weights` is the held book (B6, B7 or B8); `rank_metrics` optionally adds
-    weekly capture / IC / NDCG from the evaluation module.
+    `rows` carries `weight` (missing or 0 for names not held, which may be
+    present so that `extra` aggregates, e.g. ranking metrics, see the whole
+    universe in the same pass). Entering after a gap buys the whole book.
     """
     keys = [*series, "week_date"]
-    weeks = frame.select(*keys).distinct()
-    columns = [finite(active).alias("__a"), *([finite(stock).alias("__s")] if stock else [])]
-    held = weights.join(frame.select(*keys, "ticker", *columns), [*keys, "ticker"])
-    def total(c):
-        return F.when(F.count(c) == F.count(F.lit(1)), F.sum(F.col("weight") * F.col(c)))
-    sums = held.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("holdings"),
-        total("__a").alias("gross_active_return"),
-        (total("__s") if stock else F.lit(None).cast("double")).alias("gross_stock_return"),
+    priced = rows.selectExpr(
+        *keys, "ticker", "weight", "coalesce(weight, 0D) as __w", f"{finite_sql(active)} as __a",
+        f"{finite_sql(stock) if stock else 'cast(null as double)'} as __s", *carry,
     )
-    trades = weekly_trades(weights.select(*keys, "ticker", "weight"), weeks, series)
-    dollars = F.when(F.col("consecutive"), F.col("traded")).otherwise(F.col("gross_weight"))
-    cost = F.lit(cost_bps / 10000.0) * dollars
-    out = sums.join(trades, keys).select(
+    aggregates = {
+        "holdings": f"count_if({HELD})",
+        "gross_active_return": _book_return("__a"),
+        "gross_stock_return": _book_return("__s"),
+        **(extra or {}),
+    }
+    weekly = weekly_book(priced, series, aggregates, ["__w", "__a", "__s", *carry])
+    dollars = "if(consecutive, traded, gross_weight)"
+    cost = f"{cost_bps / 10000.0}D * {dollars}"
+    return weekly.selectExpr(
         *keys, "holdings", "gross_stock_return", "gross_active_return",
-        (F.col("gross_stock_return") - cost).alias("net_stock_return"),
-        (F.col("gross_active_return") - cost).alias("net_active_return"),
-        cost.alias("transaction_cost"),
-        (dollars / 2).alias("turnover"),
-        F.col("gross_active_return").isNotNull().alias("complete"),
+        f"gross_stock_return - {cost} as net_stock_return",
+        f"gross_active_return - {cost} as net_active_return",
+        f"{cost} as transaction_cost", f"{dollars} / 2 as turnover",
+        "gross_active_return is not null as complete", *(extra or {}),
     )
-    return out if rank_metrics is None else out.join(rank_metrics, keys, "left")
 
 
 # --- B10 / B11: portfolio metrics --------------------------------------------
@@ -344,13 +357,10 @@ def long_only_net_ir(frame: DataFrame, series: Sequence[str] = ("model",), *, sc
     """Net IR of a score vector; trades are charged between successive
     weeks of the frame even across a calendar gap."""
     layout = resolve(layout, frame, [*series, "week_date"])
-    book = target_weights(frame, series, score=score, layout=layout)
-    weeks = frame.select(*series, "week_date").distinct()
-    trades = weekly_trades(book.select(*series, "week_date", "ticker", "weight"), weeks, series)
-    gross = book.join(frame.select(*series, "week_date", "ticker", active), [*series, "week_date", "ticker"]).groupBy(
-        *series, "week_date"
-    ).agg(F.avg(active).alias("__g"))
-    net = gross.join(trades, [*series, "week_date"]).withColumn("__net", F.col("__g") - bps / 10000.0 * F.col("traded"))
+    top = top_fraction(frame, series, score, layout=layout).filter("rank <= n_hold")
+    held = top.selectExpr(*series, "week_date", "ticker", "1D / n_hold as weight", f"{active} as __a")
+    weekly = weekly_book(held, series, {"__g": "avg(__a)"}, ["__a"], series_weeks(frame, series))
+    net = weekly.withColumn("__net", F.col("__g") - bps / 10000.0 * F.col("traded"))
     return net.groupBy(*series).agg(F.coalesce(information_ratio("__net"), F.lit(UNDEFINED_IR)).alias("net_ir"))
 
 

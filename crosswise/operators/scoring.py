@@ -93,7 +93,7 @@ def ground_truth_ranks(members: DataFrame, target: str = "active_return_fwd", la
     model-week when any outcome is missing."""
     layout = resolve(layout, members, MODEL_WEEK)
     ranked = add_ranks(members, MODEL_WEEK, target, tie=["ticker"], descending=True, average="__r", layout=layout)
-    whole = add_group_stats(ranked, MODEL_WEEK, {"ground_truth_complete_week": F.every(F.col(target).isNotNull())}, layout)
+    whole = add_group_stats(ranked, MODEL_WEEK, {"ground_truth_complete_week": f"every({target} is not null) @"}, layout)
     return whole.withColumn("ground_truth_rank", F.when(F.col("ground_truth_complete_week"), F.col("__r"))).drop("__r")
 
 

@@ -3,22 +3,37 @@
 px_weekly  one observed price per supplier and Wednesday; weeks without a
            shipment are absent (gaps stay gaps)
 px_dense   the same prices carried forward to the supplier's last observed week
-px_daily   one price per line number and ship date
+px_daily   one price per ship date for each return flag (nearly gap-free) and
+           each line number (with gaps)
 scores     two deterministic models scored on px_dense
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import wednesday_on_or_after
 from ..functions.layout import Layout
 from ..functions.timeseries import by_ticker, ratio_minus_one
+from ..operators.panel import observed_weeks
+
+
+# Schemas of the tables read here. Declaring them saves one
+# footer-reading job per scan.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def universe(spark: SparkSession, sf_dir: str) -> Layout:
@@ -26,6 +41,22 @@ def universe(spark: SparkSession, sf_dir: str) -> Layout:
     return Layout(table(spark, sf_dir, "supplier").count())
 
 
+def shipment_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observed calendar from one narrow column scan (a stored panel would
+    list its partitions instead)."""
+    days = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
+    return observed_weeks(days.select(wednesday_on_or_after(F.col("d")).alias("week_date")))
+
+
+def dense_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar of px_dense: some supplier is alive in every week in between."""
+    span = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).agg(
+        wednesday_on_or_after(F.min("d")).alias("lo"), wednesday_on_or_after(F.max("d")).alias("hi")
+    )
+    return span.selectExpr("inline(transform(sequence(lo, hi, interval 7 days), d -> named_struct("
+                           "'week_date', d, 'prev_week_date', if(d > lo, date_sub(d, 7), null), 'next_week_date', if(d < hi, date_add(d, 7), null))))")
+
+
 def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -34,12 +65,18 @@ def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index_level() -> Column:
+    """Unit prices vary a hundredfold between shipments; an index level keeps
+    weekly returns at a few percent."""
+    return 1000 + F.col("l_extendedprice") / F.col("l_quantity") / 500
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw observations, several per supplier and day: the unvalidated feed."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("ticker"),
         F.to_date("l_shipdate").alias("date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("adj_close"),
+        index_level().alias("adj_close"),
     )
 
 
@@ -49,7 +86,7 @@ def px_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = (
         quotes(spark, sf_dir)
         .groupBy("ticker", wednesday_on_or_after(F.col("date")).alias("week_date"))
-        .agg(F.round(F.avg("adj_close"), 4).alias("adj_close"))
+        .agg(F.avg("adj_close").alias("adj_close"))
     )
     return prices.join(sector_map(spark, sf_dir), "ticker").select(
         "ticker", "sector", "week_date", "adj_close"
@@ -59,8 +96,8 @@ def px_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carry_forward(px: DataFrame) -> DataFrame:
     """Repeat each observation weekly until the ticker's next one."""
     upcoming = F.lead("week_date").over(by_ticker("week_date"))
-    last_held = F.coalesce(F.date_sub(upcoming, 7), F.col("week_date"))
-    return px.select(
+    last_held = F.coalesce(F.date_sub("__next", 7), F.col("week_date"))
+    return px.withColumn("__next", upcoming).select(
         "ticker",
         "sector",
         F.explode(F.sequence("week_date", last_held, F.expr("interval 7 days"))).alias("week_date"),
@@ -73,10 +110,16 @@ def px_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def px_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array("l_returnflag", F.concat(F.lit("L"), F.col("l_linenumber").cast("string")))
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_linenumber").alias("ticker"), F.to_date("l_shipdate").alias("date"))
-        .agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("adj_close"))
+        .select(
+            F.explode(names).alias("ticker"),
+            F.to_date("l_shipdate").alias("date"),
+            index_level().alias("price"),
+        )
+        .groupBy("ticker", "date")
+        .agg(F.avg("price").alias("adj_close"))
     )
 
 

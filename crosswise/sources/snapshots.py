@@ -97,11 +97,12 @@ def panel_scan(spark: SparkSession, table: str, start: str, end: str | None = No
     return df.orderBy("week_date", "ticker") if ordered else df
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of corporate events."""
+def read_events(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
+    """Corporate events, as one JSON array or (array=False) JSON lines,
+    which Spark can split over tasks."""
     schema = ("ticker string, week_date date, next_week_date date, event_date date, event_type string, "
               "cash_per_share double, start_close double, source_url string")
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
 SUFFIXES = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}
