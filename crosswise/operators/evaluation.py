@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import require_none
@@ -19,6 +19,10 @@ MODEL_WEEK = ("model", "week_date")
 # --- E1 / E2: regression metrics ---------------------------------------------
 
 
+def _correlation(a: str, b: str) -> Column:
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def regression_metrics(
     frame: DataFrame, keys: Sequence[str], *, actual: str = "active_return_fwd", predicted: str = "prediction",
     layout: Layout | None = None,
@@ -48,8 +52,8 @@ def regression_metrics(
         F.sqrt(mse).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
         F.when((n > 1) & (varied > 0), 1 - mse / varied).alias("r2"),
-        F.when((n > 1) & (varied > 0) & (spread > 0), F.corr("__a", "__p")).alias("pearson_ic"),
-        F.when((n > 1) & (varied > 0) & (spread > 0), F.corr("__ra", "__rp")).alias("spearman_ic"),
+        F.when((n > 1) & (varied > 0) & (spread > 0), _correlation("__a", "__p")).alias("pearson_ic"),
+        F.when((n > 1) & (varied > 0) & (spread > 0), _correlation("__ra", "__rp")).alias("spearman_ic"),
         F.avg(F.col("__a") * F.col("__a")).alias("zero_baseline_mse"),
     )
     return out
@@ -102,7 +106,8 @@ def _ndcg_sql(k: str, side: str = "long", empty: str = "0D") -> str:
 # A group is evaluated only when every scored name has an outcome.
 WHOLE = "max(n) > 0 and max(n) = count(__t)"
 # Score ranks run from the best score down, hence the sign.
-RANK_IC = "if(min(__rs) < max(__rs) and min(__rt) < max(__rt), -corr(__rt, __rs), null)"
+# Built from moments: the corr aggregate divides by zero on constant input.
+RANK_IC = "if(min(__rs) < max(__rs) and min(__rt) < max(__rt), -try_divide(covar_pop(__rt, __rs), stddev_pop(__rt) * stddev_pop(__rs)), null)"
 
 
 def ndcg_at(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 
@@ -129,11 +130,11 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def cached_result(spark: SparkSession, folder: str, identity: str, build, refresh: bool = False) -> DataFrame:
-    """K7: reuse the stored result of an identical request."""
-    import hashlib
-
+    """K7: reuse the stored result of an identical request. A marker written
+    after the result tells a finished one from an interrupted one."""
     path = f"{folder.rstrip('/')}/result_{hashlib.sha256(identity.encode()).hexdigest()[:16]}"
-    done = list_files(spark, path).filter("path like '%/_SUCCESS'")
-    if refresh or done.isEmpty():
+    marker = f"{path}_done"
+    if refresh or list_files(spark, marker).isEmpty():
         build().write.mode("overwrite").parquet(path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(marker)
     return spark.read.parquet(path)

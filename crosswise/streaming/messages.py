@@ -104,5 +104,6 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 def strict(parsed: DataFrame) -> DataFrame:
     """Stop the query at a bad record, so its offset is not committed."""
-    stop = F.raise_error(F.concat(F.lit("Invalid feature message: "), F.col("problem")))
-    return parsed.withColumn("problem", F.when(F.col("problem").isNotNull(), stop.cast("string"))).drop("problem")
+    stop = F.raise_error(F.concat(F.lit("Invalid feature message: "), F.col("problem"))).cast("boolean")
+    # A filter (unlike an unused column) is always evaluated.
+    return parsed.filter(F.when(F.col("problem").isNull(), True).otherwise(stop)).drop("problem")
