@@ -267,15 +267,16 @@ def comparative_weekly(members: DataFrame, layout: Layout | None = None, check:
     }
     weekly = weekly_book(rows, ["model"], aggregates, [*STATE, "__seen", "__a", "__r", "__w"])
     weekly = weekly.selectExpr(*MODEL_WEEK, *aggregates, "if(consecutive, traded / 2, null) as turnover")
-    # (model, week) is unique in this small table, so counting rows counts models.
-    models = weekly.select("model").distinct().agg(F.count(F.lit(1)).alias("__models"))
+    # (model, week) is unique here, so counting rows counts models. The table has
+    # models x weeks rows, so one unpartitioned window may list the models.
+    weekly = weekly.selectExpr("*", "size(collect_set(model) over ()) as __models")
     families = {
         "ranking": "rank_ic is not null and ndcg_at_50 is not null",
         "returns": "q1_q5_active_return is not null and q1_q5_stock_return is not null",
         "turnover": "turnover is not null",
     }
     flags = [f"count_if({sql}) over (partition by week_date) = __models as common_{name}_week" for name, sql in families.items()]
-    return weekly.crossJoin(F.broadcast(models)).selectExpr(*weekly.columns, *flags)
+    return weekly.selectExpr(*[c for c in weekly.columns if c != "__models"], *flags)
 
 
 def comparative_summary(weekly: DataFrame) -> DataFrame:

@@ -302,39 +302,44 @@ def long_only_weekly(
 # --- B10 / B11: portfolio metrics --------------------------------------------
 
 
-def _whole_mean(c: str) -> Column:
-    return F.when(F.count(c) == F.count(F.lit(1)), 52.0 * F.avg(c))
+def _whole_mean(c: str, where: str = "true") -> Column:
+    """Annualized mean, missing when any selected week lacks the value."""
+    return F.expr(f"if(count({c}) filter (where {where}) = count_if({where}), 52 * avg({c}) filter (where {where}), null)")
 
 
 def portfolio_metrics(weekly: DataFrame, series: Sequence[str] = ("model",)) -> DataFrame:
-    """One row per series. Mean turnover skips the first week but keeps
-    incomplete ones; everything else uses complete weeks."""
+    """One row per series, in one pass. Mean turnover skips the first week
+    but keeps incomplete ones; everything else uses complete weeks."""
     keys = list(series)
     w = Window.partitionBy(*keys).orderBy("week_date")
-    turnover = (
-        weekly.withColumn("__i", F.row_number().over(w)).groupBy(*keys)
-        .agg(F.avg(F.when(F.col("__i") > 1, F.col("turnover"))).alias("turnover"))
-    )
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    done = weekly.filter("complete").withColumn("__wealth", F.product(1 + F.col("net_stock_return")).over(run))
-    done = done.withColumn("__peak", F.greatest(F.max("__wealth").over(run), F.lit(1.0)))
-    priced = F.count("net_stock_return") == F.count(F.lit(1))
+    growth = F.when(F.col("complete"), 1 + F.col("net_stock_return"))
+    rows = weekly.select("*", F.row_number().over(w).alias("__i"), F.product(growth).over(run).alias("__wealth"))
+    rows = rows.withColumn("__peak", F.greatest(F.max("__wealth").over(run), F.lit(1.0)))
+
+    def done(sql: str, name: str) -> Column:
+        return F.expr(f"{sql} filter (where complete)").alias(name)
+
+    priced = "count(net_stock_return) filter (where complete) = count_if(complete)"
+    final = "max_by(__wealth, week_date) filter (where complete)"
+    std = "stddev_samp(net_active_return) filter (where complete)"
+    mean = "avg(net_active_return) filter (where complete)"
     optional = [c for c in ("q1_capture", "rank_ic", "ndcg_at_50") if c in weekly.columns]
-    metrics = done.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("return_weeks"),
-        _whole_mean("gross_stock_return").alias("annualized_stock_return"),
-        _whole_mean("net_stock_return").alias("annualized_net_stock_return"),
-        (52.0 * F.avg("gross_active_return")).alias("annualized_active_return"),
-        (52.0 * F.avg("net_active_return")).alias("net_active_return"),
-        information_ratio("net_active_return").alias("active_ir"),
-        F.sum("net_active_return").alias("net_cumulative_active_return"),
-        *[F.avg(c).alias(c) for c in optional],
-        (52.0 * F.avg("transaction_cost")).alias("annualized_transaction_cost"),
-        F.sum("transaction_cost").alias("total_transaction_cost"),
-        F.when(priced, F.min(F.col("__wealth") / F.col("__peak") - 1)).alias("max_drawdown"),
-        F.when(priced, F.pow(F.max_by("__wealth", "week_date"), 52.0 / F.count(F.lit(1))) - 1).alias("net_stock_cagr"),
-    )
-    return metrics.join(turnover, keys)
+    return rows.groupBy(*keys).agg(
+        F.count_if("complete").alias("return_weeks"),
+        _whole_mean("gross_stock_return", "complete").alias("annualized_stock_return"),
+        _whole_mean("net_stock_return", "complete").alias("annualized_net_stock_return"),
+        F.expr("52 * avg(gross_active_return) filter (where complete)").alias("annualized_active_return"),
+        F.expr(f"52 * {mean}").alias("net_active_return"),
+        F.expr(f"if({std} > 0, sqrt(52) * {mean} / {std}, null)").alias("active_ir"),
+        done("sum(net_active_return)", "net_cumulative_active_return"),
+        *[done(f"avg({c})", c) for c in optional],
+        F.expr("52 * avg(transaction_cost) filter (where complete)").alias("annualized_transaction_cost"),
+        done("sum(transaction_cost)", "total_transaction_cost"),
+        F.expr(f"if({priced}, min(__wealth / __peak - 1) filter (where complete), null)").alias("max_drawdown"),
+        F.expr(f"if({priced}, pow({final}, 52D / count_if(complete)) - 1, null)").alias("net_stock_cagr"),
+        F.expr("avg(turnover) filter (where __i > 1)").alias("turnover"),
+    ).filter("return_weeks > 0")
 
 
 def yearly_performance(weekly: DataFrame, series: Sequence[str] = ("model",)) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import panel as pan
 from ..operators import portfolio as pf
 from ..operators import scoring as sc
 from ..operators import windows as win
+from ..sources.storage import cut_lineage
 from . import views
 from .backtests import IR, frame, long_short, scored
 from .registry import BLOCKS, query, r, rounded, trades_sql, with_blocks
@@ -50,9 +51,10 @@ BLOCKS["tfit"] = ("twin tgram", f"select *, (sy - ba * sa - bb * sb) / n as b0 f
 
 
 def train_panel(spark, sf):
-    """Panel over the gap-free view with two features."""
-    return pan.build_panel(views.dense_returns(spark, sf).select("ticker", "sector", "week_date", *TWO), directions=TWO,
-                           layout=views.universe(spark, sf), weeks=views.dense_weeks(spark, sf), check=False)
+    """Panel over the gap-free view with two features, stored as training reads
+    it: several window passes then scan columns instead of rebuilding it."""
+    return cut_lineage(pan.build_panel(views.dense_returns(spark, sf).select("ticker", "sector", "week_date", *TWO), directions=TWO,
+                                       layout=views.universe(spark, sf), weeks=views.dense_weeks(spark, sf), check=False))
 
 
 @query("w01_rolling_window", with_blocks("twin trows", "select as_of, count(*) as training_rows, min(week_date) as first_training_week, max(week_date) as last_training_week, count(distinct week_date) as weeks from twin join trows using (week_date) group by 1"))
@@ -262,7 +264,8 @@ def gate_weekly(spark, sf):
     rows = rows.selectExpr("ticker", "week_date", "return_1w", "return_4w", "return_13w", "raw_active_return_fwd as raw_active_return",
                            "stock_return_fwd as raw_stock_return", "active_return_fwd as active_return_train").join(folds, "week_date")
     scores = views.as_models(rows, CANDIDATES).withColumnsRenamed({"model": "candidate", "prediction": "score"}).filter("score is not null")
-    return gt.candidate_weekly(scores, layout=views.universe(spark, sf))
+    # The gate reads the small weekly table several times: store it once.
+    return cut_lineage(gt.candidate_weekly(scores, layout=views.universe(spark, sf)))
 
 
 @query("g01_fold_validation", with_blocks("gmf glo", f"""select as_of, candidate, fold, n as return_weeks, {r('net')} as net_active_return, {r('ir')} as active_ir, {r('t')} as turnover from gmf
