@@ -65,13 +65,17 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
 def fingerprint(files: DataFrame, root: str) -> DataFrame:
     """One sha256 over the sorted listing (relative path, size, time).
 
-    The listing is metadata, one entry per file; each entry is hashed first so
-    the final row holds 64 characters per file.
+    Hashed in two levels, folder then root, so no row holds the whole listing.
     """
-    entry = F.sha2(F.to_json(F.struct(F.replace("path", F.lit(root), F.lit("")).alias("key"), "bytes", F.col("modified").cast("long").alias("modified"))), 256)
-    return files.select(entry.alias("h")).agg(
-        F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("fingerprint"),
-        F.count(F.lit(1)).alias("n_files"),
+    key = F.replace("path", F.lit(root), F.lit(""))
+    entry = F.sha2(F.to_json(F.struct(key.alias("key"), "bytes", F.col("modified").cast("long").alias("modified"))), 256)
+    folder = F.regexp_extract(key, r"^(.*)/[^/]*$", 1).alias("folder")
+    per_folder = files.select(folder, entry.alias("h")).groupBy("folder").agg(
+        F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("h"), F.count(F.lit(1)).alias("n")
+    )
+    listed = F.sort_array(F.collect_list(F.struct("folder", "h")))
+    return per_folder.agg(
+        F.sha2(F.to_json(listed), 256).alias("fingerprint"), F.sum("n").alias("n_files")
     )
 
 
