@@ -57,11 +57,14 @@ BLOCKS.update(
         "lspos": ("ranked", """select model, week_date, ticker, raw_active_return_fwd as a,
               case when (place - 1) * 5 // n = 0 then 1.0::double / ceil(n / 5) else -1.0::double / floor(n / 5) end as w
             from ranked where n >= 5 and ((place - 1) * 5 // n in (0, 4))"""),
-        "lstr": ("lspos mweeks", trades_sql("lspos", "mweeks")),
-        "lsweek": ("lspos lstr mweeks", """select g.model, g.week_date, gross_return, case when k.week_date - k.prev_week = 7 then traded / 2 end as turnover,
+        # Weeks below five names hold nothing and break the turnover chain.
+        "lsdates": ("lspos", """select model, week_date, lag(week_date) over w as prev_week, lead(week_date) over w as next_week
+            from (select distinct model, week_date from lspos) window w as (partition by model order by week_date)"""),
+        "lstr": ("lspos lsdates", trades_sql("lspos", "lsdates")),
+        "lsweek": ("lspos lstr lsdates", """select g.model, g.week_date, gross_return, case when k.week_date - k.prev_week = 7 then traded / 2 end as turnover,
               coalesce(case when k.week_date - k.prev_week = 7 then traded / 2 end, 1) as cost_turnover
             from (select model, week_date, avg(a) filter (w > 0) - avg(a) filter (w < 0) as gross_return from lspos group by 1, 2) g
-            join mweeks k using (model, week_date) join lstr using (model, week_date)"""),
+            join lsdates k using (model, week_date) join lstr using (model, week_date)"""),
         # Exact top 20% book and its weekly evaluation.
         "book": ("ranked", "select model, week_date, ticker, place, ceil(0.2::double * n)::int as n_hold, 1.0::double / ceil(0.2::double * n) as w from ranked where place <= ceil(0.2::double * n)"),
         "booktr": ("book mweeks", trades_sql("book", "mweeks")),
