@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import licenses, packing, quality_rules, sharding
+
+BYTE_BPE = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,8 +29,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = BYTE_BPE) -> str:
+    """Path of a public vocabulary file, which is installed wherever Python is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, placed = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = quality_rules.quality_rules(docs, into="q", carry=["doc_id"])
     return q.select("doc_id", "q.*")
+
+
+@query("op7_license_scans")
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), into="x", carry=["doc_id"])
+    return found.select("doc_id", "x.n_words", "x.n_base", "x.first_word", "x.last_word", "x.base_labels", "x.labels", "x.score", "x.n_fuzzy")
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = sharding.external_shuffle(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return written.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -94,6 +94,14 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def span_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range; equal bytes have equal hashes wherever they stand."""
+    up, down = _power_tables(len(block) + 1)
+    sums = np.zeros(len(block) + 1, dtype=np.uint64)
+    np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def find_words(raw: np.ndarray, offs: np.ndarray, seps: np.ndarray, fold: np.ndarray = LOWER) -> Words:
     """Words of every text, in order. Works through the buffer in blocks cut at separators."""
     edge = np.zeros(len(raw) + 1, dtype=bool)
@@ -111,16 +119,12 @@ def find_words(raw: np.ndarray, offs: np.ndarray, seps: np.ndarray, fold: np.nda
             end = min(len(raw), end + BLOCK)
         block = fold[raw[at:end]]
         inside = ~seps[block]
-        begins, ends = inside.copy(), inside
+        begins = inside.copy()
         begins[1:] &= ~inside[:-1] | edge[at + 1 : end]
         ends = inside.copy()
         ends[:-1] &= ~inside[1:] | edge[at + 1 : end]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        up, down = _power_tables(len(block) + 1)
-        sums = np.zeros(len(block) + 1, dtype=np.uint64)
-        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)], out=sums[1:])
-        h = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        parts.append((s + at, e + at, h))
+        parts.append((s + at, e + at, span_hashes(block, s, e)))
         at = end
     if parts:
         starts, ends, hashes = (np.concatenate(x) for x in zip(*parts))
