@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, neighbours, packing, quality_rules, rule_ensemble, sharding
+from . import chat, kneser_ney, licenses, neighbours, packing, quality_rules, rule_ensemble, sharding
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -56,6 +56,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.split_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
