@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, licenses, neighbours, packing, quality_rules, rule_ensemble, sharding
+from . import chat, jaccard, kneser_ney, licenses, neighbours, packing, quality_rules, rule_ensemble, sharding
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -68,6 +68,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "q.*")
 
 
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_license_scans")
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), into="x", carry=["doc_id"])

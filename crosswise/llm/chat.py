@@ -73,7 +73,8 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     for k in reversed(range(len(jumps))):
         jump = jumps[k].where("up is not null").select(F.col("tree").alias("tree2"), F.col("at").alias("at2"), "up")
         up = walk.join(jump, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("at") == F.col("at2")))
-        walk = walk.unionByName(up.drop("tree2", "at2", "at").withColumn("back", F.col("back") + 2**k).withColumnRenamed("up", "at"))
+        # Stored: each round reads the walk twice, which would double the plan every time.
+        walk = cut_lineage(walk.unionByName(up.drop("tree2", "at2", "at").withColumn("back", F.col("back") + 2**k).withColumnRenamed("up", "at")))
     texts = nodes.select(F.col("tree").alias("tree2"), "node", "role", "text")
     full = walk.join(texts, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("at") == F.col("node")))
     return full.select("tree", "leaf", "branch_rank", "branch_score", "node", (F.col("depth") - 1 - F.col("back")).alias("position"), "role", "text")

@@ -161,8 +161,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 def keep_good(docs: DataFrame, teaching: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns; the model
     learns from the labelled rows of `teaching`."""
-    wanted = labels.select(F.col(f"`{key}`")).distinct()
-    known = teaching.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")).join(wanted, key, "left_semi").where(crc_bucket(F.col(f"`{key}`"), 5) != 0)
-    model = fit(labelled(cut_lineage(with_statistics(known, "stats", carry=[key])), labels, "stats", key))
+    known = teaching.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")).where(crc_bucket(F.col(f"`{key}`"), 5) != 0)
+    # The labels meet the statistics, not the texts, which so are not shuffled.
+    model = fit(labelled(with_statistics(known, "stats", carry=[key]), labels, "stats", key))
     stats = free_name(docs, "stats")
     return with_statistics(docs, stats, text).where(model.score(stats) >= THRESHOLD).drop(stats)
