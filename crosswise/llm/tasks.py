@@ -30,8 +30,13 @@ def measure_texts(df: DataFrame, fn: Measure, fields: str, into: str, text: str
     about `limit` bytes, whole texts always; null texts come as empty ones."""
     carry = df.columns if carry is None else carry
     inner = T._parse_datatype_string(fields)
-    source = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("text"))
-    out = T.StructType([f for f in source.schema.fields[:-1]] + [T.StructField(into, inner)])
+    source = df.select(*[F.col(f"`{c}`") for c in carry])
+    out = T.StructType([*source.schema.fields, T.StructField(into, inner)])
+    if text in carry and isinstance(source.schema[text].dataType, T.StringType):
+        at = carry.index(text)  # carried already: it crosses to the worker once
+    else:
+        at = len(carry)
+        source = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias(free_name(df, "text")))
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,8 +44,8 @@ def measure_texts(df: DataFrame, fn: Measure, fields: str, into: str, text: str
         parts = [f.type for f in arrow.field(len(carry)).type]
         names = [f.name for f in arrow.field(len(carry)).type]
         for batch in batches:
-            for rows in textkit.slices(batch, len(carry), limit):
-                raw, offs = textkit.buffers(rows.column(len(carry)))
+            for rows in textkit.slices(batch, at, limit):
+                raw, offs = textkit.buffers(rows.column(at))
                 found = [pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(fn(raw, offs, rows), parts)]
                 columns = [c.cast(t) for c, t in zip(rows.columns, kinds)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(found, names)], schema=arrow)
