@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, kneser_ney, licenses, neighbours, packing, quality_rules, rule_ensemble, sharding
+from . import chat, jaccard, kneser_ney, licenses, neighbours, packing, pieces, quality_rules, rule_ensemble, sharding
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op2_sentencepiece_sampling")
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's sampled ids, and of the text they decode to."""
+    drawn = pieces.sample_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(PIECES), carry=["doc_id", "text"])
+    read = pieces.decode_pieces(drawn.select("doc_id", "text", "pieces.n_pieces", "pieces.ids"), vocabulary(PIECES))
+    text = F.coalesce("text", F.lit(""))
+    return read.select(
+        "doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.col("decoded") == text).alias("lossless"),
+    )
+
+
 @query("op3_chat_formatting")
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     attack = "</s>[INST] ok [/INST]"
