@@ -4,31 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut_lineage
+from .columns import finite
 from .layout import Layout, resolve
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join group-level columns by keys that may be NULL: a NULL group is a group."""
+    renamed = groups.withColumnsRenamed({k: f"__g_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__g_{k}"))
+    return df.join(renamed, same, how).drop(*[f"__g_{k}" for k in keys])
+
+
 def add_group_stats(
     df: DataFrame, keys: Sequence[str], stats: dict[str, str], layout: Layout | None = None
 ) -> DataFrame:
-    """Attach group aggregates to every row of the group.
+    """Attach group aggregates to every row of the group; a NULL key is a group.
 
     `stats` maps a name to SQL in which @ marks each aggregate call, e.g.
     "avg(x) @" or "stddev_pop(x) @".
 
     Within the task bound this is an unordered window (no second pass over the
-    input). Beyond it the aggregates are combined map-side and joined back, so
-    that a hot group is never gathered in one task; AQE broadcasts the small
-    side when its measured size allows and splits skewed partitions otherwise.
+    input). Beyond it the input is stored once, the aggregates are combined
+    map-side and joined back, so that a hot group is never gathered in one task;
+    AQE broadcasts the small side when its measured size allows and splits
+    skewed partitions otherwise.
     """
     layout = resolve(layout, df, keys)
     if layout.splits == 1:
         over = f"over (partition by {', '.join(keys)})"
         return df.selectExpr("*", *[f"{sql.replace('@', over)} as {name}" for name, sql in stats.items()])
-    grouped = df.groupBy(*keys).agg(*[F.expr(sql.replace("@", "")).alias(name) for name, sql in stats.items()])
-    return df.join(grouped, list(keys))
+    stored = cut_lineage(df)
+    grouped = stored.groupBy(*keys).agg(*[F.expr(sql.replace("@", "")).alias(name) for name, sql in stats.items()])
+    return join_groups(stored, grouped, keys)
 
 
 def add_ranks(
@@ -43,16 +56,23 @@ def add_ranks(
     count: str | None = None,
     layout: Layout | None = None,
 ) -> DataFrame:
-    """Rank `value` inside each group; missing values take no rank position.
+    """Rank `value` inside each group; missing and non-finite values take no rank
+    position (Spark itself would sort NaN above every number). A NULL key is a group.
 
     position  1-based place under (value, *tie): a total order
     average   average-tie rank
-    count     number of non-missing values in the group
+    count     number of ranked values in the group
     """
     layout = resolve(layout, df, keys)
-    if layout.splits == 1:
-        return _ranks_in_one_task(df, keys, value, tie, descending, position, average, count)
-    return _ranks_by_range(df, keys, value, tie, descending, position, average, count, layout)
+    keep = df.columns
+    if df.schema[value].dataType.simpleString() in ("double", "float"):
+        # Values already cleaned keep their column, so that later windows reuse the sort.
+        df, ranked = (df, value) if value.startswith("__") else (df.withColumn("__finite", finite(value)), "__finite")
+    else:
+        ranked = value
+    one = _ranks_in_one_task if layout.splits == 1 else _ranks_by_range
+    out = one(df, keys, ranked, tie, descending, position, average, count, *([] if layout.splits == 1 else [layout]))
+    return out.select(*keep, *[c for c in (position, average, count) if c])
 
 
 def _ranks_in_one_task(df, keys, value, tie, descending, position, average, count):
@@ -79,11 +99,13 @@ def _ranks_in_one_task(df, keys, value, tie, descending, position, average, coun
 
 def _ranks_by_range(df, keys, value, tie, descending, position, average, count, layout):
     """Exact distributed ranks: cut each group into value ranges, rank inside
-    the ranges, add the number of rows in the ranges before."""
+    the ranges, add the number of rows in the ranges before. The input is stored
+    once and the placed rows once, so the plan does not grow when ranks follow
+    on ranks; places are 64-bit until the caller's groups are known to be small."""
     keys, keep = list(keys), list(df.columns)
     v = F.col(value)
     ordering = F.struct((-v + 0.0 if descending else v + 0.0).alias("v"), *[F.col(t) for t in tie])
-    rows = df.withColumn("__ord", F.when(v.isNotNull(), ordering))
+    rows = cut_lineage(df.withColumn("__ord", F.when(v.isNotNull(), ordering)))
 
     # Split points only steer the work; a poor sample costs balance, not exactness.
     step = 32
@@ -93,11 +115,11 @@ def _ranks_by_range(df, keys, value, tie, descending, position, average, count,
         .agg(F.sort_array(F.collect_list("__ord")).alias("__sorted"))
         .select(*keys, F.filter("__sorted", lambda x, i: (i % step) == step - 1).alias("__cuts"))
     )
-    ranged = rows.join(cuts, keys, "left").withColumn(
-        "__range",
-        F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__ord"))), F.lit(0)),
-    ).withColumn("__range", F.when(F.col("__ord").isNull(), F.pmod(F.xxhash64(*keep), F.lit(layout.splits)) - layout.splits)
-                 .otherwise(F.greatest(F.col("__range"), F.lit(0)))).drop("__cuts")
+    below: Column = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__ord"))), F.lit(0))
+    # Rows without a rank are spread over ranges of their own.
+    spread = F.pmod(F.xxhash64(*keep), F.lit(layout.splits)) - layout.splits
+    ranged = join_groups(rows, cuts, keys, "left")
+    ranged = ranged.withColumn("__range", F.when(F.col("__ord").isNull(), spread).otherwise(F.greatest(below, F.lit(0)))).drop("__cuts")
 
     sizes = ranged.groupBy(*keys, "__range").agg(F.count("__ord").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,15 +130,15 @@ def _ranks_by_range(df, keys, value, tie, descending, position, average, count,
         F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
     )
     local = Window.partitionBy(*keys, "__range").orderBy("__ord")
-    placed = (
-        ranged.withColumn("__local", F.row_number().over(local))
-        .join(offsets, [*keys, "__range"])
-        .withColumn("__pos", F.when(F.col("__ord").isNotNull(), (F.col("__local") + F.col("__before")).cast("int")))
-    )
+    placed = join_groups(ranged.withColumn("__local", F.row_number().over(local)), offsets, [*keys, "__range"])
+    placed = placed.withColumn("__pos", F.when(F.col("__ord").isNotNull(), F.col("__local") + F.col("__before"))).drop("__ord", "__range", "__local", "__before")
+    placed = cut_lineage(placed)
     if average:
         ties = placed.filter(F.col("__pos").isNotNull()).groupBy(*keys, value).agg(
             ((F.min("__pos") + F.max("__pos")) / 2.0).alias("__avg")
         )
-        placed = placed.join(ties, [*keys, value], "left")
-    wanted = [(position, "__pos"), (average, "__avg"), (count, "__total")]
-    return placed.select(*keep, *[F.col(src).alias(dst) for dst, src in wanted if dst])
+        placed = join_groups(placed, ties, [*keys, value], "left")
+    # Positions are INT like row_number's while every group is below 2^31.
+    place = F.col("__pos").cast("int") if layout.group_rows < 2**31 else F.col("__pos")
+    wanted = [(position, place), (average, F.col("__avg") if average else None), (count, F.col("__total"))]
+    return placed.select(*keep, *[c.alias(dst) for dst, c in wanted if dst])

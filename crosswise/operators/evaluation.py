@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.checks import require_none
 from ..functions.columns import finite, finite_sql
 from ..functions.layout import Layout, resolve
-from ..functions.ranking import add_ranks
-from .portfolio import cost_scenarios, information_ratio, long_only_weekly, long_short_weight, weekly_book
+from ..functions.ranking import add_group_stats, add_ranks
+from .portfolio import MIN_UNIVERSE, cost_scenarios, information_ratio, long_only_weekly, long_short_weight, weekly_book
 
 MODEL_WEEK = ("model", "week_date")
 
@@ -199,8 +199,12 @@ def metric_state(
     keys = [*series, "week_date"]
     layout = resolve(layout, frame, keys)
     state = rank_state(frame, keys, score=score, target=target, layout=layout)
-    best = add_ranks(state, keys, "__t", tie=["ticker"], descending=True, position="__best", layout=layout)
-    return best.selectExpr("*", "if(place <= ceil(0.2D * n), 1D / ceil(0.2D * n), null) as weight")
+    # Place from the top without a third sort: inside a tie of s rows starting after p
+    # places, __first runs through p + 1 .. p + s and __rt is p + (s + 1) / 2; from the
+    # top the same rows keep their ticker order behind the m - p - s rows above.
+    counted = add_group_stats(state, keys, {"__m": "count(__t) @"}, layout)
+    best = counted.selectExpr("*", "cast(__m + 1 + __first - 2 * __rt as int) as __best").drop("__m")
+    return best.selectExpr("*", f"if(n >= {MIN_UNIVERSE} and place <= ceil(0.2D * n), 1D / ceil(0.2D * n), null) as weight")
 
 
 def weekly_rank_metrics(

@@ -160,9 +160,3 @@ def score_trees(model, snapshot: DataFrame, features: Sequence[str], keep: Seque
 def tree_importance(spark, model, as_of, features: Sequence[str]) -> DataFrame:
     values = [float(v) for v in model.featureImportances.toArray()]
     return spark.createDataFrame([(as_of, f, v) for f, v in zip(features, values)], "as_of date, feature string, importance double")
-
-
-__all__ = [
-    "weekly_gram", "rolling_least_squares", "fold_baseline_mse", "feature_effects", "fit_trees", "score_trees",
-    "tree_importance", "tree_parameters", "window_weeks",
-]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.checks import duplicate_keys, require_columns, require_none
 from ..functions.columns import FEATURE_DIRECTIONS, clean_ticker, close_to, epoch_or_date, finite, finite_sql, ticker_key
 from ..functions.layout import Layout, resolve
-from ..functions.ranking import add_group_stats, add_ranks
+from ..functions.ranking import add_group_stats, add_ranks, join_groups
 from ..functions.timeseries import by_ticker
+from ..sources.storage import cut_lineage
 
 TARGET, FORWARD = "active_return_train", "active_return_fwd"
 
@@ -102,10 +103,10 @@ def winsor_rank(df: DataFrame, group: Sequence[str], value: str, tie: str, lower
             f"count({value}) over ({spec} rows between unbounded preceding and unbounded following) as __n",
         )
     else:
-        placed = add_ranks(df, group, value, tie=[tie], position="__p", count="__n", layout=layout)
+        placed = cut_lineage(add_ranks(df, group, value, tie=[tie], position="__p", count="__n", layout=layout))
+        # The group of the missing values holds null places.
         ends = placed.groupBy(*group, value).agg(F.min("__p").alias("__from"), F.max("__p").alias("__to"))
-        # Missing values match nothing and keep null places.
-        ranked = placed.drop("__p").join(ends, [*group, value], "left")
+        ranked = join_groups(placed.drop("__p"), ends, [*group, value], "left")
 
     def at(q: float, shift: int, what: str) -> str:
         place = f"floor((__n - 1) * {q}D) + {1 + shift}"

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import require_none
 from ..functions.columns import finite_sql
 from ..functions.layout import Layout, resolve
 from ..functions.ranking import add_ranks
@@ -205,12 +206,23 @@ def cost_scenarios(weekly: DataFrame, series: Sequence[str] = ("model",), costs:
 
 # --- B6 / B8 / B12: long-only targets ----------------------------------------
 
+#: Scored names below which a week gives no book.
+MIN_UNIVERSE = 5
+
+
+def small_universes(scores: DataFrame, series: Sequence[str] = ("model",), score: str = "score") -> DataFrame:
+    """Weeks with some but fewer than MIN_UNIVERSE finite scores: violations for a check."""
+    counted = scores.groupBy(*series, "week_date").agg(F.count(F.expr(finite_sql(score))).alias("n"))
+    return counted.filter((F.col("n") > 0) & (F.col("n") < MIN_UNIVERSE))
+
 
 def top_fraction(scores: DataFrame, series: Sequence[str], score: str = "score", fraction: float = 0.2, layout: Layout | None = None) -> DataFrame:
-    """Rank (1 = best) and the number of names to hold, for every scored row."""
+    """Rank (1 = best) and the number of names to hold, for every scored row; a
+    cross-section below five scored names holds nothing."""
     keys = [*series, "week_date"]
     ranked = add_ranks(scores, keys, score, tie=["ticker"], descending=True, position="rank", count="universe", layout=layout)
-    return ranked.withColumn("n_hold", F.ceil(F.lit(fraction) * F.col("universe")).cast("int"))
+    hold = F.ceil(F.lit(fraction) * F.col("universe"))
+    return ranked.withColumn("n_hold", F.when(F.col("universe") >= MIN_UNIVERSE, hold).otherwise(0).cast("int"))
 
 
 def weigh(held: DataFrame, rank_weighted: bool) -> DataFrame:
@@ -224,9 +236,12 @@ def weigh(held: DataFrame, rank_weighted: bool) -> DataFrame:
 
 def target_weights(
     scores: DataFrame, series: Sequence[str] = ("model",), *, score: str = "score", rank_weighted: bool = False,
-    layout: Layout | None = None,
+    layout: Layout | None = None, check: bool = False,
 ) -> DataFrame:
-    """B6 (exact top 20%) and B8 (1.25 -> 0.75 rank weights): no state needed."""
+    """B6 (exact top 20%) and B8 (1.25 -> 0.75 rank weights): no state needed. A week
+    below MIN_UNIVERSE scored names is refused (check=True) or has no targets."""
+    if check:
+        require_none(small_universes(scores, series, score), "At least five finite scores are required per week")
     layout = resolve(layout, scores, [*series, "week_date"])
     top = top_fraction(scores, series, score, layout=layout).filter("rank <= n_hold").withColumn("slot", F.col("rank"))
     return weigh(top, rank_weighted).select(*series, "week_date", "ticker", "rank", "n_hold", "weight")

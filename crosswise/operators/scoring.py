@@ -97,12 +97,11 @@ def ground_truth_ranks(members: DataFrame, target: str = "active_return_fwd", la
     return whole.withColumn("ground_truth_rank", F.when(F.col("ground_truth_complete_week"), F.col("__r"))).drop("__r")
 
 
-def score_audit(windows: DataFrame) -> DataFrame:
-    """Q6: window bounds, size and content fingerprint per as-of date."""
-    return windows.groupBy("as_of").agg(
-        F.min("week_date").alias("first_training_week"),
-        F.max("week_date").alias("last_training_week"),
-        F.count(F.lit(1)).alias("training_rows"),
+def score_audit(audits: DataFrame, models: DataFrame) -> DataFrame:
+    """Q6: per (model, as_of) the training window's bounds, size and content signature.
+    `audits` comes from windows.window_audit, `models` lists (model, as_of)."""
+    return models.select("model", "as_of").distinct().join(audits, "as_of").select(
+        "model", "as_of", "first_training_week", "last_training_week", "training_rows", "signature"
     )
 
 

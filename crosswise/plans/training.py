@@ -57,20 +57,26 @@ def train_panel(spark, sf):
                                        layout=views.universe(spark, sf), weeks=views.dense_weeks(spark, sf), check=False))
 
 
+def rolling_audit(spark, sf, columns=(), config=""):
+    """Windows of the training panel from weekly sums; the panel is read for both."""
+    panel = train_panel(spark, sf)
+    rows = win.complete_rows(panel, list(TWO), START)
+    return win.window_audit(win.window_weeks(panel, list(TWO), data_start=START), win.weekly_content(rows, columns), columns, config)
+
+
 @query("w01_rolling_window", with_blocks("twin trows", "select as_of, count(*) as training_rows, min(week_date) as first_training_week, max(week_date) as last_training_week, count(distinct week_date) as weeks from twin join trows using (week_date) group by 1"))
 def _(spark, sf):
-    rows = win.rolling_window(train_panel(spark, sf), list(TWO), data_start=START)
-    per_week = rows.groupBy("as_of", "week_date").agg(F.count(F.lit(1)).alias("n"))
-    return per_week.groupBy("as_of").agg(
-        F.sum("n").alias("training_rows"), F.min("week_date").alias("first_training_week"), F.max("week_date").alias("last_training_week"), F.count(F.lit(1)).alias("weeks"))
+    return rolling_audit(spark, sf).drop("signature")
 
 
 @query("w02_calendar_window", with_blocks("trows dweeks", """select as_of, count(*) as training_rows, min(week_date) as first_training_week, max(week_date) as last_training_week
     from (select distinct week_date as as_of from trows where week_date >= date '2000-01-01') join trows on week_date > (as_of - interval 5 year)::date and week_date <= as_of
     where (select min(week_date) from dweeks) <= (as_of - interval 5 year)::date + 7 group by 1"""))
 def _(spark, sf):
+    panel = train_panel(spark, sf)
     dates = views.dense_weeks(spark, sf).filter("week_date >= '2000-01-01'").select(F.col("week_date").alias("as_of"))
-    return sc.score_audit(win.calendar_window(train_panel(spark, sf), list(TWO), dates, 5, START))
+    pairs = win.calendar_pairs(panel, list(TWO), dates, 5, START)
+    return win.window_audit(pairs, win.weekly_content(win.complete_rows(panel, list(TWO), START))).drop("signature", "weeks")
 
 
 def folds_of(spark, sf):
@@ -143,38 +149,98 @@ def _(spark, sf):
     return ln.score_trees(model, snapshot, list(TWO), ["ticker", "sector", "week_date"])
 
 
-BASE = {"learning_rate": 0.025, "max_depth": 2, "min_child_weight": 50, "reg_lambda": 10, "n_estimators": 120}
+BASES = [
+    ("xgboost", {"learning_rate": "0.025", "max_depth": "2", "min_child_weight": "50", "reg_lambda": "10", "n_estimators": "120"}),
+    ("lightgbm", {"num_leaves": "15", "min_child_samples": "300", "reg_lambda": "1.0", "n_estimators": "90"}),
+]
 
 
-@query("w09_candidate_tasks", with_blocks("twin", """select as_of, fold, candidate, n_changed::int as n_changed from (select distinct as_of from twin) cross join (select unnest([1, 2, 3, 4]) as fold)
-    cross join (values ('incumbent', 0), ('shallower_depth', 1), ('larger_child', 1), ('stronger_l2', 1)) c(candidate, n_changed)"""))
+@query("w09_candidate_tasks", with_blocks("twin", """select learner, as_of, fold, candidate, parameter, new_value from (select distinct as_of from twin) cross join (select unnest([1, 2, 3, 4]) as fold)
+    cross join (values ('xgboost', 'incumbent', null, null), ('xgboost', 'shallower_depth', 'max_depth', 1.0::double), ('xgboost', 'larger_child', 'min_child_weight', 100), ('xgboost', 'stronger_l2', 'reg_lambda', 2),
+      ('lightgbm', 'incumbent', null, null), ('lightgbm', 'fewer_leaves', 'num_leaves', 7), ('lightgbm', 'larger_leaf_min', 'min_child_samples', 450), ('lightgbm', 'stronger_l2', 'reg_lambda', 3)) c(learner, candidate, parameter, new_value)"""))
 def _(spark, sf):
     dates = win.window_weeks(train_panel(spark, sf), list(TWO), data_start=START).select("as_of").distinct()
-    table = win.candidate_table(spark, win.neighbours("xgboost", BASE))
-    return win.candidate_tasks(table, dates).select("as_of", "fold", "candidate", F.size("changed").alias("n_changed"))
+    table = win.neighbours(spark.createDataFrame(BASES, "learner string, params map<string,string>"))
+    tasks = win.candidate_tasks(table, dates)
+    return tasks.select("learner", "as_of", "fold", "candidate", F.try_element_at(F.map_keys("changed"), F.lit(1)).alias("parameter"),
+                        F.try_element_at(F.map_values("changed"), F.lit(1)).cast("double").alias("new_value"))
+
+
+# The blends that the search tries first, and how far it looks around the best.
+BLENDS, AROUND = ("0.1", "0.5", "0.9"), ("-0.2", "0.2")
+
+
+def search_sql(stage, table):
+    """Blocks that evaluate the candidates (candidate, blend) of `table`."""
+    x = f"s{stage}"
+    return {
+        f"{x}r": f"""select *, row_number() over (partition by model, week_date order by score desc, ticker) as place, count(*) over (partition by model, week_date) as n from (
+            select c.candidate as model, b.ticker, b.week_date, b.a, b.m * (1 - c.blend) + b.v * c.blend as score from sboth b cross join {table} c)""",
+        f"{x}pos": f"""select model, week_date, ticker, a, case when (place - 1) * 5 // n = 0 then 1.0::double / ceil(n / 5) else -1.0::double / floor(n / 5) end as w
+            from {x}r where n >= 5 and ((place - 1) * 5 // n in (0, 4))""",
+        f"{x}dates": f"select model, week_date, lag(week_date) over w as prev_week, lead(week_date) over w as next_week from (select distinct model, week_date from {x}pos) window w as (partition by model order by week_date)",
+        f"{x}tr": trades_sql(f"{x}pos", f"{x}dates"),
+        f"{x}net": f"""select g.model, g.week_date, gross - 0.002::double * coalesce(case when k.week_date - k.prev_week = 7 then traded / 2 end, 1) as net
+            from (select model, week_date, avg(a) filter (w > 0) - avg(a) filter (w < 0) as gross from {x}pos group by 1, 2) g join {x}dates k using (model, week_date) join {x}tr using (model, week_date) where gross is not null""",
+        f"{x}out": f"select model as candidate, {IR.format(x='net')} as ir, product(1 + net) - 1 as cum from {x}net group by 1",
+    }
 
 
-@query("w10_staged_search")
+def fold_sql(table):
+    """The ordered choice with tolerances over (position, candidate, blend, ir, cum)."""
+    return f"""select position, candidate, blend, ir, cum from {table} where position = (
+        with recursive walk as (select position, ir, cum, position as best from {table} where position = 1 union all
+          select t.position, case when t.better then t.ir else t.bir end, case when t.better then t.cum else t.bcum end, case when t.better then t.position else t.best end
+          from (select n.position, n.ir, n.cum, w.ir as bir, w.cum as bcum, w.best,
+              case when abs(n.ir - w.ir) > 0.05 then n.ir > w.ir when abs(n.cum - w.cum) > 0.01 then n.cum > w.cum else false end as better
+            from walk w join {table} n on n.position = w.position + 1) t)
+        select best from walk order by position desc limit 1)"""
+
+
+W10 = {
+    "sboth": """select ticker, week_date, any_value(raw_active_return_fwd) as a, max(prediction) filter (model = 'momentum') as m, max(prediction) filter (model = 'reversal') as v
+        from frame group by 1, 2 having m is not null and v is not null and a is not null""",
+    "c1": "select position, 'blend ' || b as candidate, b::double as blend from (values (1, '0.1'), (2, '0.5'), (3, '0.9')) t(position, b)",
+    **search_sql(1, "c1"),
+    "e1": "select position, candidate, blend, ir, cum from c1 join s1out using (candidate)",
+    "w1": fold_sql("e1"),
+    "c2": "select p as position, candidate || s as candidate, blend + s::double as blend from w1 cross join (values (2, ' -0.2'), (3, ' 0.2')) t(p, s)",
+    **search_sql(2, "c2"),
+    "e2": "select 1 as position, candidate, blend, ir, cum from w1 union all select position, candidate, blend, ir, cum from c2 join s2out using (candidate)",
+    "w2": fold_sql("e2"),
+}
+
+
+@query("w10_staged_search", with_blocks("frame", f"""select stage, candidate, {r('blend')} as blend, {r('ir')} as information_ratio, {r('cum')} as cumulative_return, candidate = (select candidate from w2) as selected
+    from (select 1 as stage, * from e1 union all select 2, * from e2 where position > 1)""", W10))
 def _(spark, sf):
-    """Every evaluation is one Spark job over the whole scored history; the
-    candidates blend the two signals."""
-    rows = frame(spark, sf).groupBy("ticker", "sector", "week_date", "raw_active_return_fwd").pivot("model", ["momentum", "reversal"]).agg(F.max("prediction"))
-    rows = rows.filter("momentum is not null and reversal is not null and raw_active_return_fwd is not null")
+    """Two stages, each one plan over all its candidates: fixed blends of two signals,
+    then blends around the best one. Candidates are rows of a parameter table."""
+    rows = frame(spark, sf).groupBy("ticker", "week_date", "raw_active_return_fwd").pivot("model", ["momentum", "reversal"]).agg(F.max("prediction"))
+    rows = cut_lineage(rows.filter("momentum is not null and reversal is not null and raw_active_return_fwd is not null"))
     layout = views.universe(spark, sf)
 
-    def evaluate(params, stage, patience):
-        blend = params["learning_rate"]
-        mixed = rows.select(F.lit(stage).alias("model"), "ticker", "week_date", "raw_active_return_fwd",
-                            (F.col("momentum") * (1 - blend) + F.col("reversal") * blend).alias("score"))
-        weekly = pf.long_short_weekly(mixed, active="raw_active_return_fwd", layout=layout)
-        row = pf.cost_scenarios(weekly, costs=[pf.SELECTION_BPS]).first()
-        return {"stage": stage, "params": params, "information_ratio": row["information_ratio"], "cumulative_return": row["cumulative_return"],
-                "complexity": (params["num_leaves"],), "median_best_iteration": patience, "max_best_iteration": patience}
-
-    candidates = [{"learning_rate": b, "num_leaves": n, "n_estimators": 600, "lambdarank_truncation_level": 30} for b, n in ((0.1, 7), (0.5, 15), (0.9, 31))]
-    winner, results, _refined = win.staged_search(evaluate, candidates, market_k=20)
-    flat = [(x["stage"], x["information_ratio"], x["cumulative_return"], x["stage"] == winner["stage"]) for x in results]
-    return rounded(spark.createDataFrame(flat, "stage string, information_ratio double, cumulative_return double, selected boolean"))
+    def evaluate(candidates):
+        blended = rows.crossJoin(F.broadcast(candidates)).select(
+            F.col("candidate").alias("model"), "ticker", "week_date", "raw_active_return_fwd", (F.col("momentum") * (1 - F.col("blend")) + F.col("reversal") * F.col("blend")).alias("score"))
+        weekly = pf.long_short_weekly(blended, active="raw_active_return_fwd", layout=layout).filter("gross_return is not null")
+        out = pf.cost_scenarios(weekly, costs=[pf.SELECTION_BPS]).select(F.col("model").alias("candidate"), "information_ratio", "cumulative_return")
+        return candidates.join(out, "candidate")
+
+    def best(evaluated):
+        listed = evaluated.select(F.lit(0).alias("search"), "position", "candidate", "information_ratio", "cumulative_return", F.array(F.lit(1)).alias("complexity"))
+        return win.choose_candidate(listed, ["search"]).select("candidate")
+
+    first = spark.createDataFrame([(i, f"blend {b}", float(b)) for i, b in enumerate(BLENDS, 1)], "position int, candidate string, blend double")
+    one = cut_lineage(evaluate(first))
+    winner = one.join(best(one), "candidate")
+    steps = F.posexplode(F.array(*[F.lit(s) for s in AROUND])).alias("i", "step")
+    second = winner.select("candidate", "blend", steps).select(
+        (F.col("i") + 2).alias("position"), F.concat("candidate", F.lit(" "), "step").alias("candidate"), (F.col("blend") + F.col("step").cast("double")).alias("blend"))
+    two = cut_lineage(evaluate(cut_lineage(second)))
+    final = best(winner.withColumn("position", F.lit(1)).unionByName(two)).select(F.col("candidate").alias("won"))
+    every = one.withColumn("stage", F.lit(1)).unionByName(two.withColumn("stage", F.lit(2))).crossJoin(F.broadcast(final))
+    return rounded(every.select("stage", "candidate", "blend", "information_ratio", "cumulative_return", (F.col("candidate") == F.col("won")).alias("selected")))
 
 
 SEEDS = {"42": "return_1w", "73": "0 - return_4w", "107": "return_13w"}
@@ -189,16 +255,22 @@ def _(spark, sf):
     return rounded(win.seed_ensemble(seeds, layout=views.universe(spark, sf)))
 
 
-@query("w13_training_fingerprint")
+CONTENT = ["ticker", "week_date", "return_1w_train", "return_4w_train", "active_return_train"]
+# The same 48 bits of an MD5 per row, summed per window.
+BLOCKS["tsign"] = ("twin trows", """select as_of, min(week_date) as first, max(week_date) as last, count(*) as n,
+      sum(('0x' || substr(md5(concat_ws('|', ticker, week_date, round(a * 1e6)::bigint, round(b * 1e6)::bigint, round(y * 1e6)::bigint)), 1, 12))::bigint::hugeint) as d
+    from twin join trows using (week_date) group by 1""")
+SIGNATURE = f"sha256(d::varchar || '|' || n || '|v1|{','.join(CONTENT)}')"
+
+
+@query("w13_training_fingerprint", with_blocks("tsign", f"select as_of, n as training_rows, {SIGNATURE} as signature from tsign"))
 def _(spark, sf):
-    rows = win.rolling_window(train_panel(spark, sf), list(TWO), data_start=START)
-    return win.training_fingerprints(rows, ["ticker", "week_date", "return_1w_train", "return_4w_train", "active_return_train"], "v1")
+    return win.training_fingerprints(train_panel(spark, sf), list(TWO), CONTENT, "v1", data_start=START)
 
 
 @query("w13_pending_dates", with_blocks("twin trows", "select as_of, count(*) as training_rows from twin join trows using (week_date) where as_of >= date '2001-03-01' group by 1"))
 def _(spark, sf):
-    rows = win.rolling_window(train_panel(spark, sf), list(TWO), data_start=START)
-    wanted = win.training_fingerprints(rows, ["ticker", "week_date"], "v1")
+    wanted = win.training_fingerprints(train_panel(spark, sf), list(TWO), ["ticker", "week_date"], "v1", data_start=START)
     done = wanted.filter("as_of < '2001-03-01'")
     return win.pending_dates(wanted, done, check=False).select("as_of", "training_rows")
 
@@ -222,9 +294,11 @@ def _(spark, sf):
     return win.choose_candidate(table, ["year"]).select("year", "candidate")
 
 
-@query("q06_score_audit", with_blocks("twin trows", "select as_of, min(week_date) as first_training_week, max(week_date) as last_training_week, count(*) as training_rows from twin join trows using (week_date) group by 1"))
+@query("q06_score_audit", with_blocks("tsign scores", f"""select model, as_of, first as first_training_week, last as last_training_week, n as training_rows, {SIGNATURE} as signature
+    from tsign join (select distinct model, week_date as as_of from scores) using (as_of)"""))
 def _(spark, sf):
-    return sc.score_audit(win.rolling_window(train_panel(spark, sf), list(TWO), data_start=START))
+    models = views.scores(spark, sf).select("model", F.col("week_date").alias("as_of"))
+    return sc.score_audit(rolling_audit(spark, sf, CONTENT, "v1"), models)
 
 
 # --- G: selection gate --------------------------------------------------------
@@ -274,7 +348,21 @@ def _(spark, sf):
     return rounded(gt.fold_metrics(gate_weekly(spark, sf)).select("as_of", "candidate", "fold", "return_weeks", "net_active_return", "active_ir", "turnover"))
 
 
-@query("g02_block_bootstrap")
+BLOCKS.update(
+    {
+        "gpair": ("glo", """select c.as_of, c.candidate, c.fold, c.week_date, c.net - b.net as delta, row_number() over (partition by c.as_of, c.candidate, c.fold order by c.week_date) - 1 as i,
+              count(*) over (partition by c.as_of, c.candidate, c.fold) as n from glo c join glo b on b.as_of = c.as_of and b.fold = c.fold and b.week_date = c.week_date and b.candidate = 'incumbent' where c.candidate <> 'incumbent'"""),
+        # Circular blocks of four weeks; a block's first week is a hash of its name.
+        "gdraw": ("gpair", """select p.as_of, p.candidate, p.fold, rep, p.i, p.n, (('0x' || substr(md5(concat_ws('|', p.as_of, p.fold, rep, p.i // 4)), 1, 12))::bigint % p.n + p.i % 4) % p.n as at
+              from gpair p cross join (select unnest(range(1, 501)) as rep)"""),
+        "gboot": ("gdraw gpair", """select as_of, candidate, quantile_cont(gain, 0.1) as lower from (
+              select d.as_of, d.candidate, rep, 52 * sum(g.delta) / count(*) as gain from gdraw d join gpair g on g.as_of = d.as_of and g.candidate = d.candidate and g.fold = d.fold and g.i = d.at group by all)
+            group by 1, 2"""),
+    }
+)
+
+
+@query("g02_block_bootstrap", with_blocks("gboot", f"select as_of, candidate, {r('lower')} as lower_annual_gain from gboot"))
 def _(spark, sf):
     return rounded(gt.block_bootstrap(gate_weekly(spark, sf), check=False))
 
@@ -286,21 +374,34 @@ GATE3 = """select m.as_of, m.candidate, m.ir - i.ir as ir_gain, m.net - i.net as
       on y.as_of = m.as_of and y.candidate = m.candidate where m.candidate <> 'incumbent'"""
 
 
-@query("g03_protection_gate", with_blocks("gm gmf gmy", f"""select as_of, candidate, {r('ir_gain')} as ir_gain, {r('net_gain')} as annualized_net_active_gain, wins as fold_ir_wins, {r('worst')} as worst_fold_ir_gain, yrs as positive_years,
-    ir_gain >= 0.1 as ir_gain_at_least_0_10, net_gain >= 0.005 as annual_net_gain_at_least_0_5pct, wins >= 3 as fold_ir_wins_at_least_3, worst >= -0.25 as no_fold_ir_loss_below_0_25 from ({GATE3})"""))
+BLOCKS["gchk"] = ("gm gmf gmy gboot", f"""select *, c1 and c2 and c3 and c4 and c5 as ok from (select g.*, lower, ir_gain >= 0.1 as c1, net_gain >= 0.005 as c2, wins >= 3 as c3, worst >= -0.25 as c4, lower > 0 as c5
+    from ({GATE3}) g join gboot using (as_of, candidate))""")
+GATE_COLUMNS = f"""{r('ir_gain')} as ir_gain, {r('net_gain')} as annualized_net_active_gain, wins as fold_ir_wins, {r('worst')} as worst_fold_ir_gain, yrs as positive_years, {r('lower')} as lower_annual_gain,
+    c1 as ir_gain_at_least_0_10, c2 as annual_net_gain_at_least_0_5pct, c3 as fold_ir_wins_at_least_3, c4 as no_fold_ir_loss_below_0_25, c5 as bootstrap_lower_gain_positive, ok as eligible"""
+
+
+@query("g03_protection_gate", with_blocks("gchk", f"select as_of, candidate, {GATE_COLUMNS} from gchk"))
 def _(spark, sf):
     weekly = gate_weekly(spark, sf)
-    gates = gt.gate(weekly, gt.block_bootstrap(weekly, check=False))
-    return rounded(gates.drop("lower_annual_gain", "bootstrap_lower_gain_positive", "eligible"))
+    return rounded(gt.gate(weekly, gt.block_bootstrap(weekly, check=False)))
 
 
 POSITIONS = "candidate string, position int"
+WINNER = """select d.as_of, coalesce(w.candidate, 'incumbent') as selected from (select distinct as_of from gm) d left join (
+    select c.as_of, arg_max(c.candidate, struct_pack(a := m.ir, b := m.net)) as candidate from gchk c join gm m using (as_of, candidate) where c.ok group by 1) w using (as_of)"""
+
+
+@query("g04_winner_choice", with_blocks("gm gchk", WINNER))
+def _(spark, sf):
+    weekly = gate_weekly(spark, sf)
+    gates = gt.gate(weekly, gt.block_bootstrap(weekly, check=False))
+    order = spark.createDataFrame([(c, i) for i, c in enumerate(CANDIDATES)], POSITIONS)
+    return gt.choose_winner(gt.stitched_metrics(weekly), gates, order)
 
 
-@query("g04_winner_choice", with_blocks("gm gmf gmy", f"""select as_of, coalesce(arg_max(candidate, struct_pack(a := ir, b := net)) filter (ok), 'incumbent') as selected from (
-    select g.as_of, g.candidate, m.ir, m.net, g.wins >= 3 as ok from ({GATE3}) g join gm m on m.as_of = g.as_of and m.candidate = g.candidate) group by 1"""))
+@query("g04_winner_without_bootstrap", with_blocks("gm gchk", WINNER.replace("where c.ok", "where c.c3")))
 def _(spark, sf):
-    """Eligibility here is the fold-win check alone (the bootstrap has no SQL)."""
+    """The same choice when the fold-win check alone decides, so that challengers win somewhere."""
     weekly = gate_weekly(spark, sf)
     gates = gt.gate(weekly, gt.block_bootstrap(weekly, check=False)).withColumn("eligible", F.col("fold_ir_wins_at_least_3"))
     order = spark.createDataFrame([(c, i) for i, c in enumerate(CANDIDATES)], POSITIONS)
@@ -319,12 +420,16 @@ def _(spark, sf):
     return rounded(gt.assemble_selected(base, other, won).select("ticker", "week_date", "selected_candidate", "score"))
 
 
-@query("g06_candidate_rows")
+@query("g06_candidate_rows", with_blocks("gm gchk", f"""select m.as_of, m.candidate, {r('m.ir')} as active_ir, {r('m.net')} as net_active_return, w.selected = m.candidate as selected, m.candidate = 'incumbent' as incumbent,
+    c.ok as gate_eligible, c.wins as fold_ir_wins, {r('c.lower')} as bootstrap_10pct_lower_annual_gain, c.yrs as positive_years,
+    '{{"signal":"' || case m.candidate when 'incumbent' then 'return_4w' when 'reversal' then '0 - return_1w' else '0 - return_13w' end || '"}}' as params
+    from gm m left join gchk c using (as_of, candidate) join w using (as_of)""", {"w": WINNER}))
 def _(spark, sf):
     weekly = gate_weekly(spark, sf)
     gates = gt.gate(weekly, gt.block_bootstrap(weekly, check=False))
     metrics = gt.stitched_metrics(weekly)
-    specs = [{"name": c, "params": {"signal": e}, "changed": {} if c == "incumbent" else {"signal": e}} for c, e in CANDIDATES.items()]
-    table = win.candidate_table(spark, specs)
+    rows = [(i, c, {"signal": e}, {} if c == "incumbent" else {"signal": e}) for i, (c, e) in enumerate(CANDIDATES.items())]
+    table = spark.createDataFrame(rows, "position int, candidate string, params map<string,string>, changed map<string,string>")
     winners = gt.choose_winner(metrics, gates, table.select("candidate", "position"))
-    return rounded(gt.flatten_candidates(metrics, table, gates, winners))
+    return rounded(gt.flatten_candidates(metrics, table, gates, winners).select(
+        "as_of", "candidate", "active_ir", "net_active_return", "selected", "incumbent", "gate_eligible", "fold_ir_wins", "bootstrap_10pct_lower_annual_gain", "positive_years", "params"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.checks import require_none
 
@@ -105,12 +104,3 @@ def append_report(stored: DataFrame, incoming: DataFrame, jump: float = 0.5) ->
         row = part.select(F.lit(name).alias("problem"), "n")
         out = row if out is None else out.unionByName(row)
     return out
-
-
-PRICE_SCHEMA = T.StructType(
-    [
-        T.StructField("ticker", T.StringType()),
-        T.StructField("date", T.DateType()),
-        T.StructField("adj_close", T.DoubleType()),
-    ]
-)

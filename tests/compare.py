@@ -75,12 +75,14 @@ def same_type(s, d):
 
 
 def session():
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     spark = (
         SparkSession.builder.master("local[8]").appName("crosswise")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="crosswise-compare-")).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

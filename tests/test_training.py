@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -31,11 +32,13 @@ FEATURES = ["return_1w", "volatility_20d"]
 
 
 def test_window_is_exact_and_ignores_the_future(panel):
-    rows = win.rolling_window(panel, FEATURES, n_weeks=10)
-    spans = {r["as_of"]: r for r in sc.score_audit(rows).collect()}
+    content = win.weekly_content(win.complete_rows(panel, FEATURES, "2017-01-01"))
+    spans = {r["as_of"]: r for r in win.window_audit(win.window_weeks(panel, FEATURES, n_weeks=10), content).collect()}
     assert sorted(spans) == [week(w, START) for w in range(10, 14)]
     for as_of, r in spans.items():
-        assert r["last_training_week"] == as_of and (as_of - r["first_training_week"]).days == 63 and r["training_rows"] == 80
+        assert r["last_training_week"] == as_of and (as_of - r["first_training_week"]).days == 63 and r["training_rows"] == 80 and r["weeks"] == 10
+    counted = win.rolling_window(panel, FEATURES, n_weeks=10).groupBy("as_of").count().collect()
+    assert {r["as_of"]: r["count"] for r in counted} == {k: r["training_rows"] for k, r in spans.items()}
     moved = panel.withColumn("active_return_fwd", pan.F.lit(99.0))
     one = pdf(win.rolling_window(panel, FEATURES, n_weeks=10, as_of=week(12, START)).drop("active_return_fwd"), "week_date", "ticker")
     two = pdf(win.rolling_window(moved, FEATURES, n_weeks=10, as_of=week(12, START)).drop("active_return_fwd"), "week_date", "ticker")
@@ -100,10 +103,12 @@ def test_trees_are_deterministic_and_learn_a_planted_signal(spark):
 
 
 def test_seed_ensemble_values(spark):
-    seeds = [[3, 1, 2], [2, 2, 1], [1, 3, 3], [1, 3, 3], [2, 2, 1], [3, 1, 2]]
-    rows = [(s, week(i // 3), f"T{i % 3}", float(v)) for i, vs in enumerate(seeds) for s, v in enumerate(vs)]
+    """Four names, two seeds: mean of rank / 4, ties at their average rank."""
+    seen = {1: {"A": 10.0, "B": 30.0, "C": 30.0, "D": -5.0}, 2: {"A": 0.0, "B": 0.0, "C": 0.0, "D": 8.0}}
+    rows = [(seed, week(w), t, v) for seed, row in seen.items() for w in range(2) for t, v in row.items()]
     got = pdf(win.seed_ensemble(spark.createDataFrame(rows, "seed int, week_date date, ticker string, prediction double"), layout=SMALL), "week_date", "ticker")
-    assert np.allclose(got.score, [2 / 3, 5 / 9, 7 / 9, 7 / 9, 5 / 9, 2 / 3])
+    assert np.allclose(got.score, [(2 + 2) / 8, (3.5 + 2) / 8, (3.5 + 2) / 8, (1 + 4) / 8] * 2)
+    assert np.allclose(got.raw_prediction, [5, 15, 15, 1.5] * 2)
 
 
 def test_ranking_labels_use_ticker_ties(spark):
@@ -113,16 +118,23 @@ def test_ranking_labels_use_ticker_ties(spark):
 
 
 def test_candidates_change_one_parameter(spark):
-    bases = {"xgboost": dict(max_depth=2, min_child_weight=50, reg_lambda=10, n_estimators=120),
-             "lightgbm": dict(num_leaves=15, min_child_samples=300, reg_lambda=1.0, n_estimators=90, label_gain=[0, 1, 2, 3, 4])}
-    for kind, base in bases.items():
-        specs = win.neighbours(kind, base)
-        assert specs[0] == {"name": "incumbent", "params": base, "changed": {}} and len(specs) == 4
-        for s in specs[1:]:
-            assert {k for k in base if base[k] != s["params"][k]} == set(s["changed"]) and len(s["changed"]) == 1
-    assert len(win.neighbours("xgboost", {**bases["xgboost"], "reg_lambda": 2.0, "max_depth": 1})) == 2
-    assert win.candidate_table(spark, specs).filter("candidate = 'stronger_l2'").first()["changed"] == {"reg_lambda": "3.0"}
-    assert len(win.ranking_grid(10_000)) == 7 and win.ranking_grid(400_000)[4]["min_child_samples"] == 1000
+    bases = [("xgboost", {"max_depth": "4", "min_child_weight": "30", "reg_lambda": "5", "n_estimators": "77"}),
+             ("lightgbm", {"num_leaves": "9", "min_child_samples": "101", "reg_lambda": "0.5", "n_estimators": "77", "label_gain": "[0, 1]"})]
+    table = spark.createDataFrame(bases, "learner string, params map<string,string>")
+    got = {(r["learner"], r["candidate"]): r for r in win.neighbours(table).collect()}
+    assert len(got) == 8
+    for (learner, name), r in got.items():
+        base = dict(bases)[learner]
+        assert {k: v for k, v in r["params"].items() if base.get(k) != v} == r["changed"] and r["params"].keys() == base.keys()
+        assert len(r["changed"]) == (name != "incumbent") and r["params"]["n_estimators"] == "77"
+    changes = {name: r["changed"] for (learner, name), r in got.items() if learner == "lightgbm"}
+    assert changes == {"incumbent": {}, "fewer_leaves": {"num_leaves": "5"}, "larger_leaf_min": {"min_child_samples": "151"}, "stronger_l2": {"reg_lambda": "2.5"}}
+    assert got["xgboost", "shallower_depth"]["changed"] == {"max_depth": "3"}
+    floor = spark.createDataFrame([("xgboost", {"max_depth": "1", "min_child_weight": "30", "reg_lambda": "2"})], table.schema)
+    assert [r["candidate"] for r in win.neighbours(floor).orderBy("position").collect()] == ["incumbent", "larger_child"]
+    with pytest.raises(ValueError, match="Unknown learner"):
+        win.neighbours(spark.createDataFrame([("forest", {"a": "1"})], table.schema))
+    assert win.candidate_tasks(win.neighbours(table), spark.createDataFrame([(week(0),)], "as_of date")).count() == 32
 
 
 def test_candidate_choice_is_an_ordered_fold(spark):
@@ -135,63 +147,66 @@ def test_candidate_choice_is_an_ordered_fold(spark):
     assert got == {"x": "strong", "y": "defined", "z": "c"}
 
 
-def test_staged_search_branches():
-    def run(iterations, level=30):
-        calls = []
-        def evaluate(params, stage, patience):
-            calls.append(stage)
-            return {"stage": stage, "params": params, "information_ratio": params["x"], "cumulative_return": 0.0, "complexity": (1,),
-                    "median_best_iteration": iterations, "max_best_iteration": iterations}
-        grid = [{"x": x, "n_estimators": 100, "lambdarank_truncation_level": level} for x in (0.1, 0.9, 0.5)]
-        return (*win.staged_search(evaluate, grid, market_k=20), calls)
-    winner, results, refined, calls = run(50)
-    assert not refined and calls == ["stage1_01", "stage1_02", "stage1_03", "stage2_finalist_1", "stage2_finalist_2"] and winner["params"]["x"] == 0.9
-    assert run(90)[2] and run(90)[3][-1] == "stage3_conditional_refinement"
-    assert "stage2_finalist_1" not in run(50, level=23)[3]
-
-
 def test_resume_skips_finished_dates_and_refuses_changes(panel):
-    rows = win.rolling_window(panel, FEATURES, n_weeks=10)
     columns = ["ticker", "week_date", "active_return_train"]
-    signed = win.training_fingerprints(rows, columns, "config")
-    shuffled = win.training_fingerprints(rows.orderBy(pan.F.rand()), columns, "config")
-    assert signed.exceptAll(shuffled).count() == 0
+
+    def sign(df, config="config"):
+        return win.training_fingerprints(df, FEATURES, columns, config, n_weeks=10)
+
+    signed = sign(panel)
+    assert signed.exceptAll(sign(panel.orderBy(pan.F.rand()))).count() == 0
+    nudged = panel.withColumn("active_return_train", pan.F.when((panel.ticker == "T1") & (panel.week_date == week(3, START)), 0.5).otherwise(panel.active_return_train))
+    other = {r["as_of"]: r["signature"] for r in sign(nudged).collect()}
+    # week 3 lies in the ten-week windows that end before week 13
+    assert [r["as_of"] for r in signed.orderBy("as_of").collect() if other[r["as_of"]] == r["signature"]] == [week(13, START)]
     done = signed.filter(signed.as_of < week(12, START))
     assert {r["as_of"] for r in win.pending_dates(signed, done).collect()} == {week(12, START), week(13, START)}
     with pytest.raises(ValueError, match="differ"):
-        win.pending_dates(win.training_fingerprints(rows, columns, "other"), done)
+        win.pending_dates(sign(panel, "other"), done)
+
+
+def test_score_audit_has_a_row_per_model(spark, panel):
+    audits = win.window_audit(win.window_weeks(panel, FEATURES, n_weeks=10), win.weekly_content(panel, ["ticker"]), ["ticker"], "c")
+    models = spark.createDataFrame([(m, week(w, START)) for m in ("x", "y") for w in (9, 10, 12)], "model string, as_of date")
+    got = sc.score_audit(audits, models).collect()
+    assert sorted((r["model"], r["as_of"]) for r in got) == [(m, week(w, START)) for m in ("x", "y") for w in (10, 12)] and all(len(r["signature"]) == 64 for r in got)
 
 
-def gate_weekly(spark, gain, noise):
-    rng = np.random.default_rng(4)
+def gate_weekly(spark, steps):
+    """A level incumbent and a challenger whose gain walks through `steps`, four folds of 26 weeks."""
     rows = []
-    for w in range(208):
-        base = float(0.01 * np.sin(w))
-        for name, value in (("incumbent", base), ("better", base + gain + noise * float(rng.normal()))):
-            rows.append((week(60, START), name, w // 52 + 1, week(w, START), value))
+    for w in range(104):
+        base = 0.004 * ((w * 7) % 5 - 2)
+        rows += [(week(60, START), name, w // 26 + 1, week(w, START), base + gain) for name, gain in (("incumbent", 0.0), ("better", steps[w % len(steps)]))]
     df = spark.createDataFrame(rows, "as_of date, candidate string, fold int, week_date date, net_active_return double")
     zero = [pan.F.lit(0.0).alias(c) for c in ("gross_stock_return", "net_stock_return", "gross_active_return", "transaction_cost", "turnover")]
     return df.select("*", *zero, pan.F.lit(True).alias("complete"))
 
 
-def test_bootstrap_matches_brute_force_and_gate_decides(spark):
-    weekly = gate_weekly(spark, 0.002, 0.001)
+def test_bootstrap_is_drawn_by_name_and_the_gate_decides(spark):
+    steps = (0.003, 0.0005, 0.002)
+    weekly = gate_weekly(spark, steps)
+    gains = {f: [steps[w % 3] for w in range(104) if w // 26 + 1 == f] for f in (1, 2, 3, 4)}
+    sums = []
+    for rep in range(1, 501):
+        total = 0.0
+        for fold, d in gains.items():
+            for i in range(26):
+                name = f"{week(60, START)}|{fold}|{rep}|{i // 4}"
+                total += d[(int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + i % 4) % 26]
+        sums.append(52 * total / 104)
     boot = gt.block_bootstrap(weekly)
-    frame = pdf(weekly).pivot(index=["fold", "week_date"], columns="candidate", values="net_active_return")
-    rng = np.random.default_rng(int(week(60, START).strftime("%Y%m%d")))
-    total = np.zeros(500)
-    for _, fold in (frame.better - frame.incumbent).groupby("fold"):
-        d, starts = fold.to_numpy(), rng.integers(0, 52, size=(500, 13))
-        total += np.array([[d[(s + k) % 52] for s in row for k in range(4)][:52] for row in starts]).sum(axis=1)
-    assert boot.first()["lower_annual_gain"] == pytest.approx(np.quantile(52 * total / 208, 0.10))
+    assert boot.first()["lower_annual_gain"] == pytest.approx(float(pd.Series(sums).quantile(0.1)))
+    assert boot.exceptAll(gt.block_bootstrap(weekly.orderBy(pan.F.rand(3)))).count() == 0
     good = gt.gate(weekly, boot).first()
-    assert good["eligible"] and good["fold_ir_wins"] == 4 and good["annualized_net_active_gain"] > 0.09
-    weak_weekly = gate_weekly(spark, 0.00001, 0.004)
-    weak = gt.gate(weak_weekly, gt.block_bootstrap(weak_weekly)).first()
-    assert not weak["eligible"]
+    assert good["eligible"] and good["fold_ir_wins"] == 4
+    mixed = gate_weekly(spark, (0.02,) * 6 + (-0.0199,) * 6)
+    weak = gt.gate(mixed, gt.block_bootstrap(mixed)).first()
+    assert not weak["bootstrap_lower_gain_positive"] and not weak["eligible"]
     order = spark.createDataFrame([("incumbent", 0), ("better", 1)], "candidate string, position int")
-    for w, want in ((weekly, "better"), (weak_weekly, "incumbent")):
-        gates = gt.gate(w, gt.block_bootstrap(w))
-        assert gt.choose_winner(gt.stitched_metrics(w), gates, order).first()["selected"] == want
+    for w, want in ((weekly, "better"), (mixed, "incumbent")):
+        assert gt.choose_winner(gt.stitched_metrics(w), gt.gate(w, gt.block_bootstrap(w)), order).first()["selected"] == want
     with pytest.raises(ValueError, match="weeks differ"):
         gt.block_bootstrap(weekly.filter(f"candidate = 'incumbent' or week_date > '{week(3, START)}'"))
+    hole = weekly.withColumn("net_active_return", pan.F.when((weekly.week_date != week(5, START)) | (weekly.candidate == "incumbent"), weekly.net_active_return))
+    assert gt.block_bootstrap(hole).first()["lower_annual_gain"] is None
