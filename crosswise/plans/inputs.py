@@ -21,8 +21,13 @@ from .registry import BLOCKS, query, r, rounded, with_blocks
 
 BLOCKS.update(
     {
-        "day": ("", """select ticker, date, avg(price) as adj_close from (select unnest([l_returnflag, 'L' || l_linenumber]) as ticker, l_shipdate::date as date,
-            1000 + l_extendedprice / l_quantity / 500 as price from lineitem) group by 1, 2"""),
+        "dquote": ("", "select l_suppkey as k, l_shipdate::date as date, avg(1000 + l_extendedprice / l_quantity / 500) as price from lineitem group by 1, 2"),
+        "dcarry": ("dquote sess", """select k, price_date as date, last_value(price ignore nulls) over (partition by k order by price_date) as price from (
+            select t.k, s.price_date, q.price from (select k, min(date) as lo, max(date) as hi from dquote group by 1) t join sess s on s.price_date between t.lo and t.hi
+              left join dquote q on q.k = t.k and q.date = s.price_date)"""),
+        "day": ("dcarry", """select ticker, date, avg(price) as adj_close from (select unnest([l_returnflag, 'L' || l_linenumber]) as ticker, l_shipdate::date as date,
+            1000 + l_extendedprice / l_quantity / 500 as price from lineitem) group by 1, 2
+            union all select k::varchar, date, price * (1 + (((date - date '1970-01-01') * 13 + k * 7) % 11) * 0.001::double) from dcarry"""),
         "sess": ("", "select distinct l_shipdate::date as price_date from lineitem"),
         "anch": ("day", """select unnest(generate_series(lo + (((10 - isodow(lo)) % 7)::int), hi, interval 7 day))::date as week_date
                           from (select min(date) as lo, max(date) as hi from day)"""),

@@ -3,14 +3,15 @@
 px_weekly  one observed price per supplier and Wednesday; weeks without a
            shipment are absent (gaps stay gaps)
 px_dense   the same prices carried forward to the supplier's last observed week
-px_daily   one price per ship date for each return flag (nearly gap-free) and
-           each line number (with gaps)
+px_daily   one price per session: for every supplier from its first to its last
+           shipment (carried forward, with a small daily wiggle), and one per ship
+           date for each return flag (nearly gap-free) and line number (with gaps)
 scores     two deterministic models scored on px_dense
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import wednesday_on_or_after
@@ -110,17 +111,19 @@ def px_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def px_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linenumber", F.to_date("l_shipdate").alias("date"), index_level().alias("price"))
     names = F.array("l_returnflag", F.concat(F.lit("L"), F.col("l_linenumber").cast("string")))
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select(
-            F.explode(names).alias("ticker"),
-            F.to_date("l_shipdate").alias("date"),
-            index_level().alias("price"),
-        )
-        .groupBy("ticker", "date")
-        .agg(F.avg("price").alias("adj_close"))
-    )
+    groups = lines.select(F.explode(names).alias("ticker"), "date", "price").groupBy("ticker", "date").agg(F.avg("price").alias("adj_close"))
+    quotes = lines.groupBy("l_suppkey", "date").agg(F.avg("price").alias("price"))
+    # Only one row per supplier is exploded to days; the join keeps the sessions.
+    span = quotes.groupBy("l_suppkey").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    days = span.select("l_suppkey", F.explode(F.sequence("lo", "hi")).alias("date"))
+    days = days.join(sessions(spark, sf_dir).select(F.col("price_date").alias("date")), "date")
+    held = F.last("price", ignorenulls=True).over(Window.partitionBy("l_suppkey").orderBy("date"))
+    carried = days.join(quotes, ["l_suppkey", "date"], "left").select("l_suppkey", "date", held.alias("price"))
+    wiggle = 1 + ((F.unix_date("date") * 13 + F.col("l_suppkey") * 7) % 11) * 0.001
+    own = carried.select(F.col("l_suppkey").cast("string").alias("ticker"), "date", (F.col("price") * wiggle).alias("adj_close"))
+    return groups.unionByName(own)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

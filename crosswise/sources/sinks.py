@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import require_none
-from .storage import list_files, week_files
+from .storage import cut_lineage, list_files, week_files
 
 
 def publish_plan(rows: DataFrame, root: str) -> DataFrame:
@@ -43,26 +43,33 @@ def publish_plan(rows: DataFrame, root: str) -> DataFrame:
     )
 
 
-def publish_weeks(rows: DataFrame, root: str, dry_run: bool = False, partition: str = "week_date") -> DataFrame:
+def publish_weeks(rows: DataFrame, root: str, dry_run: bool = False, partition: str = "week_date", planned: DataFrame | None = None) -> DataFrame:
     """K1/K2/K8: append only the weeks that hold no file, then verify.
 
     Rows of a week go to one writer unless the week is large: the hash of the
-    week plus AQE's rebalance splits oversized weeks over several files.
-    Returns one status row per week.
+    week plus AQE's rebalance splits oversized weeks over several files. The
+    decision is a stored table of weeks, so the listing may change during the
+    write and the input is read for the counts and for the write only. Weeks that
+    an earlier plan (`planned`, from publish_plan) had free and another writer has
+    filled since are left alone as skipped_concurrent_existing. Returns one status
+    row per week.
     """
     spark = rows.sparkSession
-    before = week_files(spark, root).select("week_date").distinct()
+    stored = week_files(spark, root).select("week_date").distinct().withColumn("__stored", F.lit(True))
     weeks = rows.groupBy("week_date").agg(F.count(F.lit(1)).alias("rows"))
-    # Pin the decision: the listing changes once the write starts.
-    taken = [r["week_date"] for r in before.collect()]  # one entry per stored week
-    present = F.col("week_date").isin(taken) if taken else F.lit(False)
+    free = (planned if planned is not None else weeks.withColumn("action", F.lit(None).cast("string"))).filter("action = 'upload'").select("week_date", F.lit(True).alias("__free"))
+    decided = weeks.join(stored, "week_date", "left").join(free, "week_date", "left")
+    new = "would_upload" if dry_run else "uploaded"
+    old = "skip_existing" if dry_run else "skipped_existing"
+    status = F.when(F.col("__stored").isNull(), new).when(F.col("__free"), "skipped_concurrent_existing").otherwise(old)
+    decided = cut_lineage(decided.select("week_date", status.alias("status"), "rows"))
     if dry_run:
-        return weeks.select("week_date", F.when(present, "skip_existing").otherwise("would_upload").alias("status"), "rows")
-    fresh = rows.filter(~present)
+        return decided
+    fresh = rows.join(decided.filter(F.col("status") == new).select("week_date"), "week_date", "left_semi").select(*rows.columns)
     fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(root)
     after = week_files(spark, root).select("week_date").distinct()
-    require_none(weeks.join(after, "week_date", "left_anti"), "Weeks missing after publishing")
-    return weeks.select("week_date", F.when(present, "skipped_existing").otherwise("uploaded").alias("status"), "rows")
+    require_none(decided.join(after, "week_date", "left_anti"), "Weeks missing after publishing")
+    return decided
 
 
 VOLATILE = ("published_at_utc", "upload")

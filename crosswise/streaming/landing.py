@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.storage import cut_lineage
+
 KEY = ("feature_version", "data_version", "week_date", "ticker")
 
 
@@ -72,10 +74,9 @@ def announce_ready(counts: DataFrame, expected: DataFrame, root: str, checkpoint
         except AnalysisException as error:
             if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        # Reading and overwriting the same root: the week list is calendar-sized
-        # and is fixed before the write starts.
-        rows = ready.collect()
-        spark.createDataFrame(rows, ready.schema).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        # Reading and overwriting the same root: the week list is stored elsewhere
+        # before the write starts.
+        cut_lineage(ready).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     writer = counts.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

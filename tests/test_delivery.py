@@ -13,7 +13,7 @@ from crosswise.sources import prices as src
 from crosswise.sources import sectors as sec
 from crosswise.sources import sinks
 from crosswise.sources import snapshots as snap
-from crosswise.sources.storage import list_files, shared_folder, week_files
+from crosswise.sources.storage import cut_lineage, list_files, shared_folder, week_files
 from crosswise.streaming import landing, messages
 
 
@@ -116,8 +116,12 @@ def test_publishing_is_idempotent_and_verified(spark):
     second = {r["week_date"]: r["status"] for r in sinks.publish_weeks(snapshot_rows(spark, [0, 1, 2]), root).collect()}
     assert second[week(2)] == "uploaded" and second[week(0)] == "skipped_existing"
     assert before <= {(r["path"], r["modified"]) for r in week_files(spark, root).collect()}
-    assert snap.read_snapshots(spark, root).count() == 9
-    assert snap.read_snapshots(spark, root, start=week(2).isoformat()).count() == 3
+    planned = cut_lineage(sinks.publish_plan(snapshot_rows(spark, [2, 3, 4]), root))
+    sinks.publish_weeks(snapshot_rows(spark, [3]), root)  # another writer
+    third = {r["week_date"]: r["status"] for r in sinks.publish_weeks(snapshot_rows(spark, [2, 3, 4]), root, planned=planned).collect()}
+    assert third == {week(2): "skipped_existing", week(3): "skipped_concurrent_existing", week(4): "uploaded"}
+    assert snap.read_snapshots(spark, root).count() == 15
+    assert snap.read_snapshots(spark, root, start=week(2).isoformat()).count() == 9
     with pytest.raises(ValueError, match="Duplicate"):
         snapshot_rows(spark, [0]).write.mode("append").partitionBy("week_date").json(root)
         snap.read_snapshots(spark, root)
