@@ -8,11 +8,18 @@ shingles. Every text picks its own l, lengthening its prefix as long as the esti
 of candidates falls; a pair needs as many shared prefix shingles as the smaller of its two
 l before it is verified on the whole sets.
 
-Equal sets are one node from the start. Links are found in rounds: first every prefix
-shingle's texts are compared with one pivot among them, which joins large groups of near
-copies at linear cost; then only pairs of texts that no link connects yet are joined, on
-the shingles that still meet several components. Verified links are exact, and pairs left
-out are connected already, so components are complete.
+Equal sets are one node from the start, and shingles count only where texts of compatible
+size meet. For the texts left, shingles that no other of them holds are counted on the
+whole sets: so many can never be shared. They, and bitmaps of the sets in the last round, bound the
+overlap of every pair from above, which keeps near copies that are not near enough from
+being emitted and verified pair by pair.
+
+Links are found in rounds: first every text is compared with one pivot of its prefix
+shingles (in the first round the text with the fewest shingles of its own), which joins
+large groups of near copies at linear cost; then only pairs of texts that no link connects
+yet are joined, on the shingles that still meet several components. Verified links are
+exact, and pairs left out are connected already or cannot be links, so components are
+complete.
 
 Shingles, sets and nodes are 64-bit hashes (see textkit). Defined results: a text without
 words (null, empty, blanks) has no shingles and is its own component; rows with a null key
@@ -36,11 +43,14 @@ from . import textkit
 from .tasks import free_name, measure_texts
 
 #: Counters of the sketch (a bounded broadcast of one byte each) and bits of the key filter.
-SKETCH_BITS, FILTER_BITS = 20, 22
+SKETCH_BITS, FILTER_BITS = 22, 22
 MOST_MATCHES = 8
+#: 64-bit words of a set's signature, a bitmap of its hashed shingles.
+SIGNATURE = 16
 PIVOT_ROUNDS = 2
-#: Assumed cost of verifying a candidate, per shingle, against reading an entry of a list.
-VERIFY = 0.05
+#: Assumed cost of a candidate against that of reading an entry of a list: moving its set,
+#: and comparing it, per shingle.
+FETCH, VERIFY = 20.0, 0.05
 _BLOCK = 1 << 16
 
 
@@ -67,7 +77,7 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for rows in textkit.slices(batch, 0, 8 << 20):
+            for rows in textkit.slices(batch, 0, 4 << 20):
                 found, _ = shingles(*textkit.buffers(rows.column(0)), n)
                 total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -117,6 +127,16 @@ def set_hashes(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return textkit.mix(textkit.mix(sums[0]) + sums[1] * textkit._BASE + np.diff(first).astype(np.uint64))
 
 
+def signatures(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SIGNATURE words per set. A bit that one set has and another lacks stands for a
+    shingle, at least, that they do not share."""
+    out = np.zeros((len(first) - 1) * SIGNATURE, np.uint64)
+    bit = (textkit.mix(tokens) >> np.uint64(3)) % np.uint64(64 * SIGNATURE)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    np.bitwise_or.at(out, owner * SIGNATURE + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 def choose_matches(tokens: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
     """Per text, the number of shared prefix shingles with the least estimated cost: reading
     the lists of the prefix, plus verifying the texts that can occur so often in them."""
@@ -127,7 +147,7 @@ def choose_matches(tokens: np.ndarray, first: np.ndarray, percent: int) -> np.nd
     for k in range(1, MOST_MATCHES + 1):
         end = first[:-1] + np.maximum(size - need + k, 0)
         entries = often[np.minimum(end, first[1:])] - often[first[:-1]]
-        cost = np.where(k <= need, entries * (1 + VERIFY * size / k), np.inf)
+        cost = np.where(k <= need, entries * (1 + (FETCH + VERIFY * size) / k), np.inf)
         choice = np.where(cost < best, k, choice)
         best = np.minimum(best, cost)
     return choice
@@ -148,7 +168,7 @@ def measured(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
         prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[at].view(np.int64)))
         return [size, pa.array(node.view(np.int64), mask=size == 0), matches, prefix]
 
-    out = measure_texts(docs, sets, "n_shingles long, node long, matches int, prefix array<long>", "s", carry=["doc_id"], limit=8 << 20)
+    out = measure_texts(docs, sets, "n_shingles long, node long, matches int, prefix array<long>", "s", carry=["doc_id"], limit=4 << 20)
     return out.select("doc_id", "s.*")
 
 
@@ -162,8 +182,8 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, classes: np.ndarray) -> DataFrame:
-    """(node, members): the sorted set, as bytes, of each wanted (node, doc_id). Only texts
-    whose key may be wanted are cut into shingles."""
+    """(node, members): the sorted set of each wanted (node, doc_id). Only texts whose key
+    may be wanted are cut into shingles."""
     bits = key_filter(wanted)
     keyed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("bit"))
 
@@ -171,33 +191,46 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, classes: np.ndarray)
         for batch in batches:
             bit = batch.column(2).to_numpy()
             chosen = (bits[bit >> 3] >> (7 - (bit & 7))) & 1
-            for rows in textkit.slices(batch.filter(pa.array(chosen.astype(bool))), 1, 8 << 20):
+            for rows in textkit.slices(batch.filter(pa.array(chosen.astype(bool))), 1, 4 << 20):
                 tokens, first = sorted_sets(*textkit.buffers(rows.column(1)), n, classes)
-                data = tokens.tobytes()
-                nodes = pa.array(set_hashes(tokens, first).view(np.int64))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array([data[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())], ["node", "members"])
+                members = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tokens.view(np.int64)))
+                words = SIGNATURE * np.arange(len(first))
+                signs = pa.ListArray.from_arrays(pa.array(words, pa.int32()), pa.array(signatures(tokens, first).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(tokens, first).view(np.int64)), members, signs], ["node", "members", "signature"])
 
-    found = keyed.mapInArrow(run, "node long, members binary")
+    found = keyed.mapInArrow(run, "node long, members array<long>, signature array<long>")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def shared_enough(lists: DataFrame, percent: int) -> DataFrame:
+    """Nodes that share enough prefix shingles with texts of compatible size for any link.
+    Compatible sizes fall into the same or the next class of a logarithmic scale."""
+    scale = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9)
+    classed = lists.withColumn("class", scale)
+    present = classed.groupBy("token", "class").agg(F.count("*").alias("n"), F.min("matches").alias("least"))
+    around = present.select("token", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"), "n", "least")
+    near = around.groupBy("token", "class").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 1")
+    met = classed.join(near, ["token", "class"])
+    return met.groupBy("node").agg(F.count("*").alias("n"), F.min(F.least("matches", "least")).alias("least")).where("n >= least").select("node")
+
+
+def shareable(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, most): shingles of each set that some other of the sets holds too, for the
+    nodes that have enough of them for any link."""
+    members = sets.select("node", F.explode("members").alias("token"))
+    single = members.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = single.groupBy("node").agg(F.count("*").alias("alone"))
+    sized = sets.select("node", F.size("members").cast("long").alias("size")).join(alone, "node", "left")
+    most = sized.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    return most.where(f"100 * most >= {percent} * size").select("node", "most")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                one, two = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
-                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-                both = int((two[at] == one).sum())
-                good[i] = 100 * both >= percent * (len(one) + len(two) - both)
-            yield batch.filter(pa.array(good)).select(["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
+    return sized.where(f"100 * both >= {percent} * (sum - both)").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,36 +266,42 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "
     entries = nodes.select("node", F.col("s.n_shingles").alias("size"), F.col("s.matches").alias("matches"), F.explode("s.prefix").alias("token"))
     # Size and matches travel as one number: this is the largest shuffle.
     slim = entries.select("token", "node", (F.col("size") * 16 + F.col("matches")).alias("meta"))
-    shared = slim.groupBy("token").agg(F.count("*").alias("n"), F.min(F.col("meta") % 16).alias("least")).where("n > 1").drop("n")
-    lists = cut_lineage(slim.join(shared, "token").select("token", "node", F.expr("meta div 16").alias("size"), (F.col("meta") % 16).cast("int").alias("matches"), "least"))
-    # Texts with too few shared prefix shingles for any partner are out.
-    hopeful = lists.groupBy("node").agg(F.count("*").alias("n"), F.min(F.least("matches", "least")).alias("least")).where("n >= least").select("node")
-    lists = cut_lineage(lists.join(hopeful, "node").drop("least"))
-    wanted = linked.join(hopeful, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut_lineage(wanted)
+    shared = slim.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    lists = cut_lineage(slim.join(shared, "token").select("token", "node", F.expr("meta div 16").alias("size"), (F.col("meta") % 16).cast("int").alias("matches")))
+    hopeful = shared_enough(lists, percent)
+    wanted = cut_lineage(linked.join(hopeful, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     sets = cut_lineage(whole_sets(docs, wanted, n, classes))
+    lists = cut_lineage(lists.join(shareable(sets, percent), "node"))
     # Rows that share a key are connected.
     keyed = linked.select("doc_id", "node").distinct()
     several = keyed.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     links = keyed.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     links = cut_lineage(links)
     roots = components(links)
+    # Sizes are compatible, and the shingles that may be shared make up enough of both sets.
+    near = f"root <> root2 and node <> node2 and {100 + percent} * least(most, most2) >= {percent} * (size + size2)"
+    two = ["node2", "root2", "size2", "matches2", "most2"]
     for turn in range(PIVOT_ROUNDS + 1):
         seen = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        alive = seen.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "size", "matches")).alias("pivot"))
+        order = F.struct((F.col("size") - F.col("most")) / F.col("size") if turn == 0 else F.lit(0.0), F.xxhash64("node", F.lit(turn)))
+        alive = seen.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(order.alias("order"), "node", "root", "size", "matches", "most")).alias("pivot"))
         alive = alive.where("low <> high").drop("low", "high")
-        near = "100 * least(size, size2) >= {0} * greatest(size, size2) and root <> root2 and node <> node2".format(percent)
-        two = ["node2", "root2", "size2", "matches2"]
         if turn < PIVOT_ROUNDS:
             other = alive.select("token", *[F.col(f"pivot.{c[:-1]}").alias(c) for c in two])
-            met = seen.join(other, "token").where(near)
+            met = seen.join(other, "token").where(near).groupBy("node", "node2").agg(F.count("*").alias("n"))
+            # Each text is compared with the pivot of most of its shingles.
+            pairs = met.groupBy("node").agg(F.max_by("node2", F.struct("n", "node2")).alias("node2"))
         else:
-            live = cut_lineage(seen.join(alive.select("token"), "token", "left_semi"))
-            other = live.select("token", *[F.col(c[:-1]).alias(c) for c in two])
-            met = live.join(other, "token").where(near + " and node < node2")
-        pairs = met.groupBy("node", "node2").agg(F.count("*").alias("n"), F.first(F.least("matches", "matches2")).alias("need")).where("n >= need")
+            # Words of the signature as columns: the comparison stays in generated code.
+            words = [F.coalesce(F.col("signature")[i], F.lit(0)).alias(f"s{i}") for i in range(SIGNATURE)]
+            live = cut_lineage(seen.join(alive.select("token"), "token", "left_semi").join(sets.select("node", *words), "node"))
+            other = live.select("token", *[F.col(c[:-1]).alias(c) for c in two], *[F.col(f"s{i}").alias(f"t{i}") for i in range(SIGNATURE)])
+            own = lambda a, b: " + ".join(f"bit_count({a}{i} & ~{b}{i})" for i in range(SIGNATURE))
+            share = f"least(size - ({own('s', 't')}), size2 - ({own('t', 's')}))"
+            met = live.join(other, "token").where(f"{near} and node < node2 and {100 + percent} * {share} >= {percent} * (size + size2)")
+            pairs = met.groupBy("node", "node2").agg(F.count("*").alias("n"), F.first(F.least("matches", "matches2")).alias("need")).where("n >= need")
         pairs = cut_lineage(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
-        links = cut_lineage(links.union(verified(pairs, sets, percent).select("a", "b")))
+        links = cut_lineage(links.union(verified(pairs, sets, percent)))
         roots = components(links)
     smallest = linked.groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = smallest.groupBy("root").agg(F.min("low").alias("component_id"))
