@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from crosswise.sources.storage import cut_lineage
 
-CENTROIDS = 128
+CENTROIDS = 64
 SAMPLE = 20_000
 ROUNDS = 12
 #: Entries a query looks at: this share of all, and this many at least. Vectors without
 #: cluster structure need a large share for a recall of 0.9; clustered ones far less.
-PROBE_SHARE = 0.4
+PROBE_SHARE = 0.45
 PROBE_LEAST = 4096
 BLOCK = 8192
 CHUNK = 1024
@@ -168,8 +168,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
             cell, x = held.column("cell").to_numpy(), matrix(held.column("vec"))
             ids = held.column("ids").to_pylist()
             q, names, lists = matrix(wanted.column("vec")), wanted.column("query_id").to_pylist(), wanted.column("cells").to_pylist()
+            taken = np.zeros(cells, dtype=bool)
             for i in range(len(names)):
-                rows = np.flatnonzero(np.isin(cell, lists[i]))
+                taken[lists[i]] = True
+                rows = np.flatnonzero(taken[cell])
+                taken[lists[i]] = False
                 score = np.einsum("nd,d->n", x[rows], q[i])
                 best = rows[score >= np.partition(score, -(k + 1))[-(k + 1)]] if len(rows) > k + 1 else rows
                 value = dict(zip(rows.tolist(), score.tolist()))
