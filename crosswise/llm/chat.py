@@ -54,16 +54,17 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     linked = slim.join(ids, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("parent") == F.col("known")), "left")
     state = cut_lineage(linked.select("tree", "node", F.col("known").alias("up"), "score", F.lit(1).cast("long").alias("depth")))
     jumps = []
+    sizes = slim.groupBy("tree").agg(F.count("*").alias("size")).select(F.col("tree").alias("tree3"), "size")
     while state.where("up is not null").limit(1).count():
-        jumps.append(state.select("tree", F.col("node").alias("at"), "up"))
-        if len(jumps) > 62:
-            break
+        # Nodes that have passed the root rest; only the others are joined again.
+        active = state.where("up is not null")
+        jumps.append(active.select("tree", F.col("node").alias("at"), "up"))
         above = state.select(F.col("tree").alias("tree2"), F.col("node").alias("node2"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        met = state.join(above, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("up") == F.col("node2")), "left")
+        met = active.join(above, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("up") == F.col("node2")), "left")
         doubled = met.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
         # On a cycle pointers never end: depths beyond the tree's own size give it away.
-        sizes = slim.groupBy("tree").agg(F.count("*").alias("size")).select(F.col("tree").alias("tree3"), "size")
-        state = cut_lineage(doubled.join(sizes, F.col("tree").eqNullSafe(F.col("tree3"))).where("depth <= size").drop("tree3", "size"))
+        doubled = doubled.join(sizes, F.col("tree").eqNullSafe(F.col("tree3"))).where("depth <= size").drop("tree3", "size")
+        state = cut_lineage(state.where("up is null").unionByName(doubled))
     parents = slim.where("parent is not null").select(F.col("tree").alias("tree2"), F.col("parent").alias("node2")).distinct()
     leaves = state.where("up is null").join(parents, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("node") == F.col("node2")), "left_anti")
     mean = F.col("score") / F.col("depth")
@@ -71,7 +72,7 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     chosen = leaves.select("tree", F.col("node").alias("leaf"), mean.alias("branch_score"), "depth", rank.alias("branch_rank")).where(F.col("branch_rank") <= per_tree)
     walk = cut_lineage(chosen.withColumn("at", F.col("leaf")).withColumn("back", F.lit(0).cast("long")))
     for k in reversed(range(len(jumps))):
-        jump = jumps[k].where("up is not null").select(F.col("tree").alias("tree2"), F.col("at").alias("at2"), "up")
+        jump = jumps[k].select(F.col("tree").alias("tree2"), F.col("at").alias("at2"), "up")
         up = walk.join(jump, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("at") == F.col("at2")))
         # Stored: each round reads the walk twice, which would double the plan every time.
         walk = cut_lineage(walk.unionByName(up.drop("tree2", "at2", "at").withColumn("back", F.col("back") + 2**k).withColumnRenamed("up", "at")))
