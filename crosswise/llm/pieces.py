@@ -25,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,15 +62,22 @@ class Vocabulary:
         self.weight = np.full(n, -np.inf)
         self.weight[pieces] = -theta * np.log(np.maximum(rank, 0) + 2)
         self.byte_weight = -theta * np.log(n + 2)
-        text = np.concatenate([np.array([ord(c) for c in model.id_to_piece(i)], np.uint64) for i in pieces])
-        size = np.array([len(model.id_to_piece(i)) for i in pieces])
+        # Every prefix of a piece is in the table: -2 where it is no piece itself.
+        known: dict[str, int] = {}
+        for i in pieces:
+            piece = model.id_to_piece(i)
+            known[piece] = i
+            for k in range(1, len(piece)):
+                known.setdefault(piece[:k], -2)
+        text = np.array([ord(c) for piece in known for c in piece], np.uint64)
+        size = np.array([len(piece) for piece in known])
         end = np.cumsum(size)
         hashes = Spans(text).hash(end - size, end)
-        self.bits = max(8, int(len(pieces)).bit_length() + 3)
+        self.bits = max(8, len(known).bit_length() + 3)
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        for h, i in zip(hashes.tolist(), pieces):
+        for h, i in zip(hashes.tolist(), known.values()):
             at = h & ((1 << self.bits) - 1)
-            while self.ids[at] >= 0:
+            while self.ids[at] != -1:
                 at = (at + 1) & ((1 << self.bits) - 1)
             self.keys[at], self.ids[at] = h, i
         self.lengths = np.array([len(b) for b in self.bytes_of])
@@ -77,16 +85,19 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of hashed pieces, -1 where there is none."""
+        """Ids of hashed pieces; -2 for what only begins pieces, -1 for anything else."""
         mask = np.uint64((1 << self.bits) - 1)
         at = (hashes & mask).astype(np.int64)
-        out = np.where(self.keys[at] == hashes, self.ids[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.ids[at] >= 0))
+        found = self.ids[at]
+        same = self.keys[at] == hashes
+        out = np.where(same, found, -1)
+        open_ = np.flatnonzero(~same & (found != -1))
         while len(open_):
             at[open_] = (at[open_] + 1) & int(mask)
+            found = self.ids[at[open_]]
             same = self.keys[at[open_]] == hashes[open_]
-            out[open_[same]] = self.ids[at[open_[same]]]
-            open_ = open_[~same & (self.ids[at[open_]] >= 0)]
+            out[open_[same]] = found[same]
+            open_ = open_[~same & (found != -1)]
         return out
 
 
@@ -117,13 +128,17 @@ class Lattice:
         last = np.append(np.flatnonzero(edge)[1:], n)
         room = np.repeat(last, np.diff(np.append(np.flatnonzero(edge), n))) - np.arange(n)
         starts, lengths, ids = [], [], []
-        for k in range(1, min(words.longest, int(room.max(initial=0))) + 1):
-            at = np.flatnonzero(room >= k)
+        at = np.arange(n)
+        for k in range(1, words.longest + 1):
+            at = at[room[at] >= k]
+            if not len(at):
+                break
             found = words.look_up(spans.hash(at, at + k))
             hit = found >= 0 if k > 1 else np.ones(len(at), dtype=bool)
             starts.append(at[hit])
             lengths.append(np.full(int(hit.sum()), k))
             ids.append(found[hit])
+            at = at[found != -1]  # what begins no piece need not be lengthened
         start, length, self.ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, ids))
         self.size = np.ones(len(start), np.int64)  # ids that a candidate stands for
         spelled = np.flatnonzero(self.ids < 0)
@@ -137,9 +152,7 @@ class Lattice:
         number[order] = np.arange(len(order))
         self.spelled_at = number[spelled]
         # Places that no piece spans end a segment: forward sums start anew there.
-        cover = np.zeros(n + 1, np.int64)
-        np.add.at(cover, self.start + 1, 1)
-        np.add.at(cover, end, -1)
+        cover = np.bincount(self.start + 1, minlength=n + 1) - np.bincount(end, minlength=n + 1)
         cut = edge | (np.cumsum(cover[:n]) == 0)
         head = np.flatnonzero(cut)
         own_head = np.repeat(head, np.diff(np.append(head, n)))
@@ -256,7 +269,7 @@ def sample_pieces(docs: DataFrame, model: str, seed: int = 11, theta: float = TH
         return [np.diff(bounds), pa.array([data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())]
 
     source = docs.withColumn(hashed, F.xxhash64(F.lit(seed), F.col(f"`{key}`")))
-    return measure_texts(source, run, "n_pieces long, ids binary", into, text, [*carry, hashed], 4 << 20).drop(hashed)
+    return measure_texts(source, run, "n_pieces long, ids binary", into, text, [*carry, hashed], 1 << 20).drop(hashed)
 
 
 def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -268,13 +281,19 @@ def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", into: str = "de
 
     def run(batches):
         words = vocabulary(model)
-        for batch in batches:
-            blobs = [b or b"" for b in batch.column(at).to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int64)
-            data, ends = decode(np.frombuffer(b"".join(blobs), "<u4").astype(np.int64), bounds, words)
-            flat = data.tobytes()
-            texts = [flat[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(texts, pa.string())], schema=arrow)
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(at)), 0).to_numpy())
+            first = 0
+            while first < whole.num_rows:  # rows of about 2^18 ids at a time
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 20), "right")))
+                batch = whole.slice(first, last - first)
+                first = last
+                blobs = [b or b"" for b in batch.column(at).to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int64)
+                data, stops = decode(np.frombuffer(b"".join(blobs), "<u4").astype(np.int64), bounds, words)
+                flat = data.tobytes()
+                texts = [flat[a:b].decode() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(texts, pa.string())], schema=arrow)
 
     return source.mapInArrow(run, out)
 
