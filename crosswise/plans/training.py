@@ -137,16 +137,34 @@ def _(spark, sf):
     return rounded(ln.fold_baseline_mse(train_panel(spark, sf), folds_of(spark, sf), list(TWO), data_start=START))
 
 
+# w05 keeps its SQL and its date; this one has the outcomes of every window.
+@query("w05_window_outcomes", with_blocks("twin trows target", f"""select as_of, t.ticker, t.week_date, {r('raw_active_return')} as raw_active_return
+    from twin join trows t using (week_date) join target o on o.ticker = t.ticker and o.week_date = t.week_date"""))
+def _(spark, sf):
+    """Outcomes are attached once per row; windows are joined afterwards."""
+    panel, rets = train_panel(spark, sf), views.dense_returns(spark, sf)
+    rows = win.complete_rows(panel, list(TWO), START).select("ticker", "week_date")
+    attached = out.attach_outcomes(rows, out.raw_outcomes(rets, rets, views.universe(spark, sf), check=False))
+    windows = win.window_weeks(panel, list(TWO), data_start=START)
+    return rounded(attached.join(windows, "week_date").select("as_of", "ticker", "week_date", "raw_active_return"))
+
+
+def tree_search(spark, sf):
+    """The compact grid on the folds of every as-of date, refitted for three seeds."""
+    panel, rets, layout = train_panel(spark, sf), views.dense_returns(spark, sf), views.universe(spark, sf)
+    folds = win.week_folds(win.window_weeks(panel, list(TWO), data_start=START), keys=["as_of"])
+    outcomes = out.raw_outcomes(rets, rets, layout, check=False)
+    return ln.rolling_trees(panel, outcomes, folds, list(TWO), win.regression_grid("compact"), layout=layout, data_start=START)
+
+
 @query("w08_boosted_trees")
 def _(spark, sf):
-    """One dated fit of the first grid point with few trees, scored on its week."""
-    panel = train_panel(spark, sf)
-    last = views.dense_weeks(spark, sf).agg(F.max("week_date")).first()[0]
-    window = win.rolling_window(panel, list(TWO), data_start=START, as_of=last)
-    params = {**win.regression_grid("compact")[1], "n_estimators": 10}
-    model = ln.fit_trees(window, list(TWO), params, seed=42)
-    snapshot = panel.filter(F.col("week_date") == F.lit(last))
-    return ln.score_trees(model, snapshot, list(TWO), ["ticker", "sector", "week_date"])
+    return tree_search(spark, sf)[1]
+
+
+@query("w08_tree_candidates")
+def _(spark, sf):
+    return tree_search(spark, sf)[0]
 
 
 BASES = [

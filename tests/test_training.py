@@ -210,3 +210,18 @@ def test_bootstrap_is_drawn_by_name_and_the_gate_decides(spark):
         gt.block_bootstrap(weekly.filter(f"candidate = 'incumbent' or week_date > '{week(3, START)}'"))
     hole = weekly.withColumn("net_active_return", pan.F.when((weekly.week_date != week(5, START)) | (weekly.candidate == "incumbent"), weekly.net_active_return))
     assert gt.block_bootstrap(hole).first()["lower_annual_gain"] is None
+
+
+def test_tree_search_covers_every_date_point_fold_and_seed(panel):
+    outcomes = panel.select("ticker", "week_date", pan.F.col("active_return_train").alias("raw_active_return"))
+    folds = win.week_folds(win.window_weeks(panel, FEATURES, n_weeks=12), n_splits=2, keys=["as_of"])
+    points = [{**p, "n_estimators": 4, "min_child_weight": 2, "learning_rate": 0.3} for p in win.regression_grid("compact")[:2]]
+    found, scored = ln.rolling_trees(panel, outcomes, folds, FEATURES, points, layout=SMALL)
+    found, scored = pdf(found, "as_of", "position"), pdf(scored, "week_date", "ticker")
+    assert found.as_of.tolist() == [week(12, START)] * 2 + [week(13, START)] * 2 and found.position.tolist() == [0, 1, 0, 1]
+    assert all(len(x) == 2 and min(x) >= 1 and max(x) <= 4 for x in found.iterations)
+    assert (found.groupby("as_of").selected.sum() == 1).all() and (found.cv_mse > 0).all()
+    assert (found.n_trees == [int(np.median(x)) for x in found.iterations]).all()
+    won = found[found.selected].set_index("as_of")
+    assert len(scored) == 16 and (scored.n_seeds == 3).all() and scored.score.notna().all()
+    assert all(won.position[r.week_date] == r.candidate and won.n_trees[r.week_date] == r.n_trees for r in scored.itertuples())
