@@ -345,25 +345,66 @@ BLOCKS.update(
 )
 
 
+# Every as-of date whose 260 weeks are in the calendar. At the last one a week has no outcome
+# yet, which makes the bound missing and its check fail; the two dates above never see that.
+ALL_DATES = {
+    BLOCKS["gdates"][1]: """select as_of, 0 as i, week_date from (select week_date as as_of from dweeks where week_date - 7 * 259 >= (select min(week_date) from dweeks))
+        cross join (select week_date from dweeks) where week_date > as_of - 7 * 260 and week_date <= as_of""",
+    "quantile_cont(gain, 0.1) as lower": "case when count(gain) = count(*) then quantile_cont(gain, 0.1) end as lower",
+    "52 * sum(g.delta) / count(*) as gain": "case when count(g.delta) = count(*) then 52 * sum(g.delta) / count(*) end as gain",
+    "lower > 0 as c5": "coalesce(lower > 0, false) as c5",
+}
+
+
+def gated(name, sql):
+    """The query on two as-of dates, and NAME_all_dates on every date of the calendar, with the same SQL but for ALL_DATES."""
+    def register(fn):
+        every = sql
+        for old, new in ALL_DATES.items():
+            every = every.replace(old, new)
+        query(name, sql)(lambda spark, sf: fn(spark, gate_weekly(spark, sf)))
+        query(f"{name}_all_dates", every)(lambda spark, sf: fn(spark, gate_weekly_all_dates(spark, sf)))
+        return fn
+
+    return register
+
+
+def gate_folds(dates):
+    windows = dates.select("as_of", F.explode(F.sequence(F.date_sub("as_of", 7 * 259), F.col("as_of"), F.expr("interval 7 days"))).alias("week_date"))
+    return win.week_folds(windows, keys=["as_of"]).filter("role = 'validation'").select("as_of", "fold", "week_date")
+
+
+def gate_rows(spark, sf):
+    rows = out.realized_outcomes(views.dense_returns(spark, sf), views.universe(spark, sf), weeks=views.dense_weeks(spark, sf))
+    return rows.selectExpr("ticker", "week_date", "return_1w", "return_4w", "return_13w", "raw_active_return_fwd as raw_active_return",
+                           "stock_return_fwd as raw_stock_return", "active_return_fwd as active_return_train")
+
+
+def gate_scores(rows):
+    return views.as_models(rows, CANDIDATES).withColumnsRenamed({"model": "candidate", "prediction": "score"}).filter("score is not null")
+
+
 def gate_weekly(spark, sf):
     """Three candidates on the validation folds of two as-of dates."""
-    weeks = views.dense_weeks(spark, sf)
-    last = weeks.agg(F.date_sub(F.max("week_date"), 70).alias("a"))
+    last = views.dense_weeks(spark, sf).agg(F.date_sub(F.max("week_date"), 70).alias("a"))
     dates = last.select(F.explode(F.array(F.date_sub("a", 364), F.col("a"))).alias("as_of"))
-    windows = dates.select("as_of", F.explode(F.sequence(F.date_sub("as_of", 7 * 259), F.col("as_of"), F.expr("interval 7 days"))).alias("week_date"))
-    folds = win.week_folds(windows, keys=["as_of"]).filter("role = 'validation'").select("as_of", "fold", "week_date")
-    rows = out.realized_outcomes(views.dense_returns(spark, sf), views.universe(spark, sf), weeks=weeks)
-    rows = rows.selectExpr("ticker", "week_date", "return_1w", "return_4w", "return_13w", "raw_active_return_fwd as raw_active_return",
-                           "stock_return_fwd as raw_stock_return", "active_return_fwd as active_return_train").join(folds, "week_date")
-    scores = views.as_models(rows, CANDIDATES).withColumnsRenamed({"model": "candidate", "prediction": "score"}).filter("score is not null")
+    scores = gate_scores(gate_rows(spark, sf).join(gate_folds(dates), "week_date"))
     # The gate reads the small weekly table several times: store it once.
     return cut_lineage(gt.candidate_weekly(scores, layout=views.universe(spark, sf)))
 
 
-@query("g01_fold_validation", with_blocks("gmf glo", f"""select as_of, candidate, fold, n as return_weeks, {r('net')} as net_active_return, {r('ir')} as active_ir, {r('t')} as turnover from gmf
+def gate_weekly_all_dates(spark, sf):
+    """The same candidates on the folds of every as-of date with a full window."""
+    weeks = views.dense_weeks(spark, sf)
+    first = weeks.agg(F.min("week_date").alias("first"))
+    dates = weeks.crossJoin(F.broadcast(first)).filter(F.date_sub("week_date", 7 * 259) >= F.col("first")).select(F.col("week_date").alias("as_of"))
+    return cut_lineage(gt.shared_weekly(gate_scores(gate_rows(spark, sf)), gate_folds(dates), views.universe(spark, sf)))
+
+
+@gated("g01_fold_validation", with_blocks("gmf glo", f"""select as_of, candidate, fold, n as return_weeks, {r('net')} as net_active_return, {r('ir')} as active_ir, {r('t')} as turnover from gmf
     join (select as_of, candidate, fold, avg(turnover) filter (i > 1) as t from (select *, row_number() over (partition by as_of, candidate, fold order by week_date) as i from glo) group by 1, 2, 3) using (as_of, candidate, fold)"""))
-def _(spark, sf):
-    return rounded(gt.fold_metrics(gate_weekly(spark, sf)).select("as_of", "candidate", "fold", "return_weeks", "net_active_return", "active_ir", "turnover"))
+def _(spark, weekly):
+    return rounded(gt.fold_metrics(weekly).select("as_of", "candidate", "fold", "return_weeks", "net_active_return", "active_ir", "turnover"))
 
 
 BLOCKS.update(
@@ -380,9 +421,9 @@ BLOCKS.update(
 )
 
 
-@query("g02_block_bootstrap", with_blocks("gboot", f"select as_of, candidate, {r('lower')} as lower_annual_gain from gboot"))
-def _(spark, sf):
-    return rounded(gt.block_bootstrap(gate_weekly(spark, sf), check=False))
+@gated("g02_block_bootstrap", with_blocks("gboot", f"select as_of, candidate, {r('lower')} as lower_annual_gain from gboot"))
+def _(spark, weekly):
+    return rounded(gt.block_bootstrap(weekly, check=False))
 
 
 GATE3 = """select m.as_of, m.candidate, m.ir - i.ir as ir_gain, m.net - i.net as net_gain, wins, worst, yrs from gm m join gm i on i.as_of = m.as_of and i.candidate = 'incumbent'
@@ -398,9 +439,8 @@ GATE_COLUMNS = f"""{r('ir_gain')} as ir_gain, {r('net_gain')} as annualized_net_
     c1 as ir_gain_at_least_0_10, c2 as annual_net_gain_at_least_0_5pct, c3 as fold_ir_wins_at_least_3, c4 as no_fold_ir_loss_below_0_25, c5 as bootstrap_lower_gain_positive, ok as eligible"""
 
 
-@query("g03_protection_gate", with_blocks("gchk", f"select as_of, candidate, {GATE_COLUMNS} from gchk"))
-def _(spark, sf):
-    weekly = gate_weekly(spark, sf)
+@gated("g03_protection_gate", with_blocks("gchk", f"select as_of, candidate, {GATE_COLUMNS} from gchk"))
+def _(spark, weekly):
     return rounded(gt.gate(weekly, gt.block_bootstrap(weekly, check=False)))
 
 
@@ -409,18 +449,16 @@ WINNER = """select d.as_of, coalesce(w.candidate, 'incumbent') as selected from
     select c.as_of, arg_max(c.candidate, struct_pack(a := m.ir, b := m.net)) as candidate from gchk c join gm m using (as_of, candidate) where c.ok group by 1) w using (as_of)"""
 
 
-@query("g04_winner_choice", with_blocks("gm gchk", WINNER))
-def _(spark, sf):
-    weekly = gate_weekly(spark, sf)
+@gated("g04_winner_choice", with_blocks("gm gchk", WINNER))
+def _(spark, weekly):
     gates = gt.gate(weekly, gt.block_bootstrap(weekly, check=False))
     order = spark.createDataFrame([(c, i) for i, c in enumerate(CANDIDATES)], POSITIONS)
     return gt.choose_winner(gt.stitched_metrics(weekly), gates, order)
 
 
-@query("g04_winner_without_bootstrap", with_blocks("gm gchk", WINNER.replace("where c.ok", "where c.c3")))
-def _(spark, sf):
+@gated("g04_winner_without_bootstrap", with_blocks("gm gchk", WINNER.replace("where c.ok", "where c.c3")))
+def _(spark, weekly):
     """The same choice when the fold-win check alone decides, so that challengers win somewhere."""
-    weekly = gate_weekly(spark, sf)
     gates = gt.gate(weekly, gt.block_bootstrap(weekly, check=False)).withColumn("eligible", F.col("fold_ir_wins_at_least_3"))
     order = spark.createDataFrame([(c, i) for i, c in enumerate(CANDIDATES)], POSITIONS)
     return gt.choose_winner(gt.stitched_metrics(weekly), gates, order)
@@ -438,12 +476,11 @@ def _(spark, sf):
     return rounded(gt.assemble_selected(base, other, won).select("ticker", "week_date", "selected_candidate", "score"))
 
 
-@query("g06_candidate_rows", with_blocks("gm gchk", f"""select m.as_of, m.candidate, {r('m.ir')} as active_ir, {r('m.net')} as net_active_return, w.selected = m.candidate as selected, m.candidate = 'incumbent' as incumbent,
+@gated("g06_candidate_rows", with_blocks("gm gchk", f"""select m.as_of, m.candidate, {r('m.ir')} as active_ir, {r('m.net')} as net_active_return, w.selected = m.candidate as selected, m.candidate = 'incumbent' as incumbent,
     c.ok as gate_eligible, c.wins as fold_ir_wins, {r('c.lower')} as bootstrap_10pct_lower_annual_gain, c.yrs as positive_years,
     '{{"signal":"' || case m.candidate when 'incumbent' then 'return_4w' when 'reversal' then '0 - return_1w' else '0 - return_13w' end || '"}}' as params
     from gm m left join gchk c using (as_of, candidate) join w using (as_of)""", {"w": WINNER}))
-def _(spark, sf):
-    weekly = gate_weekly(spark, sf)
+def _(spark, weekly):
     gates = gt.gate(weekly, gt.block_bootstrap(weekly, check=False))
     metrics = gt.stitched_metrics(weekly)
     rows = [(i, c, {"signal": e}, {} if c == "incumbent" else {"signal": e}) for i, (c, e) in enumerate(CANDIDATES.items())]

@@ -225,3 +225,24 @@ def test_tree_search_covers_every_date_point_fold_and_seed(panel):
     won = found[found.selected].set_index("as_of")
     assert len(scored) == 16 and (scored.n_seeds == 3).all() and scored.score.notna().all()
     assert all(won.position[r.week_date] == r.candidate and won.n_trees[r.week_date] == r.n_trees for r in scored.itertuples())
+
+
+def test_shared_weeks_equal_folds_from_cash(spark):
+    from helpers import random_frame
+
+    frame = random_frame(n_tickers=12, n_weeks=14, gap=6).rename(columns={"model": "candidate", "stock_return": "raw_stock_return"})
+    scores = spark.createDataFrame(frame[frame.candidate.eq("a") | (frame.week_date > week(2))])
+    days = sorted(set(frame.week_date))
+    folds = spark.createDataFrame([(days[a + 7], f, d) for a in range(7) for f, part in ((1, days[a:a + 4]), (2, days[a + 4:a + 8])) for d in part], "as_of date, fold int, week_date date")
+    keys = ["as_of", "candidate", "fold", "week_date"]
+    want = pdf(gt.candidate_weekly(scores.join(folds, "week_date"), layout=SMALL), *keys)
+    got = pdf(gt.shared_weekly(scores, folds, SMALL), *keys)
+    pd.testing.assert_frame_equal(got[sorted(want.columns)], want[sorted(want.columns)])
+
+
+def test_all_dates_follow_the_calendar(spark):
+    from crosswise.plans import training, views
+
+    sf = "/root/testdata/sf0.001"
+    weeks = views.dense_weeks(spark, sf).count()
+    assert training.gate_weekly_all_dates(spark, sf).select("as_of").distinct().count() == weeks - 259 > 2
