@@ -1,7 +1,7 @@
 """Quality rules by compression bands.
 
 Zstandard ratios (bytes over compressed bytes) of the whole text and of its fixed chunks
-must lie between limits that depend on the text's length: a ratio above the band marks
+(the last may be shorter; a text below one chunk is judged whole only) must lie between limits that depend on the text's length: a ratio above the band marks
 repetitive text, one below it text that does not compress (random strings, encoded data).
 The limits leave room around ordinary prose, whose ratio grows with length.
 
@@ -25,7 +25,7 @@ CHUNK = 4096
 #: (bytes below, least ratio, greatest ratio) of whole texts; the last row takes all others.
 BANDS = ((256, 0.0, 2.2), (1024, 1.05, 2.6), (4096, 1.2, 3.2), (16384, 1.3, 3.6), (float("inf"), 1.3, 4.5))
 CHUNK_BAND = (1.15, 3.2)
-#: A text fails when more than this share of its full chunks lies outside the chunk band.
+#: A text fails when more than this share of its chunked bytes lies in chunks outside their band.
 CHUNK_SHARE = 0.25
 
 WINDOW = 8
@@ -70,23 +70,35 @@ def repeated_words(words: textkit.Words, window: int = WINDOW) -> np.ndarray:
     return textkit.sums_by_text(np.cumsum(step[:-1]) > 0, words.first)
 
 
+def chunk_band(size: int, chunk: int = CHUNK) -> tuple[float, float]:
+    """Limits of a chunk; a tail has those of a text of its length, but none narrower below."""
+    if size >= chunk:
+        return CHUNK_BAND
+    least, most = next((low, high) for below, low, high in BANDS if size < below)
+    return min(least, CHUNK_BAND[0]), min(most, CHUNK_BAND[1])
+
+
 def ratios(raw: np.ndarray, offs: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
-    """Whole ratio (0 for empty texts), full chunks, and those below and above the chunk band."""
+    """Whole ratio (0 for empty texts), chunks with the tail, those below and above their band, and the bytes of these."""
     pack = zstandard.ZstdCompressor(level=LEVEL).compress
     n = len(offs) - 1
-    whole, chunks, low, high = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    whole = np.zeros(n)
+    chunks, low, high, outside = (np.zeros(n, np.int64) for _ in range(4))
     data = memoryview(np.ascontiguousarray(raw))
     for i in range(n):
         begin, end = int(offs[i]), int(offs[i + 1])
         if begin == end:
             continue
         whole[i] = (end - begin) / len(pack(data[begin:end]))
-        for at in range(begin, end - chunk + 1, chunk):
-            ratio = chunk / len(pack(data[at : at + chunk]))
+        for at in range(begin, end, chunk) if end - begin >= chunk else ():
+            size = min(chunk, end - at)
+            ratio = size / len(pack(data[at : at + size]))
+            least, most = chunk_band(size, chunk)
             chunks[i] += 1
-            low[i] += ratio < CHUNK_BAND[0]
-            high[i] += ratio > CHUNK_BAND[1]
-    return whole, chunks, low, high
+            low[i] += ratio < least
+            high[i] += ratio > most
+            outside[i] += size if ratio < least or ratio > most else 0
+    return whole, chunks, low, high, outside
 
 
 def judge(raw: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch | None = None) -> list[np.ndarray]:
@@ -98,11 +110,11 @@ def judge(raw: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch | None = None)
     symbols = each(_SYMBOLS[raw])
     lines, repeats = duplicate_lines(raw, offs, words), repeated_words(words)
     base = (n_words < 20) | (100 * repeats > 30 * n_words)
-    whole, chunks, low, high = ratios(raw, offs)
+    whole, chunks, low, high, outside = ratios(raw, offs)
     size = np.diff(offs)
     band = np.searchsorted([b[0] for b in BANDS], size, "right")
     least, most = np.array([b[1] for b in BANDS])[band], np.array([b[2] for b in BANDS])[band]
-    kept = ~base & (whole >= least) & (whole <= most) & (low + high <= CHUNK_SHARE * chunks)
+    kept = ~base & (whole >= least) & (whole <= most) & (outside <= CHUNK_SHARE * size)
     return [n_words, chars, symbols, lines, repeats, whole, chunks, low, high, base, kept]
 
 

@@ -51,6 +51,19 @@ def test_compression_bands_reject_both_ends(frame):
     assert not got[2].base_failed and got[2].n_chunks > 0
 
 
+def test_tail_of_a_text_is_a_chunk(frame):
+    import random
+
+    draw = random.Random(6)
+    prose = " ".join("".join(draw.choices("etaoinshrdlu", k=draw.randint(2, 9))) for _ in range(3000))
+    two, block = prose[: 2 * 4096], "=" * 4000
+    rows = [(1, two), (2, two + block), (3, block + two), (4, two + "=" * 60), (5, prose[:11000]), (6, prose[:4000])]
+    got = {r.doc_id: r.q for r in quality_rules.quality_rules(frame(rows), into="q").collect()}
+    assert [got[k].n_chunks for k in range(1, 7)] == [2, 3, 3, 3, 3, 0]
+    assert [got[k].kept for k in range(1, 7)] == [True, False, False, True, True, True]
+    assert got[2].n_high_chunks == 1 and 1.3 < got[2].whole_ratio < 3.6 and not got[2].base_failed
+
+
 def test_rule_stage_keeps_columns_and_clashing_names(frame):
     docs = frame(ODD + [(20, " ".join(f"w{i}x{i * i}" for i in range(60)))], extra=[("verdict", "v"), ("Kept", "k"), ("stats", "s")])
     kept = quality_rules.keep_good(docs)
