@@ -186,7 +186,7 @@ def fold_summary(folds: DataFrame, keys: Sequence[str] = ("candidate",)) -> Data
 # Capture of the actual top 20%, rank IC and NDCG@50, over rows that carry the
 # rank state, the outcome place from the top (__best) and the held weight (__w).
 WEEKLY_METRICS = {
-    "q1_capture": f"if({WHOLE}, count_if(__best <= ceil(0.2D * n) and __w > 0) / count_if(__best <= ceil(0.2D * n)), null)",
+    "q1_capture": f"if({WHOLE} and count_if(__w > 0) > 0, count_if(__best <= ceil(0.2D * n) and __w > 0) / count_if(__best <= ceil(0.2D * n)), null)",
     "rank_ic": f"if({WHOLE}, {RANK_IC}, null)",
     "ndcg_at_50": f"if({WHOLE}, {_ndcg_sql('least(50, n)', empty='null')}, null)",
 }
@@ -211,7 +211,7 @@ def weekly_rank_metrics(
     frame: DataFrame, series: Sequence[str] = ("model",), *, book: DataFrame | None = None, score: str = "score",
     target: str = "active_return_train", layout: Layout | None = None,
 ) -> DataFrame:
-    """E7 and companions per week, all missing when an outcome is missing.
+    """E7 and companions per week, all missing when an outcome is missing; capture also when nothing is held.
     `book` replaces the exact top 20% as the held set."""
     keys = [*series, "week_date"]
     state = metric_state(frame, series, score=score, target=target, layout=layout)

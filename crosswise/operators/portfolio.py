@@ -267,12 +267,12 @@ def sub_buckets(frame: DataFrame, series: Sequence[str] = ("model",), *, score:
 # --- B9: weekly long-only evaluation -----------------------------------------
 
 
-# Aggregates of a book's returns; a book with any unobserved return has none.
+# Aggregates of a book's returns; a book with any unobserved return, or without any name, has none.
 HELD = "__w > 0"
 
 
 def _book_return(column: str) -> str:
-    return f"if(count_if({HELD} and {column} is null) = 0, sum(__w * {column}), null)"
+    return f"if(count_if({HELD}) > 0 and count_if({HELD} and {column} is null) = 0, sum(__w * {column}), null)"
 
 
 def long_only_weekly(
@@ -289,7 +289,8 @@ def long_only_weekly(
 
     `rows` carries `weight` (missing or 0 for names not held, which may be
     present so that `extra` aggregates, e.g. ranking metrics, see the whole
-    universe in the same pass). Entering after a gap buys the whole book.
+    universe in the same pass). Entering after a gap buys the whole book. A week
+    that holds nothing (a withheld one) has neither returns nor costs nor turnover.
     """
     keys = [*series, "week_date"]
     priced = rows.selectExpr(
@@ -303,7 +304,7 @@ def long_only_weekly(
         **(extra or {}),
     }
     weekly = weekly_book(priced, series, aggregates, ["__w", "__a", "__s", *carry])
-    dollars = "if(consecutive, traded, gross_weight)"
+    dollars = "if(holdings = 0, null, if(consecutive, traded, gross_weight))"
     cost = f"{cost_bps / 10000.0}D * {dollars}"
     return weekly.selectExpr(
         *keys, "holdings", "gross_stock_return", "gross_active_return",

@@ -66,20 +66,20 @@ BLOCKS.update(
             from (select model, week_date, avg(a) filter (w > 0) - avg(a) filter (w < 0) as gross_return from lspos group by 1, 2) g
             join lsdates k using (model, week_date) join lstr using (model, week_date)"""),
         # Exact top 20% book and its weekly evaluation.
-        "book": ("ranked", "select model, week_date, ticker, place, ceil(0.2::double * n)::int as n_hold, 1.0::double / ceil(0.2::double * n) as w from ranked where place <= ceil(0.2::double * n)"),
+        "book": ("ranked", "select model, week_date, ticker, place, ceil(0.2::double * n)::int as n_hold, 1.0::double / ceil(0.2::double * n) as w from ranked where n >= 5 and place <= ceil(0.2::double * n)"),
         "booktr": ("book mweeks", trades_sql("book", "mweeks")),
-        "lo": ("book frame booktr mweeks", """select model, week_date, holdings, gs as gross_stock_return, ga as gross_active_return, gs - 0.0005::double * d as net_stock_return, ga - 0.0005::double * d as net_active_return,
+        "lo": ("book frame booktr mweeks", """select model, week_date, coalesce(holdings, 0) as holdings, gs as gross_stock_return, ga as gross_active_return, gs - 0.0005::double * d as net_stock_return, ga - 0.0005::double * d as net_active_return,
               0.0005::double * d as transaction_cost, d / 2 as turnover, ga is not null as complete
-            from (select model, week_date, count(*) as holdings, case when count(raw_active_return_fwd) = count(*) then sum(w * raw_active_return_fwd) end as ga,
-                case when count(stock_return_fwd) = count(*) then sum(w * stock_return_fwd) end as gs, sum(w) as gross from book join frame using (model, week_date, ticker) group by 1, 2) s
-            join (select k.model, k.week_date, case when k.week_date - k.prev_week = 7 then traded end as tr from mweeks k join booktr using (model, week_date)) t using (model, week_date)
-            cross join lateral (select coalesce(tr, gross) as d)"""),
+            from mweeks left join (select model, week_date, count(*) as holdings, case when count(raw_active_return_fwd) = count(*) then sum(w * raw_active_return_fwd) end as ga,
+                case when count(stock_return_fwd) = count(*) then sum(w * stock_return_fwd) end as gs, sum(w) as gross from book join frame using (model, week_date, ticker) group by 1, 2) s using (model, week_date)
+            left join (select k.model, k.week_date, case when k.week_date - k.prev_week = 7 then traded end as tr from mweeks k join booktr using (model, week_date)) t using (model, week_date)
+            cross join lateral (select case when gross is not null then coalesce(tr, gross) end as d)"""),
         "dcg50": ("lab", """select model, week_date, max(n) as n, count(active_return_fwd) as seen,
               sum(label / log2(place + 1)) filter (place <= least(50, n)) as dcg, sum(label / log2(n + 1 - frst + 1)) filter (n + 1 - frst <= least(50, n)) as ideal,
               case when min(rs) < max(rs) and min(rt) < max(rt) then corr(rt, rs) end as ic from lab group by 1, 2"""),
-        "cap": ("lab book", """select model, week_date, count(*) filter (best <= ceil(0.2::double * n) and w is not null) / count(*) filter (best <= ceil(0.2::double * n)) as capture
+        "cap": ("lab book", """select model, week_date, case when n >= 5 then count(*) filter (best <= ceil(0.2::double * n) and w is not null) / count(*) filter (best <= ceil(0.2::double * n)) end as capture
             from (select model, week_date, ticker, n, row_number() over (partition by model, week_date order by active_return_fwd desc nulls last, ticker) as best from lab)
-            left join book using (model, week_date, ticker) group by 1, 2"""),
+            left join book using (model, week_date, ticker) group by 1, 2, n"""),
         "lorank": ("dcg50 cap", """select model, week_date, case when n = seen then capture end as q1_capture, case when n = seen then ic end as rank_ic,
               case when n = seen and ideal > 0 then dcg / ideal end as ndcg_at_50 from dcg50 join cap using (model, week_date)"""),
         "lofull": ("lo lorank", "select * from lo left join lorank using (model, week_date)"),

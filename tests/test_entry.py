@@ -5,7 +5,8 @@ import compare
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["c03_asof_sessions", "f12_decile_relevance", "p06_centered_percentile", "flagship_panel", "q02_quintiles", "o03_event_terminal_value",
-           "b04_long_short_weekly", "b09_long_only_weekly", "e05_weekly_evaluation", "m03_parse_and_validate"]
+           "b04_long_short_weekly", "b06_target_weights", "b08_rank_weighted", "b09_long_only_weekly", "b10_portfolio_metrics", "b11_yearly_performance", "b12_sub_buckets",
+           "b13_long_only_net_ir", "b14_change_versus_incumbent", "k06_best_result", "e05_weekly_evaluation", "e07_q1_capture", "g05_selected_scores", "m03_parse_and_validate"]
 
 
 def test_registry_is_consistent():
