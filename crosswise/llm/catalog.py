@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, kneser_ney, licenses, neighbours, packing, pieces, quality_rules, rule_ensemble, sharding
+from . import chat, jaccard, kneser_ney, licenses, mixing, negatives, neighbours, packing, pieces, quality_rules, rule_ensemble, sharding, spelling
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -120,3 +120,52 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored
+
+
+OP11_SQL = r"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+    s as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from (select source, sum(size)::bigint as total from d group by 1)),
+    -- Sources from the one that reaches its bound first; the first k of them are bound.
+    o as (select *, row_number() over (order by total / w, source nulls last) as k, sum(w) over (order by total / w, source nulls last) - w as w_before,
+      sum(total) over (order by total / w, source nulls last) - total as bound_before, sum(w) over () as w_all, sum(total) over () as words from s),
+    f as (select coalesce(min(k), 1000000) as k from o where (words - 3 * bound_before) * w <= 3 * total * (w_all - w_before)),
+    t as (select o.source, total, case when o.k < f.k then 3 * total::double else (select any_value((words - 3 * bound_before)::double) from o x where x.k = f.k) * w / (select any_value(w_all - w_before) from o x where x.k = f.k) end as target from o, f),
+    q as (select *, least(floor(target + 0.5)::bigint, 3 * total) as given from t),
+    p as (select source, total, target, case when total > 0 then given // total else 0 end as rounds, case when total > 0 then given % total else 0 end as rest from q),
+    r as (select d.*, p.* exclude (source), size * 1000 > total as is_long, row_number() over (partition by d.doc_id, d.source, size) - 1 as again from d join p on d.source is not distinct from p.source),
+    h as (select *, ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '') || '|' || again), 1, 15))::bigint as h from r),
+    c as (select *, sum(size) over (partition by source, is_long order by h, doc_id::varchar, size, again rows unbounded preceding) as upto, sum(size) filter (is_long) over (partition by source) as of_long from h where size > 0 and rest > 0),
+    cuts as (select source, arg_min(cut, struct_pack(a := greatest(0, rest - cut - (total - of_long), cut - rest), b := abs(cut - rest * of_long / total), c := cut)) as cut
+      from (select source, total, rest, of_long, unnest([0, upto]) as cut from c where is_long) group by 1),
+    e as (select c.*, case when is_long then upto <= cut else upto - size / 2 <= rest - coalesce(cut, 0) end as extra from c left join cuts on c.source is not distinct from cuts.source)
+    select doc_id, size, total as source_size, target, (size * (rounds + extra::int))::bigint as taken, source from e
+    union all select doc_id, size, total, target, (size * rounds)::bigint, source from h where not (size > 0 and rest > 0)"""
+
+
+@query("op11_source_mixing", OP11_SQL)
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed, shares = mixing.mix(docs, F.array("source"))
+    named = mixed.withColumn("source", F.col("sources")[0]).alias("m")
+    met = named.join(F.broadcast(shares.alias("s")), F.expr("m.source <=> s.source"))  # one row per source
+    return met.select("doc_id", "size", "source_size", "target", "taken", "m.source")
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), damage=199)
+    return spelling.variant_groups(words)
+
+
+OP13_SQL = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as c from embeddings
+      where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_inner_product(a.c, b.c)::bigint as score from v a join v b on a.vec_id <> b.vec_id and len(a.c) = len(b.c) where a.vec_id % 50 = 0),
+    p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as slot from s where same) where slot <= 5)
+    select * from (select anchor_id, p.vec_id as positive_id, row_number() over (partition by anchor_id, p.vec_id order by s.score desc, s.vec_id)::int as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+      from p join s using (anchor_id) where not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score) where rank <= 3"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(vectors.select("vec_id", "embedding", label.alias("label")), anchors="id % 50 = 0")
