@@ -6,11 +6,15 @@ per code point, three cells wide (a band of one edit). The next word keeps the r
 prefix it shares with the one before; a prefix all of whose cells exceed one edit rules out
 every word that begins with it, so the scan jumps past that range.
 
-The list is cut into ranges of bounded length. The words of one range, as queries, need only
-those other ranges whose shared prefix is not ruled out, which the same scan finds over the
-sorted list of range prefixes (65,536 at most: longer vocabularies have longer ranges).
-Queries travel with the range they have to see, one row for each pair of ranges, and every
-pair of words is met once, from its smaller word.
+Words of at least six code points at one edit share their first three or their last three
+code points. So there are two sorted lists, of the words and of the reversed words, and a
+scan stays among the words that begin with the query's first three.
+
+A list is cut into ranges of bounded length. The words of one range, as queries, need only
+the ranges that hold words with their beginning and whose shared prefix is not ruled out,
+which the same scan finds over the sorted list of ranges (65,536 at most: longer vocabularies
+have longer ranges). Queries travel with the range they have to see, one row for each pair of
+ranges, and every pair of words is met once, from the smaller one.
 
 Words are counted per task before they are shuffled. Defined results: null and empty texts
 have no words; a null key counts as empty text; repeated rows count each time; an empty
@@ -21,7 +25,7 @@ points.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from os.path import commonprefix
@@ -35,13 +39,13 @@ from crosswise.sources.storage import cut_lineage
 
 from . import textkit
 
-#: Words of a range, and the most range prefixes that routing may hold.
-RANGE_WORDS, MOST_PREFIXES = 1024, 65536
+#: Words of a range, and the most ranges that routing may hold.
+RANGE_WORDS, MOST_RANGES = 1024, 65536
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 200_000
 #: Copies of a range that share the pairs it takes part in.
 SALTS = 16
-_FAR = 2
+_FAR, _LAST = 2, "\U0010ffff"
 
 
 def word_counts(docs: DataFrame, least_length: int = 6, least_count: int = 5, damage: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -82,55 +86,65 @@ def shared_prefixes(words: list[str]) -> list[int]:
     return [0, *[len(commonprefix(pair)) for pair in zip(words, words[1:])]] if words else []
 
 
-def scan(words: list[str], shared: list[int], query: str, whole: bool, begin: int = 0) -> Iterator[int]:
-    """Places, from `begin` on, of the sorted words at exactly one edit from the query
-    (`whole`), or of those within one edit of some prefix of it.
+def scan(words: list[str], shared: list[int], query: str, whole: bool, begin: int = 0, end: int | None = None, ends: list[str] | None = None, same: int = 0) -> Iterator[int]:
+    """Places begin..end - 1 of the sorted words at exactly one edit from the query (`whole`), or
+    within one edit of some prefix of it. All of these words begin with the query's first
+    `same` code points, fewer than it has.
 
-    rows[d] holds the band's cells d - 1, d, d + 1 of the edit matrix for the first d code
-    points of the current word; cells beyond the query or above one edit count as _FAR."""
+    Instead of words, `words` may hold the shared prefixes of sorted ranges, and `ends` their last
+    words. rows[d] holds the band's cells d - 1, d, d + 1 of the edit matrix for the first d
+    code points of the current word; cells beyond the query count as _FAR."""
     size = len(query)
+    end, ends = len(words) if end is None else end, words if ends is None else ends
     ahead = query + "\0\0"  # what is beyond the query never equals a letter
-    rows = [(_FAR, 0, 1)]
-    i, end = begin, len(words)
+    rows = [(_FAR, 0, 1), *[(1, 0, 1)] * same]
+    i = begin
     while i < end:
         word = words[i]
-        depth = min(shared[i], len(rows) - 1) if i > begin else 0
+        depth = min(shared[i], len(rows) - 1) if i > begin else same
         del rows[depth + 1 :]
         before, here, after = rows[depth]
-        alive = True
         for d in range(depth + 1, len(word) + 1):
             letter = word[d - 1]
-            # Replacing or keeping, then a code point more in the word, then one more in the query.
-            left = before if d > 1 and ahead[d - 2] == letter else before + 1
-            left = min(left, here + 1)
-            middle = here if d <= size and ahead[d - 1] == letter else here + 1
-            middle = min(middle, after + 1, left + 1) if d <= size else _FAR
-            right = min(after if ahead[d] == letter else after + 1, middle + 1) if d < size else _FAR
-            if d - 1 > size:
-                left = _FAR
+            # Cells from replacing or keeping, from one more in the word, from one more in the query.
+            if before > 1:
+                left = 2
+            else:
+                left = before if d > 1 and ahead[d - 2] == letter else before + 1
+            if here + 1 < left:
+                left = here + 1
+            if d < size:
+                middle = here if ahead[d - 1] == letter else here + 1
+                if after + 1 < middle:
+                    middle = after + 1
+                if left + 1 < middle:
+                    middle = left + 1
+                right = after if ahead[d] == letter else after + 1
+                if middle + 1 < right:
+                    right = middle + 1
+            else:
+                middle = min(here + (ahead[d - 1] != letter), after + 1, left + 1) if d == size else _FAR
+                right = _FAR
+                if d - 1 > size:
+                    left = _FAR
             before, here, after = left, middle, right
-            if before > 1 and here > 1 and after > 1:
-                alive = False
+            if here > 1 and before > 1 and after > 1:
+                # No word that begins with these d code points is near.
+                i = bisect_left(ends, word[:d] + _LAST, i + 1)
                 break
             rows.append((before, here, after))
-        if not alive:
-            # No word that begins with these d code points is near.
-            i = bisect_left(words, word[:d] + "\U0010ffff", i + 1)
-            continue
-        if not whole:
-            yield i
         else:
             gap = size - len(word)
-            if -1 <= gap <= 1 and (before, here, after)[gap + 1] == 1:
+            if not whole or (-1 <= gap <= 1 and (before, here, after)[gap + 1] == 1):
                 yield i
-        i += 1
+            i += 1
 
 
 def cut_into_ranges(words: DataFrame) -> tuple[DataFrame, int]:
     """(range, words, counts, shared) rows of the sorted vocabulary, and the words per range."""
     total = words.count()
-    size = max(RANGE_WORDS, -(-2 * total // MOST_PREFIXES))
-    spread = words.repartitionByRange(max(1, -(-total // (16 * size))), "word").sortWithinPartitions("word")
+    size = max(RANGE_WORDS, -(-2 * total // MOST_RANGES))
+    spread = words.repartitionByRange(max(1, -(-total // (4 * size))), "word").sortWithinPartitions("word")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, int]] = []
@@ -154,26 +168,25 @@ def cut_into_ranges(words: DataFrame) -> tuple[DataFrame, int]:
     return cut_lineage(ranges.select(F.monotonically_increasing_id().alias("range"), "*")), size
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n) for every pair of near words, in both directions."""
+def near_pairs(words: DataFrame, same: int) -> DataFrame:
+    """(word, n, near, near_n), in both directions, for every pair of near words that begin with the
+    same `same` code points."""
     ranges, _ = cut_into_ranges(words)
-    # One short row per range: MOST_PREFIXES of them, and one per partition, at most.
-    index = ranges.select("range", F.col("words")[0].alias("first"), F.element_at("words", -1).alias("last")).collect()
-    by_prefix: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    for r in index:
-        by_prefix[commonprefix([r["first"], r["last"]])].append((r["last"], r["range"]))
-    prefixes = sorted(by_prefix)
-    targets, prefix_shared = [sorted(by_prefix[p]) for p in prefixes], shared_prefixes(prefixes)
+    # One short row per range: MOST_RANGES of them, and one per partition, at most.
+    index = sorted((r["first"], r["last"], r["range"]) for r in ranges.select("range", F.col("words")[0].alias("first"), F.element_at("words", -1).alias("last")).collect())
+    firsts, lasts, numbers = ([r[c] for r in index] for c in range(3))
+    prefixes = [commonprefix(list(r[:2])) for r in index]
+    prefix_shared = shared_prefixes(prefixes)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 wanted: dict[int, list[int]] = defaultdict(list)
                 for at, word in enumerate(row["words"]):
-                    for p in scan(prefixes, prefix_shared, word, whole=False):
-                        # Ranges that end at the word or before it hold no greater word.
-                        for _, other in targets[p][bisect_left(targets[p], (word + "\0", -1)) :]:
-                            wanted[other].append(at)
+                    # From the first range with a greater word to the last with this beginning.
+                    begin, end = bisect_right(lasts, word), bisect_left(firsts, word[:same] + _LAST)
+                    for r in scan(prefixes, prefix_shared, word, False, begin, end, lasts):
+                        wanted[numbers[r]].append(at)
                 columns = [[row["range"] % SALTS] * len(wanted), list(wanted), [[row["words"][i] for i in x] for x in wanted.values()], [[row["counts"][i] for i in x] for x in wanted.values()]]
                 kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["salt", "range", "queries", "query_counts"])
@@ -185,7 +198,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 listed, counts, shared = row["words"], row["counts"], row["shared"]
                 out: list[tuple] = []
                 for query, n in zip(row["queries"], row["query_counts"]):
-                    for i in scan(listed, shared, query, whole=True, begin=bisect_left(listed, query + "\0")):
+                    begin, end = bisect_right(listed, query), bisect_left(listed, query[:same] + _LAST)
+                    for i in scan(listed, shared, query, True, begin, end, same=same):
                         out += [(query, n, listed[i], counts[i]), (listed[i], counts[i], query, n)]
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], ["word", "n", "near", "near_n"])
@@ -195,15 +209,20 @@ def near_pairs(words: DataFrame) -> DataFrame:
     return routed.join(copies, ["range", "salt"]).select("words", "counts", "shared", "queries", "query_counts").mapInArrow(meet, "word string, n long, near string, near_n long")
 
 
-def variant_groups(words: DataFrame, factor: int = 5) -> DataFrame:
-    """word, form, root, n, n_near, form_n of a vocabulary (word, n) of distinct words.
+def variant_groups(words: DataFrame, factor: int = 5, least_length: int = 6) -> DataFrame:
+    """word, form, root, n, n_near, form_n of a vocabulary (word, n) of distinct words of at least
+    `least_length` code points.
 
     A word's form is its near word of largest n, if that is `factor` (2 at least) times its own;
     the root follows forms to the last. Every step multiplies n, so pointer doubling ends
     after six rounds at most."""
     words = cut_lineage(words.select("word", "n"))
     best = F.min_by(F.struct("near", "near_n"), F.struct(-F.col("near_n"), "near")).alias("best")
-    summed = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best)
+    same = least_length // 2
+    backward = near_pairs(words.select(F.reverse("word").alias("word"), "n"), same)
+    # Pairs with one beginning were met in the first list already.
+    later = backward.select(F.reverse("word").alias("word"), "n", F.reverse("near").alias("near"), "near_n").where(F.substring("word", 1, same) != F.substring("near", 1, same))
+    summed = near_pairs(words, same).unionByName(later).groupBy("word").agg(F.count("*").alias("n_near"), best)
     enough = F.col("best.near_n") >= factor * F.col("n")
     table = words.join(summed, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, F.col("best.near_n")).alias("form_n"))

@@ -119,13 +119,8 @@ def one_edit(a, b):
 
 
 def runs(text):
-    out = [""]
-    for c in text:
-        if c.isascii() and c.isalpha() or "\xc0" <= c <= "\xff":
-            out[-1] += c.lower() if c.isascii() else c
-        elif out[-1]:
-            out.append("")
-    return [x for x in out if x]
+    kept = "".join((c.lower() if c.isascii() else c) if c.isascii() and c.isalpha() or "\xc0" <= c <= "\xff" else " " for c in text)
+    return [x for x in kept.split(" ") if x]
 
 
 def expected_variants(rows, damage=None, factor=5, least_count=5):
