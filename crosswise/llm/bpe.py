@@ -22,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LETTER, DIGIT, SPACE = 1, 2, 3
 SLOTS = 1 << 21
 STORE = 1 << 20
+#: Pre-tokens that the tokenizer encodes at once.
+RUN = 4096
 _ASCII_BLANK = textkit.separators((0x09, 0x0D), (0x1C, 0x20))
 
 
@@ -85,7 +87,10 @@ class Encoder:
     def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Encode pre-tokens given by byte ranges; their numbers in the store."""
         data = raw.tobytes()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)]
+        found: list[list[int]] = []
+        for at in range(0, len(starts), RUN):
+            spans = zip(starts[at : at + RUN].tolist(), ends[at : at + RUN].tolist())
+            found += [e.ids for e in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in spans], add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))
         known = len(self.begin)

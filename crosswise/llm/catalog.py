@@ -25,7 +25,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers, unless the session sets others.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting, str(2**31 - 1))) == 2**31 - 1:
+        spark.conf.set(setting, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

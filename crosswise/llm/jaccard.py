@@ -75,11 +75,11 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     texts = docs.select(F.col("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for rows in textkit.slices(batch, 0, 4 << 20):
+            for rows in textkit.slices(batch, 0, 1 << 20):
                 found, _ = shingles(*textkit.buffers(rows.column(0)), n)
-                total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                np.add.at(total, found >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1).compress
         blocks = np.flatnonzero(total.reshape(-1, _BLOCK).any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([pack(total[b * _BLOCK : (b + 1) * _BLOCK].tobytes()) for b in blocks], pa.binary())], ["block", "counts"])
@@ -89,7 +89,7 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                totals[block] = totals.get(block, 0) + np.frombuffer(unpack(blob), np.int64)
+                totals[block] = totals.get(block, 0) + np.frombuffer(unpack(blob), np.uint32).astype(np.int64)
         classes = [(2 * np.log2(np.maximum(t, 1))).astype(np.uint8).tobytes() for t in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(classes, pa.binary())], ["block", "counts"])
 
@@ -168,7 +168,7 @@ def measured(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
         prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[at].view(np.int64)))
         return [size, pa.array(node.view(np.int64), mask=size == 0), matches, prefix]
 
-    out = measure_texts(docs, sets, "n_shingles long, node long, matches int, prefix array<long>", "s", carry=["doc_id"], limit=4 << 20)
+    out = measure_texts(docs, sets, "n_shingles long, node long, matches int, prefix array<long>", "s", carry=["doc_id"], limit=1 << 20)
     return out.select("doc_id", "s.*")
 
 
@@ -191,7 +191,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, classes: np.ndarray)
         for batch in batches:
             bit = batch.column(2).to_numpy()
             chosen = (bits[bit >> 3] >> (7 - (bit & 7))) & 1
-            for rows in textkit.slices(batch.filter(pa.array(chosen.astype(bool))), 1, 4 << 20):
+            for rows in textkit.slices(batch.filter(pa.array(chosen.astype(bool))), 1, 1 << 20):
                 tokens, first = sorted_sets(*textkit.buffers(rows.column(1)), n, classes)
                 members = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tokens.view(np.int64)))
                 words = SIGNATURE * np.arange(len(first))

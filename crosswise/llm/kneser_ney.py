@@ -188,7 +188,7 @@ def counted(texts: DataFrame, entries: Callable[[np.ndarray, np.ndarray], np.nda
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
         for batch in batches:
-            for rows in textkit.slices(batch, 0, 8 << 20):
+            for rows in textkit.slices(batch, 0, 1 << 20):
                 raw, offs = textkit.buffers(rows.column(0))
                 found, times = np.unique(entries(raw, offs), return_counts=True)
                 keys.append(found)
@@ -359,7 +359,7 @@ def shared_is_uri(spark) -> bool:
 def score_texts(docs: DataFrame, model: Model, into: str = "lm", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (default: all) and a struct of n_tokens, n_known, base_score, score
     (log10 probabilities; 10 ** (-score / n_tokens) is the perplexity)."""
-    return measure_texts(docs, model.score, "n_tokens long, n_known long, base_score double, score double", into, text, carry, 8 << 20)
+    return measure_texts(docs, model.score, "n_tokens long, n_known long, base_score double, score double", into, text, carry, 1 << 20)
 
 
 def split_score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

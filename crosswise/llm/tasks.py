@@ -24,7 +24,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def measure_texts(df: DataFrame, fn: Measure, fields: str, into: str, text: str = "text", carry: list[str] | None = None, limit: int = 4 << 20) -> DataFrame:
+def measure_texts(df: DataFrame, fn: Measure, fields: str, into: str, text: str = "text", carry: list[str] | None = None, limit: int = 1 << 20) -> DataFrame:
     """The carried columns (default: all) and a struct column `into` with the fields that
     fn(bytes, offsets, rows) returns as arrays, one entry per text. Texts come in runs of
     about `limit` bytes, whole texts always; null texts come as empty ones."""

@@ -9,13 +9,15 @@ a chance of about n * n / 2^65.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -134,14 +136,28 @@ def find_words(raw: np.ndarray, offs: np.ndarray, seps: np.ndarray, fold: np.nda
     return Words(starts, ends, hashes, np.searchsorted(starts, offs))
 
 
-def slices(batch: pa.RecordBatch, column: int | str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in row ranges of about `limit` text bytes, one row at least."""
+@cache
+def _trim():
+    """The C library's call that hands free memory back, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give back what finished batches held: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def slices(batch: pa.RecordBatch, column: int | str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in row ranges of about `limit` text bytes, one row at least. Memory is
+    released after the last."""
     at = 0
     _, offs = buffers(batch.column(column))
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    release()
 
 
 def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
