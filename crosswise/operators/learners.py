@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
-from statistics import median
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.layout import Layout
-from ..sources.storage import cut_lineage
 from .panel import TARGET
-from .portfolio import SELECTION_BPS, cost_scenarios, long_short_weekly
-from .windows import ENSEMBLE_SEEDS, WINDOW_WEEKS, choose_candidate, complete_rows, seed_ensemble, window_weeks
+from .windows import WINDOW_WEEKS, complete_rows, window_weeks
 
 
 def gram_columns(features: Sequence[str], target: str) -> dict[str, Column]:
@@ -120,7 +114,7 @@ def feature_effects(models: DataFrame, features: Sequence[str]) -> DataFrame:
     return models.select("as_of", F.inline(pairs).alias("feature", "linear_coefficient"))
 
 
-# --- W8: boosted trees on MLlib ----------------------------------------------
+# --- W8: one boosted tree regression on MLlib (many dated fits: boosting.py) ----------------------------------------------
 
 
 def tree_parameters(params: Mapping) -> dict:
@@ -167,96 +161,3 @@ def score_trees(model, snapshot: DataFrame, features: Sequence[str], keep: Seque
 def tree_importance(spark, model, as_of, features: Sequence[str]) -> DataFrame:
     values = [float(v) for v in model.featureImportances.toArray()]
     return spark.createDataFrame([(as_of, f, v) for f, v in zip(features, values)], "as_of date, feature string, importance double")
-
-
-#: Fits of a date that run side by side; each is a row of small jobs.
-PARALLEL_FITS = 6
-
-
-def search_trees(
-    rows: DataFrame, folds: DataFrame, snapshot: DataFrame, features: Sequence[str], points: Sequence[Mapping], *,
-    layout: Layout, seeds: Sequence[int] = ENSEMBLE_SEEDS,
-) -> tuple[DataFrame, DataFrame]:
-    """W8 for one as-of date: every grid point on every fold with early stop, the choice by
-    net validation results, and a refit of the winner on the whole window for every seed.
-
-    rows: complete training rows of the window with raw_active_return; folds: (fold,
-    week_date, role); snapshot: the rows to score. Returns the candidates (position,
-    params, iterations per fold, cv_mse, results, selected) and the scores (one row per
-    snapshot row, the ensemble of the seeds, missing where a feature is missing).
-    """
-    spark, inputs = rows.sparkSession, [f"{f}_train" for f in features]
-    numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
-    schema = "position int, fold int, n_trees int, mse double"
-
-    def side_by_side(task, arguments):
-        with ThreadPool(PARALLEL_FITS) as pool:
-            return pool.map(inheritable_thread_target(spark)(task), arguments)
-
-    def validated(argument):
-        position, fold = argument
-        part = folds.filter(F.col("fold") == fold).select("week_date", (F.col("role") == "validation").alias("__held"))
-        data = rows.join(F.broadcast(part), "week_date")
-        model = fit_trees(data, features, points[position], seeds[0], validation="__held")
-        held = assemble(data.filter("__held"), inputs, TARGET, ["ticker", "week_date", "raw_active_return"])
-        scored = model.transform(held).select(
-            F.lit(position).alias("position"), F.lit(fold).alias("fold"), F.lit(model.getNumTrees).alias("n_trees"),
-            "ticker", "week_date", "raw_active_return", "label", F.col("prediction").alias("score"))
-        return cut_lineage(scored)
-
-    fits = side_by_side(validated, [(i, f) for i in range(len(points)) for f in numbers])
-    stitched = fits[0]
-    for fit in fits[1:]:
-        stitched = stitched.unionByName(fit)
-    per_fold = stitched.groupBy("position", "fold", "n_trees").agg(F.avg((F.col("label") - F.col("score")) ** 2).alias("mse"))
-    per_point = per_fold.groupBy("position").agg(
-        F.sort_array(F.collect_list(F.struct("fold", "n_trees"))).getField("n_trees").alias("iterations"),
-        F.expr("cast(median(n_trees) as int)").alias("n_trees"), F.avg("mse").alias("cv_mse"))
-    weekly = long_short_weekly(stitched, ["position"], layout=layout).filter("gross_return is not null")
-    net = cost_scenarios(weekly, ["position"], [SELECTION_BPS]).select("position", "information_ratio", "cumulative_return")
-    listed = spark.createDataFrame(
-        [(i, {k: str(v) for k, v in p.items()}, [float(p["max_depth"]), -float(p["min_child_weight"]), -float(p["reg_lambda"])]) for i, p in enumerate(points)],
-        "position int, params map<string,string>, simple array<double>")
-    searched = cut_lineage(listed.join(per_point, "position").join(net, "position", "left"))
-    entry = searched.select(
-        F.lit(0).alias("search"), "position", F.col("position").alias("candidate"), "information_ratio", "cumulative_return",
-        F.concat("simple", F.array(F.col("n_trees").cast("double"))).alias("complexity"))
-    won = choose_candidate(entry, ["search"]).first()["candidate"]
-    trees = max(1, searched.filter(F.col("position") == won).first()["n_trees"])
-
-    def refitted(seed):
-        model = fit_trees(rows, features, {**points[won], "n_estimators": trees}, seed)
-        full = assemble(snapshot.dropna(subset=list(features)), features, None, ["ticker", "week_date"])
-        return cut_lineage(model.transform(full).select(F.lit(seed).alias("seed"), "ticker", "week_date", "prediction"))
-
-    ensemble = side_by_side(refitted, list(seeds))
-    predictions = ensemble[0]
-    for each in ensemble[1:]:
-        predictions = predictions.unionByName(each)
-    scores = snapshot.select("ticker", "sector", "week_date").join(seed_ensemble(predictions, layout=layout), ["ticker", "week_date"], "left")
-    scores = scores.select("*", F.lit(won).alias("candidate"), F.lit(trees).alias("n_trees"), F.lit(len(ensemble)).alias("n_seeds"))
-    return searched.drop("simple").withColumn("selected", F.col("position") == won), scores
-
-
-def rolling_trees(
-    panel: DataFrame, outcomes: DataFrame, folds: DataFrame, features: Sequence[str], points: Sequence[Mapping], *,
-    layout: Layout, data_start="2017-01-01", seeds: Sequence[int] = ENSEMBLE_SEEDS,
-) -> tuple[DataFrame, DataFrame]:
-    """search_trees for every as-of date of folds (as_of, fold, week_date, role). Dates
-    are a calendar list; each leaves stored rows only, so that no plan grows with them."""
-    stored = cut_lineage(complete_rows(panel, features, data_start).join(outcomes.select("ticker", "week_date", "raw_active_return"), ["ticker", "week_date"], "left"))
-    folds = cut_lineage(folds)
-    spans = folds.groupBy("as_of").agg(F.min("week_date").alias("first")).orderBy("as_of").collect()
-    found, scored = [], []
-    for span in spans:
-        as_of = F.lit(span["as_of"])
-        window = cut_lineage(stored.filter((F.col("week_date") >= F.lit(span["first"])) & (F.col("week_date") <= as_of)))
-        one, two = search_trees(window, folds.filter(F.col("as_of") == as_of), panel.filter(F.col("week_date") == as_of), features, points, layout=layout, seeds=seeds)
-        found.append(cut_lineage(one.select(as_of.alias("as_of"), "*")))
-        scored.append(cut_lineage(two))
-    if not spans:
-        raise ValueError("No as-of date has a full window")
-    for parts in (found, scored):
-        while len(parts) > 1:
-            parts[:] = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) - len(parts) % 2:]
-    return found[0], scored[0]

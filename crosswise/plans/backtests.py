@@ -312,12 +312,15 @@ METRICS = {
 }
 
 
-@query("b10_portfolio_metrics", with_blocks("lofull", "select m.*, t.turnover from (select model, count(*) as return_weeks, " + ", ".join(f"{r(e)} as {n}" for n, e in METRICS.items()) + f""",
+B10_SQL = "select m.*, t.turnover from (select model, count(*) as return_weeks, " + ", ".join(f"{r(e)} as {n}" for n, e in METRICS.items()) + f""",
     {r('sum(net_active_return)')} as net_cumulative_active_return, {r('avg(q1_capture)')} as q1_capture, {r('avg(rank_ic)')} as rank_ic, {r('avg(ndcg_at_50)')} as ndcg_at_50,
     {r('52 * avg(transaction_cost)')} as annualized_transaction_cost, {r('sum(transaction_cost)')} as total_transaction_cost,
     {r('min(wealth / greatest(peak, 1) - 1)')} as max_drawdown, {r('pow(arg_max(wealth, week_date), 52.0 / count(*)) - 1')} as net_stock_cagr
     from (select *, max(wealth) over (partition by model order by week_date) as peak from (select *, product(1 + net_stock_return) over (partition by model order by week_date) as wealth from lofull where complete)) group by 1) m
-    join (select model, {r('avg(turnover)')} as turnover from (select *, row_number() over (partition by model order by week_date) as i from lofull) where i > 1 group by 1) t using (model)"""))
+    join (select model, {r('avg(turnover)')} as turnover from (select *, row_number() over (partition by model order by week_date) as i from lofull) where i > 1 group by 1) t using (model)"""
+
+
+@query("b10_portfolio_metrics", with_blocks("lofull", B10_SQL))
 def _(spark, sf):
     return rounded(pf.portfolio_metrics(long_only(spark, sf)))
 
@@ -440,10 +443,13 @@ def _(spark, sf):
     return rounded(comparison(spark, sf))
 
 
-@query("e08_comparative_summary", with_blocks("cmpw", f"""select model, {r('avg(ic)')} as rank_ic, {r('avg(nd)')} as ndcg_at_50, {r('52 * avg(ac)')} as q1_q5_annualized_return, {r(IR.format(x='ac'))} as q1_q5_annualized_ir,
+E8_SUMMARY_SQL = f"""select model, {r('avg(ic)')} as rank_ic, {r('avg(nd)')} as ndcg_at_50, {r('52 * avg(ac)')} as q1_q5_annualized_return, {r(IR.format(x='ac'))} as q1_q5_annualized_ir,
     {r('avg(tu)')} as mean_weekly_turnover, {r('52 * avg(st)')} as q1_q5_annualized_stock_return, {r(IR.format(x='st'))} as q1_q5_annualized_stock_ir, count(ic) as ranking_weeks, count(ac) as return_weeks, count(tu) as turnover_observations
     from (select model, case when common_ranking_week then rank_ic end as ic, case when common_ranking_week then ndcg_at_50 end as nd, case when common_returns_week then q1_q5_active_return end as ac,
-      case when common_returns_week then q1_q5_stock_return end as st, case when common_turnover_week then turnover end as tu from cmpw) group by 1"""))
+      case when common_returns_week then q1_q5_stock_return end as st, case when common_turnover_week then turnover end as tu from cmpw) group by 1"""
+
+
+@query("e08_comparative_summary", with_blocks("cmpw", E8_SUMMARY_SQL))
 def _(spark, sf):
     return rounded(ev.comparative_summary(comparison(spark, sf)))
 

@@ -120,19 +120,21 @@ BLOCKS: dict[str, tuple[str, str]] = {
 }
 
 
-def with_blocks(names: str, final: str, extra: dict[str, str] | None = None) -> str:
-    """WITH clause of the named blocks and everything they read."""
+def with_blocks(names: str, final: str, extra: dict[str, str] | None = None, swap: dict[str, tuple[str, str]] | None = None) -> str:
+    """WITH clause of the named blocks and everything they read; `swap` holds blocks that
+    stand in for those of their names."""
     order: list[str] = []
+    blocks = BLOCKS | (swap or {})
 
     def visit(name: str) -> None:
         if name not in order:
-            for needed in BLOCKS[name][0].split():
+            for needed in blocks[name][0].split():
                 visit(needed)
             order.append(name)
 
     for name in names.split():
         visit(name)
-    parts = [f"{n} as ({BLOCKS[n][1]})" for n in order] + [f"{n} as ({s})" for n, s in (extra or {}).items()]
+    parts = [f"{n} as ({blocks[n][1]})" for n in order] + [f"{n} as ({s})" for n, s in (extra or {}).items()]
     return "with " + ",\n".join(parts) + "\n" + final
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as bst
+from ..operators import evaluation as ev
 from ..operators import gate as gt
 from ..operators import learners as ln
 from ..operators import outcomes as out
@@ -13,7 +15,7 @@ from ..operators import scoring as sc
 from ..operators import windows as win
 from ..sources.storage import cut_lineage
 from . import views
-from .backtests import IR, frame, long_short, scored
+from .backtests import B10_SQL, E8_SUMMARY_SQL, IR, frame, long_short, scored
 from .registry import BLOCKS, query, r, rounded, trades_sql, with_blocks
 
 START = "1995-01-01"
@@ -154,7 +156,7 @@ def tree_search(spark, sf):
     panel, rets, layout = train_panel(spark, sf), views.dense_returns(spark, sf), views.universe(spark, sf)
     folds = win.week_folds(win.window_weeks(panel, list(TWO), data_start=START), keys=["as_of"])
     outcomes = out.raw_outcomes(rets, rets, layout, check=False)
-    return ln.rolling_trees(panel, outcomes, folds, list(TWO), win.regression_grid("compact"), layout=layout, data_start=START)
+    return bst.rolling_trees(panel, outcomes, folds, list(TWO), win.regression_grid("compact"), layout=layout, data_start=START)
 
 
 @query("w08_boosted_trees")
@@ -162,9 +164,51 @@ def _(spark, sf):
     return tree_search(spark, sf)[1]
 
 
-@query("w08_tree_candidates")
+# Every date with all six points, one of them chosen, and errors below those of predicting zero.
+@query("w08_tree_candidates", with_blocks("tfold", """select as_of, 6::bigint as points, true as below_zero_baseline, 1::bigint as selected_points from tfold group by 1"""))
 def _(spark, sf):
-    return tree_search(spark, sf)[0]
+    found = tree_search(spark, sf)[0]
+    return found.groupBy("as_of").agg(F.count(F.lit(1)).alias("points"), F.expr("bool_and(cv_mse < zero_mse)").alias("below_zero_baseline"), F.count_if("selected").alias("selected_points"))
+
+
+# --- fit, score, choose, evaluate: one chain over dated models ------------------
+
+# Scores of the rolling fit on the features of its own date, beside those of one plain signal.
+CHAIN = {"frame": ("tfit twide fwd rets", """select s.*, f.next_week_date, f.stock_return_fwd, f.sector_return_fwd, f.raw_active_return_fwd, f.active_return_fwd from (
+    select 'linear' as model, x.ticker, x.sector, week_date, b0 + ba * z.return_1w + bb * z.return_4w as prediction from rets x join twide z using (ticker, week_date) join tfit on as_of = week_date
+    union all select 'momentum', ticker, sector, week_date, return_4w from rets join (select as_of as week_date from tfit) using (week_date)) s
+    join fwd f using (ticker, week_date) where s.prediction is not null""")}
+
+
+def chain_frame(spark, sf):
+    """Coefficients as dated rows, joined with the features of their date; outcomes follow."""
+    panel = train_panel(spark, sf)
+    models = cut_lineage(ln.rolling_least_squares(panel, list(TWO), data_start=START).withColumnRenamed("as_of", "week_date"))
+    linear = sc.linear_scores(panel, models.select("week_date", "intercept", "coefficients"), list(TWO), "linear").select("model", "ticker", "sector", "week_date", "prediction")
+    plain = views.dense_returns(spark, sf).join(models.select("week_date"), "week_date", "left_semi").select(F.lit("momentum").alias("model"), "ticker", "sector", "week_date", F.col("return_4w").alias("prediction"))
+    scores = linear.unionByName(plain).filter("prediction is not null")
+    outcomes = out.realized_outcomes(views.dense_returns(spark, sf), views.universe(spark, sf), weeks=views.dense_weeks(spark, sf)).select(
+        "ticker", "week_date", "next_week_date", "stock_return_fwd", "sector_return_fwd", "raw_active_return_fwd", "active_return_fwd")
+    return cut_lineage(scores.join(outcomes, ["ticker", "week_date"]))
+
+
+@query("chain_quintiles", with_blocks("quint", f"""select model, week_date, quintile, count(*) as holdings, {r('avg(prediction)')} as mean_prediction, {r('avg(raw_active_return_fwd)')} as active_return from quint group by 1, 2, 3""", swap=CHAIN))
+def _(spark, sf):
+    members = sc.assign_quintiles(chain_frame(spark, sf), highest_first=True, layout=views.universe(spark, sf))
+    return rounded(members.groupBy("model", "week_date", "quintile").agg(
+        F.count(F.lit(1)).alias("holdings"), F.avg("prediction").alias("mean_prediction"), F.avg("raw_active_return_fwd").alias("active_return")))
+
+
+@query("chain_portfolio_metrics", with_blocks("lofull", B10_SQL, swap=CHAIN))
+def _(spark, sf):
+    weekly = ev.evaluate_exact_q1(chain_frame(spark, sf).withColumnRenamed("prediction", "score"), active="raw_active_return_fwd", stock="stock_return_fwd",
+                                  target="active_return_fwd", layout=views.universe(spark, sf))
+    return rounded(pf.portfolio_metrics(weekly))
+
+
+@query("chain_comparison", with_blocks("cmpw", E8_SUMMARY_SQL, swap=CHAIN))
+def _(spark, sf):
+    return rounded(ev.comparative_summary(ev.comparative_weekly(chain_frame(spark, sf), views.universe(spark, sf))))
 
 
 BASES = [

@@ -8,6 +8,7 @@ from helpers import pdf, week
 
 from crosswise.functions.layout import Layout
 from crosswise.operators import gate as gt
+from crosswise.operators import boosting as bst
 from crosswise.operators import learners as ln
 from crosswise.operators import panel as pan
 from crosswise.operators import scoring as sc
@@ -216,7 +217,7 @@ def test_tree_search_covers_every_date_point_fold_and_seed(panel):
     outcomes = panel.select("ticker", "week_date", pan.F.col("active_return_train").alias("raw_active_return"))
     folds = win.week_folds(win.window_weeks(panel, FEATURES, n_weeks=12), n_splits=2, keys=["as_of"])
     points = [{**p, "n_estimators": 4, "min_child_weight": 2, "learning_rate": 0.3} for p in win.regression_grid("compact")[:2]]
-    found, scored = ln.rolling_trees(panel, outcomes, folds, FEATURES, points, layout=SMALL)
+    found, scored, trees = bst.rolling_trees(panel, outcomes, folds, FEATURES, points, layout=SMALL)
     found, scored = pdf(found, "as_of", "position"), pdf(scored, "week_date", "ticker")
     assert found.as_of.tolist() == [week(12, START)] * 2 + [week(13, START)] * 2 and found.position.tolist() == [0, 1, 0, 1]
     assert all(len(x) == 2 and min(x) >= 1 and max(x) <= 4 for x in found.iterations)
@@ -225,6 +226,64 @@ def test_tree_search_covers_every_date_point_fold_and_seed(panel):
     won = found[found.selected].set_index("as_of")
     assert len(scored) == 16 and (scored.n_seeds == 3).all() and scored.score.notna().all()
     assert all(won.position[r.week_date] == r.candidate and won.n_trees[r.week_date] == r.n_trees for r in scored.itertuples())
+    assert trees.groupBy("as_of", "seed").count().count() == 6 and pdf(bst.tree_splits(trees, FEATURES)).importance.between(0, 1).all()
+
+
+def boost_example(n=600, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = np.where(x[:, 0] > 0.2, 1.0, -1.0) + 0.5 * (x[:, 1] > 0) * (x[:, 0] > 0.2) + 0.1 * rng.normal(size=n)
+    cuts = [bst.cut_points(c) for c in x.T]
+    return x, y, cuts, np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)])
+
+
+POINT = {"learning_rate": 0.3, "max_depth": 2, "min_child_weight": 20, "reg_lambda": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "n_estimators": 40}
+
+
+def test_first_split_is_the_best_by_exhaustive_search():
+    x, y, cuts, bins = boost_example()
+    stump = POINT | {"max_depth": 1, "n_estimators": 1, "reg_lambda": 5.0}
+    _, got, [(base, [(feature, cut, leaves)])] = bst.boost(bins, y, np.ones((1, len(y)), bool), [stump], [1])
+    g = y.mean() - y
+
+    def gain(left):
+        return sum(g[s].sum() ** 2 / (s.sum() + 5.0) for s in (left, ~left)) if min(left.sum(), (~left).sum()) >= 20 else -1
+
+    best = max(((gain(bins[j] <= c), j, c) for j in range(3) for c in range(bst.BINS)), key=lambda t: t[0])
+    assert (feature[0], cut[0]) == best[1:]
+    left = bins[best[1]] <= best[2]
+    assert np.allclose(got[0], base - 0.3 * np.where(left, g[left].sum() / (left.sum() + 5), g[~left].sum() / ((~left).sum() + 5)))
+
+
+def test_fits_together_equal_fits_alone_and_stop_early():
+    _, y, _, bins = boost_example()
+    train = np.zeros((2, len(y)), bool)
+    train[0, :300], train[1, 100:500] = True, True
+    points = [POINT, POINT | {"max_depth": 3, "subsample": 0.7, "colsample_bytree": 0.67, "n_estimators": 60}]
+    together = bst.boost(bins, y, train, points, [5, 5], ~train)
+    for i in range(2):
+        alone = bst.boost(bins, y, train[i : i + 1], points[i : i + 1], [5], ~train[i : i + 1])
+        assert alone[0][0] == together[0][i] and np.allclose(alone[1][0], together[1][i])
+        assert np.mean((together[1][i][~train[i]] - y[~train[i]]) ** 2) < 0.1 * np.mean(y[~train[i]] ** 2)
+    noise = np.random.default_rng(1).normal(size=len(y))
+    assert bst.boost(bins, noise, train[:1], [POINT | {"n_estimators": 300}], [5], ~train[:1])[0][0] < 60
+
+
+def test_tree_table_scores_like_the_fit(spark):
+    x, y, cuts, bins = boost_example(200)
+    _, predicted, models = bst.boost(bins, y, np.ones((2, 200), bool), [POINT] * 2, [42, 73])
+    rows = [(week(0), seed, i, float(base), 2, f.tolist(), [float(cuts[a][b]) if b < len(cuts[a]) else float("inf") for a, b in zip(f, c)], v.tolist())
+            for seed, (base, trees) in zip([42, 73], models) for i, (f, c, v) in enumerate(trees)]
+    snapshot = pd.DataFrame(x, columns=["a", "b", "c"]).assign(ticker=[f"T{i:03d}" for i in range(200)], week_date=week(0))
+    scored = pdf(bst.score_tree_table(spark.createDataFrame(snapshot), spark.createDataFrame(rows, bst.TREES), ["a", "b", "c"]), "seed", "ticker")
+    assert np.allclose(scored.prediction.to_numpy().reshape(2, -1), predicted)
+
+
+def test_long_windows_are_thinned_by_ticker(spark):
+    rows = spark.range(200).selectExpr("concat('T', id) as ticker", "explode(sequence(date'2022-01-05', date'2022-03-23', interval 7 days)) as week_date")
+    folds = rows.select(pan.F.lit(week(11)).alias("as_of"), "week_date", pan.F.lit(1).alias("fold"), pan.F.lit("train").alias("role")).distinct()
+    kept = bst.bounded_windows(rows, folds, window_rows=600).groupBy("ticker").count().collect()
+    assert 25 <= len(kept) <= 80 and {r["count"] for r in kept} == {12}
 
 
 def test_shared_weeks_equal_folds_from_cash(spark):
