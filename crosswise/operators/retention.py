@@ -2,25 +2,24 @@
 
 A held name is kept while it ranks inside the buffer (20-30% of the universe);
 vacancies are filled from the current top 20% in rank order. How many names are
-filled depends on how many were kept, so weeks are sequential by nature. Two
-exact executions are offered:
+filled depends on how many were kept, so weeks are sequential by nature.
 
-* in one group per series, when the rows that can matter (ranks inside the
-  buffer) are few enough for a task - all series run in parallel;
-* week by week as DataFrame jobs otherwise: each step joins the ranked week with
-  the stored previous holdings and stays distributed however large the universe.
+One execution serves every size: rows are sorted by (series, week, rank) and pass
+through a task as a stream of Arrow batches. What a task keeps is the book of the
+series at hand and the rows of one week, never a history; the sort spills. Series
+and variants run in parallel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.layout import Layout, resolve
-from ..sources.storage import shared_folder
 from .portfolio import top_fraction, weigh
 
 # Portfolio variants as (buffer, rank weighted); None = per-date choice.
@@ -31,7 +30,6 @@ VARIANTS = {
     "exact_q1_rank_weighted": (0.20, True),
     "selected_buffer_rank_weighted": (None, True),
 }
-SERIES_ROWS = 5_000_000
 
 
 def buffered_holdings(
@@ -43,11 +41,11 @@ def buffered_holdings(
     buffer_by_week: DataFrame | None = None,
     rank_weighted: bool = False,
     layout: Layout | None = None,
-    series_rows: int = SERIES_ROWS,
 ) -> DataFrame:
     """Held names with weights: (series..., week_date, ticker, slot, n_hold, weight).
 
-    `buffer_by_week` (week_date, buffer) overrides the constant buffer.
+    `buffer_by_week` (week_date, buffer) overrides the constant buffer; weeks that it
+    lacks are left out. A week below five scored names holds nothing and ends every holding.
     """
     if buffer_by_week is None and not 0.20 <= buffer <= 0.30:
         raise ValueError("Retention threshold must be between 20% and 30%")
@@ -60,98 +58,47 @@ def buffered_holdings(
     inside = ranked.filter(F.col("rank") <= F.ceil(F.col("__buffer") * F.col("universe"))).select(
         *series, "week_date", "ticker", "rank", "n_hold"
     )
-    # Rows per series: 30% of the universe per week, over a bounded calendar.
-    weeks = scores.select("week_date").distinct().count()
-    if layout.group_rows * 0.3 * weeks <= series_rows:
-        held = _in_one_group(inside, series)
-    else:
-        held = _week_by_week(inside, series)
-    return weigh(held, rank_weighted)
+    return weigh(_walk(inside, series), rank_weighted)
+
 
+def next_book(tickers: list, n_hold: int, prior: set) -> list[int]:
+    """Places, in rank order, of the names held this week: `tickers` are those inside the buffer, best first."""
+    keep = [i for i, t in enumerate(tickers) if t in prior][:n_hold]
+    kept = set(keep)
+    fill = [i for i in range(min(n_hold, len(tickers))) if i not in kept]
+    return sorted(keep + fill[: n_hold - len(keep)])
 
-def _in_one_group(inside: DataFrame, series: Sequence[str]) -> DataFrame:
+
+def _walk(inside: DataFrame, series: Sequence[str]) -> DataFrame:
     series = list(series)
-    held_schema = inside.select(*series, "week_date", "ticker", F.lit(1).alias("slot"), "n_hold").schema
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        parts, prior = [], set()
-        ordered = rows.sort_values(["week_date", "rank"], kind="stable")
-        for _, week in ordered.groupby("week_date", sort=False):
-            n_hold = int(week["n_hold"].iloc[0])
-            was_held = week["ticker"].isin(prior).to_numpy()
-            keep = was_held & (was_held.cumsum() <= n_hold)
-            free = ~keep & (week["rank"].to_numpy() <= n_hold)
-            fill = free & (free.cumsum() <= n_hold - keep.sum())
-            chosen = week.loc[keep | fill].copy()
-            chosen["slot"] = range(1, len(chosen) + 1)
-            parts.append(chosen)
-            prior = set(chosen["ticker"])
-        return pd.concat(parts)[held_schema.names]
-
-    return inside.groupBy(*series).applyInPandas(walk, schema=held_schema)
-
-
-def _weeks(inside: DataFrame) -> Iterator:
-    """The calendar, oldest first (one row per week)."""
-    for row in inside.select("week_date").distinct().orderBy("week_date").collect():
-        yield row["week_date"]
-
-
-def _week_by_week(inside: DataFrame, series: Sequence[str]) -> DataFrame:
-    spark, series = inside.sparkSession, list(series)
-    root = shared_folder(spark)
-    # Stored once by week: each step then reads one folder, not the history.
-    inside.write.partitionBy("week_date").parquet(f"{root}/ranked")
-    ranked = spark.read.parquet(f"{root}/ranked")
-    previous = None
-    for week in _weeks(inside):
-        now = ranked.filter(F.col("week_date") == F.lit(week))
-        if previous is None:
-            marked = now.withColumn("__was", F.lit(0))
-        else:
-            held = spark.read.parquet(previous).select(*series, "ticker", F.lit(1).alias("__held"))
-            marked = now.join(held, [*series, "ticker"], "left").withColumn("__was", F.coalesce("__held", F.lit(0))).drop("__held")
-        _select_week(marked, series).write.parquet(f"{root}/held/step={week}")
-        chosen = spark.read.parquet(f"{root}/held/step={week}")
-        # A series without rows this week keeps its book until its next week.
-        state = chosen.select(*series, "ticker")
-        if previous is not None:
-            idle = spark.read.parquet(previous).join(now.select(*series).distinct(), series, "left_anti")
-            state = state.unionByName(idle)
-        previous = f"{root}/state/step={week}"
-        state.write.parquet(previous)
-    held = spark.read.option("basePath", f"{root}/held").parquet(f"{root}/held")
-    return held.select(*series, "week_date", "ticker", "slot", "n_hold")
-
-
-def _select_week(marked: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Keep and fill by counts of rank prefixes.
-
-    Ranks are dense integers, so rows are grouped into blocks of consecutive
-    ranks; prefix counts over blocks plus counts inside a block replace a window
-    over the whole universe.
-    """
-    block = F.floor(F.col("rank") / 100_000)
-    rows = marked.withColumn("__block", block)
-
-    def placed(df: DataFrame, flag: str, out: str) -> DataFrame:
-        sizes = df.groupBy(*series, "__block").agg(F.sum(flag).alias("__n"))
-        w = Window.partitionBy(*series).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(*series, "__block", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-        inner = Window.partitionBy(*series, "__block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn("__run", F.sum(flag).over(inner)).join(offsets, [*series, "__block"]).withColumn(
-            out, F.col("__run") + F.col("__before")
-        ).drop("__run", "__before")
-
-    kept = placed(rows, "__was", "__nth").withColumn(
-        "__keep", F.when((F.col("__was") == 1) & (F.col("__nth") <= F.col("n_hold")), 1).otherwise(0)
-    )
-    vacancies = kept.groupBy(*series).agg((F.max("n_hold") - F.sum("__keep")).alias("__vacant"))
-    free = kept.withColumn("__free", F.when((F.col("__keep") == 0) & (F.col("rank") <= F.col("n_hold")), 1).otherwise(0))
-    filled = placed(free, "__free", "__mth").join(vacancies, list(series)).withColumn(
-        "__in",
-        F.when((F.col("__keep") == 1) | ((F.col("__free") == 1) & (F.col("__mth") <= F.col("__vacant"))), 1).otherwise(0),
-    )
-    return placed(filled, "__in", "slot").filter("__in = 1").select(
-        *series, "week_date", "ticker", F.col("slot").cast("int").alias("slot"), "n_hold"
-    )
+    schema = inside.select(*series, "week_date", "ticker", F.lit(1).alias("slot"), "n_hold").schema
+    arrow = to_arrow_schema(schema)
+    m = len(series)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prior: set = set()
+        path = week = None
+        rows: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal prior
+            tickers = [r[m + 1] for r in rows]
+            at = next_book(tickers, rows[0][m + 3], prior)
+            prior = {tickers[i] for i in at}
+            out = [(*rows[i][: m + 2], slot, rows[i][m + 3]) for slot, i in enumerate(at, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], arrow.field(c).type) for c in range(len(arrow))], schema=arrow)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and (row[:m] != path or row[m] != week):
+                    yield close()
+                    rows = []
+                if row[:m] != path:
+                    prior = set()
+                path, week = row[:m], row[m]
+                rows.append(row)
+        if rows:
+            yield close()
+
+    ordered = inside.repartition(*series).sortWithinPartitions(*series, "week_date", "rank")
+    return ordered.mapInArrow(run, schema)

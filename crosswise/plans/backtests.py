@@ -277,10 +277,36 @@ def _(spark, sf):
     return rounded(pf.target_weights(scored(spark, sf), layout=views.universe(spark, sf)))
 
 
-@query("b07_retention_buffer")
-def _(spark, sf):
-    held = ret.buffered_holdings(scored(spark, sf), buffer=0.30, layout=views.universe(spark, sf))
-    return rounded(held.select("model", "week_date", "ticker", "slot", "n_hold", "weight"))
+# Week by week: the book of one week decides what the next one keeps.
+BOOKS = {
+    "ordered": """select model, week_date, row_number() over (partition by model order by week_date) as i, names, n, case when n >= 5 then ceil(0.2::double * n)::int else 0 end as n_hold
+        from (select model, week_date, list(ticker order by place) as names, max(n) as n from ranked group by 1, 2)""",
+    "reach": "select *, names[1:ceil({buffer} * n)::int] as inside from ordered",
+    "walk": """with recursive w as (select model, 0::bigint as i, []::bigint[] as held from (select distinct model from reach) union all
+        select r.model, r.i, list_filter(r.inside, lambda x: list_contains(r.keep, x) or list_contains(list_filter(r.names[1:r.n_hold], lambda y: not list_contains(r.keep, y))[1:r.n_hold - len(r.keep)], x)) as held
+        from (select r.*, list_filter(r.inside, lambda x: list_contains(w.held, x))[1:r.n_hold] as keep from w join reach r on r.model = w.model and r.i = w.i + 1) r) select * from w""",
+}
+# The buffer that each year's weeks use where it is chosen by date.
+CHOSEN_BUFFERS = (0.20, 0.25, 0.30)
+CHOSEN_SQL = f"(case year(week_date) % 3 " + " ".join(f"when {i} then {b}::double" for i, b in enumerate(CHOSEN_BUFFERS)) + " end)"
+
+
+def buffered(spark, sf, variant):
+    buffer, weighted = ret.VARIANTS[variant]
+    by_week = None
+    if buffer is None:
+        choice = F.element_at(F.array(*[F.lit(b) for b in CHOSEN_BUFFERS]), F.year("week_date") % 3 + 1)
+        by_week, buffer = views.dense_weeks(spark, sf).select("week_date", choice.alias("buffer")), 0.20
+    return ret.buffered_holdings(scored(spark, sf), buffer=buffer, buffer_by_week=by_week, rank_weighted=weighted, layout=views.universe(spark, sf))
+
+
+for name, (share, weighted) in ret.VARIANTS.items():
+    books = {k: sql.replace("{buffer}", CHOSEN_SQL if share is None else f"{share}::double") for k, sql in BOOKS.items()}
+    weight = "case when n_hold > 1 then 1.25 - 0.5::double * (slot - 1) / (n_hold - 1) else 1 end / n_hold" if weighted else "1.0::double / n_hold"
+    sql = with_blocks("ranked", f"""select model, week_date, ticker, slot::int as slot, n_hold, {r(weight)} as weight
+        from (select model, i, unnest(held) as ticker, generate_subscripts(held, 1) as slot from walk) join ordered using (model, i)""", books)
+    for full in [f"b07_{name}", *(["b07_retention_buffer"] if name == "buffer_20_30" else [])]:
+        query(full, sql)(lambda spark, sf, name=name: rounded(buffered(spark, sf, name).select("model", "week_date", "ticker", "slot", "n_hold", "weight")))
 
 
 @query("b08_rank_weighted", with_blocks("book", f"""select model, week_date, ticker, {r('case when n_hold > 1 then 1.25 - 0.5 * (place - 1) / (n_hold - 1) else 1 end / n_hold')} as weight from book"""))

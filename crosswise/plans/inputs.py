@@ -152,7 +152,7 @@ def stored_snapshots(spark, sf):
 @query("s04_snapshot_scan", with_blocks("px", f"""select ticker, week_date, {r('adj_close')} as adj_close from px where week_date between date '1999-10-01' and date '2000-03-31'"""))
 def _(spark, sf):
     schema = "ticker bigint, sector int, week_date date, price_date date, adj_close double"
-    df = snap.read_snapshots(spark, stored_snapshots(spark, sf), "1999-10-01", "2000-03-31", schema=schema, check=False)
+    df = snap.read_snapshots(spark, stored_snapshots(spark, sf), "1999-10-01", "2000-03-31", schema=schema)
     return rounded(df.select(F.col("ticker").cast("bigint").alias("ticker"), "week_date", "adj_close"))
 
 
@@ -178,7 +178,7 @@ def _(spark, sf):
 @query("s08_snapshot_union", with_blocks("px", "select week_date, count(*) as n_rows, min(ticker) as first_ticker, max(ticker) as last_ticker from px group by 1"))
 def _(spark, sf):
     schema = "ticker bigint, sector int, week_date date, price_date date, adj_close double"
-    df = snap.read_snapshots(spark, stored_snapshots(spark, sf), schema=schema, check=False)
+    df = snap.read_snapshots(spark, stored_snapshots(spark, sf), schema=schema)
     t = F.col("ticker").cast("bigint")
     return df.groupBy("week_date").agg(F.count(F.lit(1)).alias("n_rows"), F.min(t).alias("first_ticker"), F.max(t).alias("last_ticker"))
 
@@ -373,6 +373,11 @@ def _(spark, sf):
     return feat.build_report(grid, feature_panel(spark, sf))
 
 
+@query("f14_ineligible_tickers", with_blocks("elig", "select week_date, ticker from elig where not eligible and week_date = (select max(week_date) from elig)"))
+def _(spark, sf):
+    return feat.ineligible_tickers(feature_panel(spark, sf))
+
+
 @query("f15_snapshot_labels", with_blocks("px", f"""select p.ticker, p.week_date, {r('n.adj_close / p.adj_close - 1')} as target_return_1w
     from px p left join px n on n.ticker = p.ticker and n.week_date = p.week_date + 7"""))
 def _(spark, sf):
