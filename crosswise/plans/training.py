@@ -12,6 +12,7 @@ from ..operators import outcomes as out
 from ..operators import panel as pan
 from ..operators import portfolio as pf
 from ..operators import scoring as sc
+from ..operators import search
 from ..operators import windows as win
 from ..sources.storage import cut_lineage
 from . import views
@@ -228,81 +229,86 @@ def _(spark, sf):
                         F.try_element_at(F.map_values("changed"), F.lit(1)).cast("double").alias("new_value"))
 
 
-# The blends that the search tries first, and how far it looks around the best.
-BLENDS, AROUND = ("0.1", "0.5", "0.9"), ("-0.2", "0.2")
+# The rates that the search tries first, with their numbers of iterations, and what
+# its later stages change.
+RATES, CEILINGS = ("0.1", "0.2", "0.3", "0.4"), ("10", "10", "10", "10")
+FIRST_TRUNCATION, SECOND_TRUNCATION = "2", "5"
+REFINEMENT = {"learning_rate": "0.05", "n_estimators": "20"}
 
 
-def search_sql(stage, table):
-    """Blocks that evaluate the candidates (candidate, blend) of `table`."""
-    x = f"s{stage}"
+def search_sql(stage):
+    """Blocks that evaluate the candidates of c{stage} (year, position, candidate, rate, k, ceiling)."""
+    x, who = f"s{stage}", "year, candidate"
     return {
-        f"{x}r": f"""select *, row_number() over (partition by model, week_date order by score desc, ticker) as place, count(*) over (partition by model, week_date) as n from (
-            select c.candidate as model, b.ticker, b.week_date, b.a, b.m * (1 - c.blend) + b.v * c.blend as score from sboth b cross join {table} c)""",
-        f"{x}pos": f"""select model, week_date, ticker, a, case when (place - 1) * 5 // n = 0 then 1.0::double / ceil(n / 5) else -1.0::double / floor(n / 5) end as w
+        f"{x}path": f"""select {who}, fold, t, k, week_date, a, row_number() over (partition by {who}, t, week_date order by score desc, ticker) as place, count(*) over (partition by {who}, t, week_date) as n
+            from (select b.*, c.candidate, c.k, t, m * (1 - t * rate) + v * (t * rate) as score from sboth b join (select *, unnest(generate_series(1, ceiling)) as t from c{stage}) c using (year))""",
+        f"{x}loss": f"""select {who}, fold, t, round(avg(g), 9) as g from (select {who}, fold, t, week_date, avg(a) filter (place <= k) - avg(a) filter (place > n - k) as g
+            from {x}path where n >= 5 group by all) group by all""",
+        f"{x}stop": f"select {who}, fold, t::int as t from (select *, row_number() over (partition by {who}, fold order by g desc, t) as i from {x}loss) where i = 1",
+        f"{x}r": f"""select *, row_number() over (partition by {who}, week_date order by score desc, ticker) as place, count(*) over (partition by {who}, week_date) as n from (
+            select {who}, b.ticker, b.week_date, b.a, b.m * (1 - t * rate) + b.v * (t * rate) as score from {x}stop join c{stage} using ({who}) join sboth b using (year, fold))""",
+        f"{x}pos": f"""select {who}, week_date, ticker, a, case when (place - 1) * 5 // n = 0 then 1.0::double / ceil(n / 5) else -1.0::double / floor(n / 5) end as w
             from {x}r where n >= 5 and ((place - 1) * 5 // n in (0, 4))""",
-        f"{x}dates": f"select model, week_date, lag(week_date) over w as prev_week, lead(week_date) over w as next_week from (select distinct model, week_date from {x}pos) window w as (partition by model order by week_date)",
-        f"{x}tr": trades_sql(f"{x}pos", f"{x}dates"),
-        f"{x}net": f"""select g.model, g.week_date, gross - 0.002::double * coalesce(case when k.week_date - k.prev_week = 7 then traded / 2 end, 1) as net
-            from (select model, week_date, avg(a) filter (w > 0) - avg(a) filter (w < 0) as gross from {x}pos group by 1, 2) g join {x}dates k using (model, week_date) join {x}tr using (model, week_date) where gross is not null""",
-        f"{x}out": f"select model as candidate, {IR.format(x='net')} as ir, product(1 + net) - 1 as cum from {x}net group by 1",
+        f"{x}dates": f"select {who}, week_date, lag(week_date) over w as prev_week, lead(week_date) over w as next_week from (select distinct {who}, week_date from {x}pos) window w as (partition by {who} order by week_date)",
+        f"{x}tr": trades_sql(f"{x}pos", f"{x}dates", who),
+        f"{x}net": f"""select {who}, gross - 0.002::double * coalesce(case when k.week_date - k.prev_week = 7 then traded / 2 end, 1) as net
+            from (select {who}, week_date, avg(a) filter (w > 0) - avg(a) filter (w < 0) as gross from {x}pos group by all) join {x}dates k using ({who}, week_date) join {x}tr using ({who}, week_date) where gross is not null""",
+        f"e{stage}": f"""select {stage} as stage, c.*, ir, cum, med, top from c{stage} c join (select {who}, {IR.format(x='net')} as ir, product(1 + net) - 1 as cum from {x}net group by 1, 2) using ({who})
+            join (select {who}, median(t) as med, max(t) as top from {x}stop group by 1, 2) using ({who})""",
     }
 
 
-def fold_sql(table):
-    """The ordered choice with tolerances over (position, candidate, blend, ir, cum)."""
-    return f"""select position, candidate, blend, ir, cum from {table} where position = (
-        with recursive walk as (select position, ir, cum, position as best from {table} where position = 1 union all
-          select t.position, case when t.better then t.ir else t.bir end, case when t.better then t.cum else t.bcum end, case when t.better then t.position else t.best end
-          from (select n.position, n.ir, n.cum, w.ir as bir, w.cum as bcum, w.best,
-              case when abs(n.ir - w.ir) > 0.05 then n.ir > w.ir when abs(n.cum - w.cum) > 0.01 then n.cum > w.cum else false end as better
-            from walk w join {table} n on n.position = w.position + 1) t)
-        select best from walk order by position desc limit 1)"""
+def leader_sql(table):
+    """The ordered choice with tolerances within each year of an evaluated table."""
+    return f"""select * exclude (i) from (select *, row_number() over (partition by year order by position) as i from {table}) where (year, i) in (
+        with recursive listed as (select *, row_number() over (partition by year order by position) as i from {table}),
+          walk as (select year, i, i as best, ir, cum, k, med from listed where i = 1 union all
+            select year, i, if(better, i, best), if(better, ir, bir), if(better, cum, bcum), if(better, k, bk), if(better, med, bmed) from (
+              select n.*, w.best, w.ir as bir, w.cum as bcum, w.k as bk, w.med as bmed,
+                case when (n.ir is null) <> (w.ir is null) then w.ir is null when n.ir is not null and abs(n.ir - w.ir) > 0.05 then n.ir > w.ir
+                  when abs(n.cum - w.cum) > 0.01 then n.cum > w.cum when n.k <> w.k then n.k < w.k else n.med < w.med end as better
+              from walk w join listed n on n.year = w.year and n.i = w.i + 1))
+        select year, arg_max(best, i) from walk group by year)"""
 
 
 W10 = {
-    "sboth": """select ticker, week_date, any_value(raw_active_return_fwd) as a, max(prediction) filter (model = 'momentum') as m, max(prediction) filter (model = 'reversal') as v
-        from frame group by 1, 2 having m is not null and v is not null and a is not null""",
-    "c1": "select position, 'blend ' || b as candidate, b::double as blend from (values (1, '0.1'), (2, '0.5'), (3, '0.9')) t(position, b)",
-    **search_sql(1, "c1"),
-    "e1": "select position, candidate, blend, ir, cum from c1 join s1out using (candidate)",
-    "w1": fold_sql("e1"),
-    "c2": "select p as position, candidate || s as candidate, blend + s::double as blend from w1 cross join (values (2, ' -0.2'), (3, ' 0.2')) t(p, s)",
-    **search_sql(2, "c2"),
-    "e2": "select 1 as position, candidate, blend, ir, cum from w1 union all select position, candidate, blend, ir, cum from c2 join s2out using (candidate)",
-    "w2": fold_sql("e2"),
+    "sboth": """select year(week_date)::int as year, quarter(week_date)::int as fold, ticker, week_date, any_value(raw_active_return_fwd) as a,
+        max(prediction) filter (model = 'momentum') as m, max(prediction) filter (model = 'reversal') as v
+        from frame group by ticker, week_date having m is not null and v is not null and a is not null""",
+    "c1": "select distinct b.year, position, 'rate ' || s as candidate, s::double as rate, " + FIRST_TRUNCATION + " as k, ceiling from sboth b cross join (values "
+          + ", ".join(f"({i}, '{s}', {n})" for i, (s, n) in enumerate(zip(RATES, CEILINGS), 1)) + ") t(position, s, ceiling)",
+    **search_sql(1),
+    "first": leader_sql("e1"),
+    "others": "select * from e1 where (year, candidate) not in (select (year, candidate) from first)",
+    "second": leader_sql("others"),
+    "c2": f"select year, 4 + i as position, 'finalist ' || i as candidate, rate, {SECOND_TRUNCATION} as k, ceiling from (select *, 1 as i from first union all select *, 2 from second)",
+    **search_sql(2),
+    "e12": "select * from e1 union all select * from e2",
+    "lead12": leader_sql("e12"),
+    "c3": f"select year, 7 as position, 'refined' as candidate, {REFINEMENT['learning_rate']}::double as rate, k, {REFINEMENT['n_estimators']} as ceiling from lead12 where med >= ceil(0.9 * ceiling) or top >= ceiling",
+    **search_sql(3),
+    "e123": "select * from e12 union all select * from e3",
+    "chosen": leader_sql("e123"),
 }
 
 
-@query("w10_staged_search", with_blocks("frame", f"""select stage, candidate, {r('blend')} as blend, {r('ir')} as information_ratio, {r('cum')} as cumulative_return, candidate = (select candidate from w2) as selected
-    from (select 1 as stage, * from e1 union all select 2, * from e2 where position > 1)""", W10))
+@query("w10_staged_search", with_blocks("frame", f"""select e.year, e.stage, e.candidate, e.rate, e.k as truncation, e.ceiling as n_estimators, e.med as median_iterations, e.top as max_iterations,
+    {r('e.ir')} as information_ratio, {r('e.cum')} as cumulative_return, e.year in (select year from e3) as refined, e.candidate = c.candidate as selected from e123 e join chosen c using (year)""", W10))
 def _(spark, sf):
-    """Two stages, each one plan over all its candidates: fixed blends of two signals,
-    then blends around the best one. Candidates are rows of a parameter table."""
-    rows = frame(spark, sf).groupBy("ticker", "week_date", "raw_active_return_fwd").pivot("model", ["momentum", "reversal"]).agg(F.max("prediction"))
-    rows = cut_lineage(rows.filter("momentum is not null and reversal is not null and raw_active_return_fwd is not null"))
+    """The search of every year at once, on a path from momentum to reversal with the quarters as folds."""
+    active = "raw_active_return_fwd"
+    rows = frame(spark, sf).groupBy("ticker", "week_date", active).pivot("model", ["momentum", "reversal"]).agg(F.max("prediction"))
+    rows = rows.filter(f"momentum is not null and reversal is not null and {active} is not null")
+    rows = cut_lineage(rows.select(F.year("week_date").alias("year"), F.quarter("week_date").alias("fold"), "ticker", "week_date",
+                                   F.col("momentum").alias("base"), F.col("reversal").alias("added"), active))
     layout = views.universe(spark, sf)
-
-    def evaluate(candidates):
-        blended = rows.crossJoin(F.broadcast(candidates)).select(
-            F.col("candidate").alias("model"), "ticker", "week_date", "raw_active_return_fwd", (F.col("momentum") * (1 - F.col("blend")) + F.col("reversal") * F.col("blend")).alias("score"))
-        weekly = pf.long_short_weekly(blended, active="raw_active_return_fwd", layout=layout).filter("gross_return is not null")
-        out = pf.cost_scenarios(weekly, costs=[pf.SELECTION_BPS]).select(F.col("model").alias("candidate"), "information_ratio", "cumulative_return")
-        return candidates.join(out, "candidate")
-
-    def best(evaluated):
-        listed = evaluated.select(F.lit(0).alias("search"), "position", "candidate", "information_ratio", "cumulative_return", F.array(F.lit(1)).alias("complexity"))
-        return win.choose_candidate(listed, ["search"]).select("candidate")
-
-    first = spark.createDataFrame([(i, f"blend {b}", float(b)) for i, b in enumerate(BLENDS, 1)], "position int, candidate string, blend double")
-    one = cut_lineage(evaluate(first))
-    winner = one.join(best(one), "candidate")
-    steps = F.posexplode(F.array(*[F.lit(s) for s in AROUND])).alias("i", "step")
-    second = winner.select("candidate", "blend", steps).select(
-        (F.col("i") + 2).alias("position"), F.concat("candidate", F.lit(" "), "step").alias("candidate"), (F.col("blend") + F.col("step").cast("double")).alias("blend"))
-    two = cut_lineage(evaluate(cut_lineage(second)))
-    final = best(winner.withColumn("position", F.lit(1)).unionByName(two)).select(F.col("candidate").alias("won"))
-    every = one.withColumn("stage", F.lit(1)).unionByName(two.withColumn("stage", F.lit(2))).crossJoin(F.broadcast(final))
-    return rounded(every.select("stage", "candidate", "blend", "information_ratio", "cumulative_return", (F.col("candidate") == F.col("won")).alias("selected")))
+    points = [(i, f"rate {s}", {"learning_rate": s, "truncation": FIRST_TRUNCATION, "n_estimators": n}) for i, (s, n) in enumerate(zip(RATES, CEILINGS), 1)]
+    table = spark.createDataFrame(points, "position int, candidate string, params map<string,string>")
+    found = search.staged_search(rows.select("year").distinct().crossJoin(F.broadcast(table)), lambda c: search.blend_path_results(rows, c, ["year"], layout, active),
+                                 ["year"], truncation=SECOND_TRUNCATION, refinement=REFINEMENT)
+    value = F.col("params")
+    return rounded(found.select("year", "stage", "candidate", value["learning_rate"].cast("double").alias("rate"), value["truncation"].cast("int").alias("truncation"),
+                                value["n_estimators"].cast("int").alias("n_estimators"), "median_iterations", "max_iterations", "information_ratio", "cumulative_return", "refined", "selected"))
 
 
 SEEDS = {"42": "return_1w", "73": "0 - return_4w", "107": "return_13w"}
