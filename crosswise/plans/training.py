@@ -374,7 +374,9 @@ def _(spark, sf):
 CANDIDATES = {"incumbent": "return_4w", "reversal": "0 - return_1w", "slow": "0 - return_13w"}
 BLOCKS.update(
     {
-        "gdates": ("dweeks", "select as_of, i, week_date from (select max(week_date) - 70 as a from dweeks) cross join lateral (select unnest([a - 364, a]) as as_of) cross join (select week_date, 0 as i from dweeks) where week_date > as_of - 7 * 260 and week_date <= as_of"),
+        # Every as-of date whose 260 weeks are in the calendar.
+        "gdates": ("dweeks", """select as_of, week_date from (select week_date as as_of from dweeks where week_date - 7 * 259 >= (select min(week_date) from dweeks))
+            cross join (select week_date from dweeks) where week_date > as_of - 7 * 260 and week_date <= as_of"""),
         "gfold": ("gdates", """select as_of, week_date, fold from (select as_of, week_date, row_number() over (partition by as_of order by week_date) - 1 as i from gdates)
             cross join (select unnest([1, 2, 3, 4]) as fold) where i >= 260 - (5 - fold) * 52 and i < 260 - (5 - fold) * 52 + 52"""),
         "gframe": ("rets fwd gfold", """select g.as_of, c.candidate, g.fold, f.week_date, f.ticker, c.score, f.raw_active_return_fwd as a, f.stock_return_fwd as s
@@ -395,28 +397,9 @@ BLOCKS.update(
 )
 
 
-# Every as-of date whose 260 weeks are in the calendar. At the last one a week has no outcome
-# yet, which makes the bound missing and its check fail; the two dates above never see that.
-ALL_DATES = {
-    BLOCKS["gdates"][1]: """select as_of, 0 as i, week_date from (select week_date as as_of from dweeks where week_date - 7 * 259 >= (select min(week_date) from dweeks))
-        cross join (select week_date from dweeks) where week_date > as_of - 7 * 260 and week_date <= as_of""",
-    "quantile_cont(gain, 0.1) as lower": "case when count(gain) = count(*) then quantile_cont(gain, 0.1) end as lower",
-    "52 * sum(g.delta) / count(*) as gain": "case when count(g.delta) = count(*) then 52 * sum(g.delta) / count(*) end as gain",
-    "lower > 0 as c5": "coalesce(lower > 0, false) as c5",
-}
-
-
 def gated(name, sql):
-    """The query on two as-of dates, and NAME_all_dates on every date of the calendar, with the same SQL but for ALL_DATES."""
-    def register(fn):
-        every = sql
-        for old, new in ALL_DATES.items():
-            every = every.replace(old, new)
-        query(name, sql)(lambda spark, sf: fn(spark, gate_weekly(spark, sf)))
-        query(f"{name}_all_dates", every)(lambda spark, sf: fn(spark, gate_weekly_all_dates(spark, sf)))
-        return fn
-
-    return register
+    """A query over the weekly results of the candidates at every as-of date."""
+    return lambda fn: query(name, sql)(lambda spark, sf: fn(spark, gate_weekly(spark, sf)))
 
 
 def gate_folds(dates):
@@ -435,19 +418,11 @@ def gate_scores(rows):
 
 
 def gate_weekly(spark, sf):
-    """Three candidates on the validation folds of two as-of dates."""
-    last = views.dense_weeks(spark, sf).agg(F.date_sub(F.max("week_date"), 70).alias("a"))
-    dates = last.select(F.explode(F.array(F.date_sub("a", 364), F.col("a"))).alias("as_of"))
-    scores = gate_scores(gate_rows(spark, sf).join(gate_folds(dates), "week_date"))
-    # The gate reads the small weekly table several times: store it once.
-    return cut_lineage(gt.candidate_weekly(scores, layout=views.universe(spark, sf)))
-
-
-def gate_weekly_all_dates(spark, sf):
-    """The same candidates on the folds of every as-of date with a full window."""
+    """Three candidates on the validation folds of every as-of date with a full window."""
     weeks = views.dense_weeks(spark, sf)
     first = weeks.agg(F.min("week_date").alias("first"))
     dates = weeks.crossJoin(F.broadcast(first)).filter(F.date_sub("week_date", 7 * 259) >= F.col("first")).select(F.col("week_date").alias("as_of"))
+    # The gate reads the weekly table several times: store it once.
     return cut_lineage(gt.shared_weekly(gate_scores(gate_rows(spark, sf)), gate_folds(dates), views.universe(spark, sf)))
 
 
@@ -461,11 +436,12 @@ BLOCKS.update(
     {
         "gpair": ("glo", """select c.as_of, c.candidate, c.fold, c.week_date, c.net - b.net as delta, row_number() over (partition by c.as_of, c.candidate, c.fold order by c.week_date) - 1 as i,
               count(*) over (partition by c.as_of, c.candidate, c.fold) as n from glo c join glo b on b.as_of = c.as_of and b.fold = c.fold and b.week_date = c.week_date and b.candidate = 'incumbent' where c.candidate <> 'incumbent'"""),
+        # At the last date a week has no outcome yet, which makes the bound missing and its check fail.
         # Circular blocks of four weeks; a block's first week is a hash of its name.
         "gdraw": ("gpair", """select p.as_of, p.candidate, p.fold, rep, p.i, p.n, (('0x' || substr(md5(concat_ws('|', p.as_of, p.fold, rep, p.i // 4)), 1, 12))::bigint % p.n + p.i % 4) % p.n as at
               from gpair p cross join (select unnest(range(1, 501)) as rep)"""),
-        "gboot": ("gdraw gpair", """select as_of, candidate, quantile_cont(gain, 0.1) as lower from (
-              select d.as_of, d.candidate, rep, 52 * sum(g.delta) / count(*) as gain from gdraw d join gpair g on g.as_of = d.as_of and g.candidate = d.candidate and g.fold = d.fold and g.i = d.at group by all)
+        "gboot": ("gdraw gpair", """select as_of, candidate, case when count(gain) = count(*) then quantile_cont(gain, 0.1) end as lower from (
+              select d.as_of, d.candidate, rep, case when count(g.delta) = count(*) then 52 * sum(g.delta) / count(*) end as gain from gdraw d join gpair g on g.as_of = d.as_of and g.candidate = d.candidate and g.fold = d.fold and g.i = d.at group by all)
             group by 1, 2"""),
     }
 )
@@ -483,7 +459,7 @@ GATE3 = """select m.as_of, m.candidate, m.ir - i.ir as ir_gain, m.net - i.net as
       on y.as_of = m.as_of and y.candidate = m.candidate where m.candidate <> 'incumbent'"""
 
 
-BLOCKS["gchk"] = ("gm gmf gmy gboot", f"""select *, c1 and c2 and c3 and c4 and c5 as ok from (select g.*, lower, ir_gain >= 0.1 as c1, net_gain >= 0.005 as c2, wins >= 3 as c3, worst >= -0.25 as c4, lower > 0 as c5
+BLOCKS["gchk"] = ("gm gmf gmy gboot", f"""select *, c1 and c2 and c3 and c4 and c5 as ok from (select g.*, lower, ir_gain >= 0.1 as c1, net_gain >= 0.005 as c2, wins >= 3 as c3, worst >= -0.25 as c4, coalesce(lower > 0, false) as c5
     from ({GATE3}) g join gboot using (as_of, candidate))""")
 GATE_COLUMNS = f"""{r('ir_gain')} as ir_gain, {r('net_gain')} as annualized_net_active_gain, wins as fold_ir_wins, {r('worst')} as worst_fold_ir_gain, yrs as positive_years, {r('lower')} as lower_annual_gain,
     c1 as ir_gain_at_least_0_10, c2 as annual_net_gain_at_least_0_5pct, c3 as fold_ir_wins_at_least_3, c4 as no_fold_ir_loss_below_0_25, c5 as bootstrap_lower_gain_positive, ok as eligible"""
