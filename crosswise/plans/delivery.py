@@ -11,7 +11,7 @@ from ..operators import portfolio as pf
 from ..operators import scoring as sc
 from ..sources import sinks
 from ..sources import snapshots as snap
-from ..sources.storage import shared_folder
+from ..sources.storage import cut_lineage, shared_folder
 from ..streaming import landing, messages
 from . import views
 from .backtests import by_status, frame, members
@@ -40,6 +40,18 @@ def _(spark, sf):
     return sinks.publish_weeks(rows, root)
 
 
+@query("k02_concurrent_publish", with_blocks("px", """select week_date, case when week_date < date '1996-01-01' then 'skipped_existing' when week_date < date '1998-01-01' then 'skipped_concurrent_existing' else 'uploaded' end as status,
+    count(*) as rows from px group by 1"""))
+def _(spark, sf):
+    """Planned when the root holds the weeks before 1996; another writer fills those before 1998 in between."""
+    root = shared_folder(spark)
+    rows = cut_lineage(views.px_weekly(spark, sf))
+    sinks.publish_weeks(rows.filter("week_date < '1996-01-01'"), root)
+    planned = cut_lineage(sinks.publish_plan(rows, root))
+    sinks.publish_weeks(rows.filter("week_date < '1998-01-01'"), root)
+    return sinks.publish_weeks(rows, root, planned=planned)
+
+
 @query("k03_manifest", with_blocks("px", "select count(*) as rows, count(distinct week_date) as weeks, 'v1' as panel_version from px"))
 def _(spark, sf):
     root = shared_folder(spark)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +45,42 @@ def publish_plan(rows: DataFrame, root: str) -> DataFrame:
     )
 
 
+def stage_weeks(rows: DataFrame, root: str, partition: str = "week_date") -> str:
+    """Write rows by week below a fresh hidden folder of root, which no reader lists. Rows of a
+    week go to one writer unless the week is large: AQE's rebalance splits oversized weeks."""
+    stage = f"{root.rstrip('/')}/_staging/{uuid.uuid4().hex}"
+    rows.hint("rebalance", partition).write.partitionBy(partition).parquet(stage)
+    return stage
+
+
+def claim_week(spark: SparkSession, stage: str, root: str, folder: str) -> bool:
+    """Move a staged week into root; False if root holds that week by now. The rename refuses an
+    existing target, so of two writers one gets the week, whole, and the other leaves it."""
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(f"{stage}/{folder}"), hadoop.Path(f"{root.rstrip('/')}/{folder}")
+    files = hadoop.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration())
+    if files.util().exists(target):
+        return False
+    try:
+        files.rename(source, target, spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError:
+        if files.util().exists(target):
+            return False
+        raise
+    return True
+
+
 def publish_weeks(rows: DataFrame, root: str, dry_run: bool = False, partition: str = "week_date", planned: DataFrame | None = None) -> DataFrame:
-    """K1/K2/K8: append only the weeks that hold no file, then verify.
-
-    Rows of a week go to one writer unless the week is large: the hash of the
-    week plus AQE's rebalance splits oversized weeks over several files. The
-    decision is a stored table of weeks, so the listing may change during the
-    write and the input is read for the counts and for the write only. Weeks that
-    an earlier plan (`planned`, from publish_plan) had free and another writer has
-    filled since are left alone as skipped_concurrent_existing. Returns one status
-    row per week.
+    """K1/K2/K8: publish only the weeks that root does not hold, then verify.
+
+    Free weeks are staged in a hidden folder and claimed one by one by a rename, so readers see a
+    whole week or none, and of several writers one publishes it. Weeks that were free when
+    this writer, or the earlier plan it follows (`planned`, from publish_plan), looked and
+    are another's now become skipped_concurrent_existing. A lost driver leaves whole weeks and
+    a hidden folder; the next run publishes the rest. The renames are one a week, a bounded slice
+    of the calendar. Root must be a file system whose rename is atomic. Returns one
+    status row per week.
     """
     spark = rows.sparkSession
     stored = week_files(spark, root).select("week_date").distinct().withColumn("__stored", F.lit(True))
@@ -65,8 +93,17 @@ def publish_weeks(rows: DataFrame, root: str, dry_run: bool = False, partition:
     decided = cut_lineage(decided.select("week_date", status.alias("status"), "rows"))
     if dry_run:
         return decided
-    fresh = rows.join(decided.filter(F.col("status") == new).select("week_date"), "week_date", "left_semi").select(*rows.columns)
-    fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(root)
+    wanted = decided.filter(F.col("status") == new).select("week_date")
+    days = sorted(row["week_date"] for row in wanted.collect())
+    if not days:
+        return decided
+    stage = stage_weeks(rows.join(wanted, "week_date", "left_semi").select(*rows.columns), root, partition)
+    lost = [(day,) for day in days if not claim_week(spark, stage, root, f"{partition}={day}")]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    taken = spark.createDataFrame(lost, "week_date date").withColumn("__lost", F.lit(True))
+    final = F.when(F.col("__lost"), "skipped_concurrent_existing").otherwise(F.col("status"))
+    decided = decided.join(F.broadcast(taken), "week_date", "left").select("week_date", final.alias("status"), "rows")
     after = week_files(spark, root).select("week_date").distinct()
     require_none(decided.join(after, "week_date", "left_anti"), "Weeks missing after publishing")
     return decided

@@ -128,6 +128,36 @@ def test_publishing_is_idempotent_and_verified(spark):
     assert len(snap.fingerprint(list_files(spark, root), root).first()["fingerprint"]) == 64
 
 
+def test_of_two_writers_one_gets_each_week(spark, monkeypatch):
+    """Both writers have found weeks 1 and 2 free and staged them before either moves one."""
+    root = shared_folder(spark)
+    sinks.publish_weeks(snapshot_rows(spark, [0]), root)
+    stage, statuses = sinks.stage_weeks, {}
+
+    def overtaken(rows, where, partition="week_date"):
+        staged = stage(rows, where, partition)
+        monkeypatch.setattr(sinks, "stage_weeks", stage)
+        statuses["other"] = {r["week_date"]: r["status"] for r in sinks.publish_weeks(snapshot_rows(spark, [1, 2]).withColumn("adj_close", messages.F.lit(99.0)), where).collect()}
+        return staged
+
+    monkeypatch.setattr(sinks, "stage_weeks", overtaken)
+    own = {r["week_date"]: r["status"] for r in sinks.publish_weeks(snapshot_rows(spark, [0, 1, 2, 3]), root).collect()}
+    assert statuses["other"] == {week(1): "uploaded", week(2): "uploaded"}
+    assert own == {week(0): "skipped_existing", week(1): "skipped_concurrent_existing", week(2): "skipped_concurrent_existing", week(3): "uploaded"}
+    kept = pdf(snap.read_snapshots(spark, root), "week_date", "ticker")
+    assert len(kept) == 12 and (kept.adj_close == 99.0).tolist() == [False] * 3 + [True] * 6 + [False] * 3
+
+
+def test_a_claim_never_replaces_a_week(spark):
+    root = shared_folder(spark)
+    first, second = (sinks.stage_weeks(snapshot_rows(spark, [0]).limit(n), root) for n in (1, 2))
+    assert sinks.claim_week(spark, first, root, f"week_date={week(0)}")
+    assert not sinks.claim_week(spark, second, root, f"week_date={week(0)}")
+    assert spark.read.parquet(root).count() == 1
+    with pytest.raises(Exception, match="week_date"):
+        sinks.claim_week(spark, second, root, f"week_date={week(5)}")
+
+
 def test_plan_counts_missing_json_tickers(spark, tmp_path):
     folder = tmp_path / "in" / f"week_date={week(0)}"
     folder.mkdir(parents=True)
