@@ -190,6 +190,6 @@ def _(spark, sf):
 def _(spark, sf):
     root = shared_folder(spark)
     expected = views.table(spark, sf, "events").select(wednesday_on_or_after(F.to_date("ts")).alias("week_date")).distinct().withColumn("n_expected", F.lit(10).cast("bigint"))
-    counts = landing.weekly_completeness(messages.valid(messages.parse(stream(spark, sf), FEATURES, "v1")), "at")
+    counts = landing.weekly_completeness(messages.valid(messages.parse(stream(spark, sf), FEATURES, "v1")))
     landing.announce_ready(counts, expected, root, shared_folder(spark)).awaitTermination()
     return spark.read.parquet(root).select("week_date", "event", "n_received", "n_expected")

@@ -50,12 +50,12 @@ def compact(landed: DataFrame, root: str) -> None:
     landed.hint("rebalance", "week_date").write.mode("overwrite").partitionBy("week_date").parquet(root)
 
 
-def weekly_completeness(parsed: DataFrame, event_time: str, delay: str = "30 days") -> DataFrame:
-    """M7: distinct messages per week. Deduplication state is keyed by message
-    (evenly spread); the weekly count is combined before its shuffle."""
-    stamped = parsed.withColumn("__at", F.col(event_time).cast("timestamp")).withWatermark("__at", delay)
-    unique = stamped.dropDuplicatesWithinWatermark(list(KEY))
-    return unique.groupBy("week_date").agg(F.count(F.lit(1)).alias("n_received"))
+def weekly_completeness(parsed: DataFrame) -> DataFrame:
+    """M7: distinct messages per week. The keys seen stay in the state store without a horizon, so
+    a replay never counts twice, however late; they are as many as the stored rows of all weeks.
+    That state is keyed by message (evenly spread, no week in one task), and the weekly count is
+    combined before its shuffle. Keep it on disk with RocksDB, `spark.sql.streaming.stateStore.providerClass`."""
+    return parsed.dropDuplicates(list(KEY)).groupBy("week_date").agg(F.count(F.lit(1)).alias("n_received"))
 
 
 def announce_ready(counts: DataFrame, expected: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -233,17 +233,23 @@ def test_landing_survives_replay_and_keeps_the_newest(spark, tmp_path):
 
 
 def test_ready_event_is_emitted_once_when_complete(spark, tmp_path):
+    """Replays within a batch, in the next one and a year later (after the old horizon of 30 days)
+    neither count nor announce again."""
     inbox, root, checkpoint = str(tmp_path / "inbox"), shared_folder(spark), shared_folder(spark)
-    expected = spark.createDataFrame([(week(0), 2)], "week_date date, n_expected bigint")
+    expected = spark.createDataFrame([(week(0), 2), (week(52), 3)], "week_date date, n_expected bigint")
+
     def start():
-        stream = spark.readStream.schema("key string, value string").json(inbox).withColumn("at", messages.F.lit("2022-01-06").cast("timestamp"))
-        counts = landing.weekly_completeness(messages.valid(messages.parse(stream, FEATURES, "v1")), "at")
+        stream = spark.readStream.schema("key string, value string").json(inbox)
+        counts = landing.weekly_completeness(messages.valid(messages.parse(stream, FEATURES, "v1")))
         landing.announce_ready(counts, expected, root, checkpoint).awaitTermination()
-    for rows in ([("A", week(0), 1.0, 0.1), ("A", week(0), 1.0, 0.1)], [("B", week(0), 1.0, 0.1)], [("C", week(0), 1.0, 0.1)]):
+
+    a, b = ("A", week(0), 1.0, 0.1), ("B", week(0), 1.0, 0.1)
+    later = [(t, week(52), 1.0, 0.1) for t in "ABC"]
+    for rows in ([a, a], [a], [b], [later[0], later[1], a], [("C", week(0), 1.0, 0.1), b], [later[0], later[1], a], [later[2]]):
         feature_messages(spark, rows).coalesce(1).write.mode("append").json(inbox)
         start()
-    events = spark.read.parquet(root).collect()
-    assert [(r["event"], r["n_received"]) for r in events] == [("weekly-data-ready", 2)]
+    events = sorted((r["week_date"], r["event"], r["n_received"], r["batch"]) for r in spark.read.option("basePath", root).parquet(root).collect())
+    assert events == [(week(0), "weekly-data-ready", 2, 2), (week(52), "weekly-data-ready", 3, 6)]
 
 
 def test_sql_functions(spark):
