@@ -14,6 +14,7 @@ from ..operators import portfolio as pf
 from ..operators import scoring as sc
 from ..operators import search
 from ..operators import windows as win
+from ..sources import sinks
 from ..sources.storage import cut_lineage
 from . import views
 from .backtests import B10_SQL, E8_SUMMARY_SQL, IR, frame, long_short, scored
@@ -351,10 +352,12 @@ def _(spark, sf):
 NET10 = "gross_return - 0.002::double * cost_turnover"
 
 
-@query("w15_candidate_choice", with_blocks("lsweek", f"""select year, case when (case when abs(i1 - i0) > 0.05 then i1 > i0 when abs(c1 - c0) > 0.01 then c1 > c0 else false end) then 'reversal' else 'momentum' end as candidate from (
+W15_SQL = f"""select year, case when (case when abs(i1 - i0) > 0.05 then i1 > i0 when abs(c1 - c0) > 0.01 then c1 > c0 else false end) then 'reversal' else 'momentum' end as candidate from (
     select year, max(ir) filter (model = 'momentum') as i0, max(ir) filter (model = 'reversal') as i1, max(cum) filter (model = 'momentum') as c0, max(cum) filter (model = 'reversal') as c1
-    from (select model, year(week_date)::int as year, {IR.format(x='(' + NET10 + ')')} as ir, product(1 + {NET10}) - 1 as cum from lsweek where gross_return is not null group by 1, 2) group by 1)"""))
-def _(spark, sf):
+    from (select model, year(week_date)::int as year, {IR.format(x='(' + NET10 + ')')} as ir, product(1 + {NET10}) - 1 as cum from lsweek where gross_return is not null group by 1, 2) group by 1)"""
+
+
+def yearly_choice(spark, sf):
     weekly = long_short(spark, sf).filter("gross_return is not null").withColumn("year", F.year("week_date"))
     costs = pf.cost_scenarios(weekly, ["model", "year"], [pf.SELECTION_BPS])
     table = costs.select("year", F.when(F.col("model") == "momentum", 0).otherwise(1).alias("position"), F.col("model").alias("candidate"),
@@ -362,6 +365,17 @@ def _(spark, sf):
     return win.choose_candidate(table, ["year"]).select("year", "candidate")
 
 
+query("w15_candidate_choice", with_blocks("lsweek", W15_SQL))(yearly_choice)
+
+
+# Both candidates of every year, with the chosen one marked, as a search leaves them.
+@query("k06_configuration_counts", with_blocks("lsweek", f"select candidate, count(*) as n_weeks from ({W15_SQL}) group by 1"))
+def _(spark, sf):
+    names = F.explode(F.array(F.lit("momentum"), F.lit("reversal"))).alias("candidate")
+    listed = yearly_choice(spark, sf).withColumnRenamed("candidate", "won").select(F.lit("trees").alias("model"), "year", "won", names)
+    return sinks.configuration_counts(listed.withColumn("selected", F.col("candidate") == F.col("won")), "trees")
+
+
 @query("q06_score_audit", with_blocks("tsign scores", f"""select model, as_of, first as first_training_week, last as last_training_week, n as training_rows, {SIGNATURE} as signature
     from tsign join (select distinct model, week_date as as_of from scores) using (as_of)"""))
 def _(spark, sf):
