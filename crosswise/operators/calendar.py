@@ -78,18 +78,22 @@ def snapshot_calendar(prices: DataFrame, sessions: DataFrame, cutoff=None, check
 def session_grid(prices: DataFrame, sessions: DataFrame) -> DataFrame:
     """Each ticker's own session grid; absent quotes stay missing.
 
-    The grid is generated from the calendar array carried by each ticker row,
-    so no range join is planned; quotes come back by an equi-join. The calendar
-    is one row of dates (bounded by the number of sessions ever held).
+    A quote fills the sessions up to the ticker's next one with missing rows, so the grid
+    costs one exchange by ticker, which the windows on it use again. The calendar is one row
+    of dates (bounded by the number of sessions ever held). A quote between sessions has no
+    row of its own.
     """
-    calendar = sessions.agg(F.sort_array(F.collect_set("price_date")).alias("days"))
-    tickers = prices.groupBy("ticker").agg(F.min("date").alias("first_date"))
-    grid = (
-        tickers.crossJoin(F.broadcast(calendar))
-        .select("ticker", F.explode(F.filter("days", lambda d: d >= F.col("first_date"))).alias("price_date"))
-    )
-    quotes = prices.select("ticker", F.col("date").alias("price_date"), "adj_close")
-    return grid.join(quotes, ["ticker", "price_date"], "left")
+    calendar = sessions.agg(F.sort_array(F.collect_set("price_date")).alias("__days"))
+    numbered = calendar.select(F.posexplode("__days").alias("__i", "date"))
+    known = prices.filter("date is not null").select("ticker", "date", "adj_close").join(F.broadcast(numbered), "date", "left")
+    dated = known.crossJoin(F.broadcast(calendar)).select(
+        "ticker", "date", "adj_close", F.col("__i").isNotNull().alias("__own"),
+        F.coalesce("__i", F.size(F.filter("__days", lambda d: d < F.col("date")))).alias("__i"))
+    ahead = F.lead("__i").over(Window.partitionBy("ticker").orderBy("date"))
+    reach = dated.select("*", ahead.alias("__next")).crossJoin(F.broadcast(calendar)).withColumn(
+        "__rows", F.greatest(F.coalesce("__next", F.size("__days")) - F.col("__i"), F.col("__own").cast("int")))
+    filled = reach.select("ticker", "date", "adj_close", F.explode(F.slice("__days", F.col("__i") + 1, F.col("__rows"))).alias("price_date"))
+    return filled.select("ticker", "price_date", F.when(F.col("price_date") == F.col("date"), F.col("adj_close")).alias("adj_close"))
 
 
 def snapshot_rows(daily: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -97,7 +101,9 @@ def snapshot_rows(daily: DataFrame, calendar: DataFrame) -> DataFrame:
     weeks = calendar.agg(F.collect_list(F.struct(*calendar.columns)).alias("weeks"))
     tickers = daily.select("ticker").distinct()
     grid = tickers.crossJoin(F.broadcast(weeks)).select("ticker", F.inline("weeks"))
-    return grid.join(daily, ["ticker", "price_date"], "left")
+    # Only the sessions of the calendar (one row per week) are exchanged.
+    due = daily.join(F.broadcast(calendar.select("price_date").distinct()), "price_date", "left_semi")
+    return grid.join(due, ["ticker", "price_date"], "left")
 
 
 def weekly_grid(px: DataFrame) -> DataFrame:

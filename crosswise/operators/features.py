@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from ..functions.columns import FEATURE_DIRECTIONS, finite
 from ..functions.layout import Layout, resolve
 from ..functions.ranking import add_ranks
-from ..functions.timeseries import by_ticker, ratio_minus_one, rolling
+from ..functions.timeseries import by_ticker, largest_of, pooled_moments, ratio_minus_one
 from .calendar import session_grid, snapshot_calendar, snapshot_rows
 
 FEATURES = tuple(FEATURE_DIRECTIONS)
 ANNUAL = 252.0 ** 0.5
 
 
+# Rows of the rolling frames.
+SHORT, LONG, STRENGTH, YEAR = 20, 60, 14, 252
+
+
 def daily_features(grid: DataFrame) -> DataFrame:
     """F1-F6 on a gap-preserving session grid (ticker, price_date, adj_close).
 
-    Two window levels over one sort by ticker: changes first, then every
-    rolling frame together.
+    Every frame is put together from adjacent runs of 1, 4, 16 and 64 rows, so a row costs
+    some tens of offsets instead of one update per row of its frames; all of them share one
+    sort by ticker. A missing value anywhere in a frame makes its result missing.
     """
     w = by_ticker("price_date")
     p = F.col("adj_close")
@@ -34,32 +39,66 @@ def daily_features(grid: DataFrame) -> DataFrame:
         F.when(p.isNotNull() & prior.isNotNull(), F.greatest(p - prior, F.lit(0.0))).alias("__gain"),
         F.when(p.isNotNull() & prior.isNotNull(), F.greatest(prior - p, F.lit(0.0))).alias("__loss"),
     )
-    framed = base.select(
-        "*",
-        rolling(F.avg, "adj_close", w, 20).alias("__mean20"),
-        rolling(F.stddev_samp, "adj_close", w, 20).alias("__std20"),
-        rolling(F.avg, "adj_close", w, 60).alias("__mean60"),
-        rolling(F.max, "adj_close", w, 252).alias("__high252"),
-        rolling(F.stddev_samp, "daily_return", w, 20).alias("__rstd20"),
-        rolling(F.stddev_samp, "daily_return", w, 60).alias("__rstd60"),
-        rolling(F.avg, "__gain", w, 14).alias("__g14"),
-        rolling(F.avg, "__loss", w, 14).alias("__l14"),
-    )
-    moved = F.col("__g14") + F.col("__l14")
+    kept = base.columns
+    plain = {"p": "adj_close", "r": "daily_return"}
+
+    # Offsets are named before use: one that occurs in several expressions is read once.
+    def laid_back(df, wanted):
+        return df.select("*", *[F.lag(c, k).over(w).alias(f"{c}@{k}") for c, k in dict.fromkeys(wanted) if k])
+
+    def at(column, k):
+        return F.col(f"{column}@{k}") if k else F.col(column)
+
+    def mean_name(c, n):
+        return f"__{c}m{n}" if n > 1 else plain[c]
+
+    def needs(frame):
+        """Offsets that the moments of a frame read; a frame is a list of (rows of a run, rows it lies back)."""
+        return [pair for c in plain for n, k in frame for pair in ([(mean_name(c, n), k)] + ([(f"__{c}s{n}", k)] if n > 1 else []))]
+
+    def moments(frame):
+        n = sum(rows for rows, _ in frame)
+        for c in plain:
+            mean, squares = pooled_moments([(rows, at(mean_name(c, rows), k), at(f"__{c}s{rows}", k) if rows > 1 else F.lit(0.0)) for rows, k in frame])
+            yield mean.alias(f"__{c}m{n}")
+            yield squares.alias(f"__{c}s{n}")
+
+    def total(parts):
+        return sum((at(*pair) for pair in parts[1:]), at(*parts[0]))
+
+    ones, fours, sixteens = ([(n, n * i) for i in range(4)] for n in (1, 4, 16))
+    moves = ("__gain", "__loss")
+    df = laid_back(base, needs(ones) + [(c, k) for c in moves for _, k in ones])
+    df = df.select(*kept, *moments(ones), largest_of([at("adj_close", k) for _, k in ones]).alias("__h4"),
+                   *[total([(c, k) for _, k in ones]).alias(f"{c}4") for c in moves])
+    strength = {c: [(f"{c}4", 0), (f"{c}4", 4), (f"{c}4", 8), (c, 12), (c, 13)] for c in moves}
+    df = laid_back(df, needs(fours) + [("__h4", k) for _, k in fours] + strength["__gain"] + strength["__loss"])
+    df = df.select(*kept, *[f"__{c}{kind}4" for c in plain for kind in "ms"], *moments(fours), largest_of([at("__h4", k) for _, k in fours]).alias("__h16"),
+                   *[total(strength[c]).alias(f"{c}{STRENGTH}") for c in moves])
+    short, long = [(16, 0), (4, 16)], [(16, 0), (16, 16), (16, 32), (4, 48), (4, 52), (4, 56)]
+    df = laid_back(df, needs(short) + needs(long) + [("__h16", k) for _, k in sixteens])
+    df = df.select(*kept, *[f"{c}{STRENGTH}" for c in moves], *moments(short), *moments(long), largest_of([at("__h16", k) for _, k in sixteens]).alias("__h64"))
+    # The runs of 64 rows overlap, which a maximum permits.
+    year = [("__h64", k) for k in (0, 63, 126, YEAR - 64)]
+    framed = laid_back(df, year).withColumn(f"__h{YEAR}", largest_of([at(*pair) for pair in year]))
+
+    def deviation(column, n):
+        return F.sqrt(F.col(f"__{column}s{n}") / (n - 1))
+
+    gains, moved = F.col(f"__gain{STRENGTH}"), F.col(f"__gain{STRENGTH}") + F.col(f"__loss{STRENGTH}")
+    std = deviation("p", SHORT)
     return framed.select(
         "ticker",
         "price_date",
         "adj_close",
         "daily_return",
-        (F.col("__rstd20") * ANNUAL).alias("volatility_20d"),
-        (F.col("__rstd60") * ANNUAL).alias("volatility_60d"),
-        ratio_minus_one(p, F.col("__mean20")).alias("price_to_sma20"),
-        ratio_minus_one(p, F.col("__mean60")).alias("price_to_sma60"),
-        F.when(F.col("__std20") == 0, 0.0)
-        .otherwise(F.try_divide(p - F.col("__mean20"), F.col("__std20")))
-        .alias("bollinger_z20"),
-        F.when(moved == 0, 50.0).otherwise(F.try_divide(100.0 * F.col("__g14"), moved)).alias("rsi14_simple"),
-        ratio_minus_one(p, F.col("__high252")).alias("close_to_high252"),
+        (deviation("r", SHORT) * ANNUAL).alias("volatility_20d"),
+        (deviation("r", LONG) * ANNUAL).alias("volatility_60d"),
+        ratio_minus_one(p, F.col(f"__pm{SHORT}")).alias("price_to_sma20"),
+        ratio_minus_one(p, F.col(f"__pm{LONG}")).alias("price_to_sma60"),
+        F.when(std == 0, 0.0).otherwise(F.try_divide(p - F.col(f"__pm{SHORT}"), std)).alias("bollinger_z20"),
+        F.when(moved == 0, 50.0).otherwise(F.try_divide(100.0 * gains, moved)).alias("rsi14_simple"),
+        ratio_minus_one(p, F.col(f"__h{YEAR}")).alias("close_to_high252"),
     )
 
 

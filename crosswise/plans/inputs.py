@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_or_date, ticker_key
+from ..functions.layout import resolve
 from ..functions.timeseries import by_ticker, ratio_minus_one
 from ..operators import calendar as cal
 from ..operators import features as feat
@@ -13,7 +14,7 @@ from ..sources import prices as src
 from ..sources import sectors as sec
 from ..sources import sinks
 from ..sources import snapshots as snap
-from ..sources.storage import shared_folder, week_files
+from ..sources.storage import cut_lineage, shared_folder, week_files
 from . import views
 from .registry import BLOCKS, query, r, rounded, with_blocks
 
@@ -63,12 +64,16 @@ BLOCKS.update(
               left join px d on d.ticker = p.ticker and d.week_date = p.week_date - 182 left join px e on e.ticker = p.ticker and e.week_date = p.week_date - 364"""),
     }
 )
-WEEKLY = {"return_1w": 1, "return_4w": 1, "return_13w": -1, "return_26w": 1, "momentum_12_1": 1}
+# What the panel reads: all features of the weeks with a price, at nine decimals, so that equal inputs tie alike
+# however their frames were summed. Suppliers have a sector; the other series share one of their own.
+PANEL = feat.FEATURE_DIRECTIONS
 BLOCKS.update(
     {
-        "cells": ("wfeat", " union all ".join(
-            [f"select ticker, sector, week_date, '{f}' as feature, {s} * {f} as x from wfeat" for f, s in WEEKLY.items()]
-            + ["select ticker, sector, week_date, 'active_return_train', return_1w - avg(return_1w) over (partition by week_date, sector) from wfeat"])),
+        "wpan": ("elig smap", "select e.ticker, coalesce(sector, -1) as sector, week_date, " + ", ".join(f"round_even({f} * 1e9::double, 0) / 1e9::double as {f}" for f in PANEL)
+                 + " from elig e left join (select ticker::varchar as ticker, sector from smap) using (ticker) where adj_close is not null"),
+        "cells": ("wpan", " union all ".join(
+            [f"select ticker, sector, week_date, '{f}' as feature, {s} * {f} as x from wpan" for f, s in PANEL.items()]
+            + ["select ticker, sector, week_date, 'active_return_train', return_1w - avg(return_1w) over (partition by week_date, sector) from wpan"])),
         "cellq": ("cells", "select week_date, sector, feature, quantile_cont(x, 0.01) as lo, quantile_cont(x, 0.99) as hi, count(x) as n from cells group by all"),
         "cellw": ("cells cellq", "select c.*, n, case when x is not null then greatest(least(x, hi), lo) end as w from cells c join cellq using (week_date, sector, feature)"),
         "cellp": ("cellw", """select *, case when w is not null then (rank() over (partition by week_date, sector, feature order by w nulls last)
@@ -76,12 +81,14 @@ BLOCKS.update(
         "cellz": ("cellp", """select *, case when stddev_pop(p) over g > 1e-12 then (p - avg(p) over g) / stddev_pop(p) over g when p is not null then 0 end as z
                              from cellp window g as (partition by week_date, feature)"""),
         "zwide": ("cellz", "select ticker, sector, week_date, " + ", ".join(
-            f"max(z) filter (feature = '{f}') as {f}" for f in (*WEEKLY, "active_return_train")) + " from cellz group by all"),
+            f"max(z) filter (feature = '{f}') as {f}" for f in (*PANEL, "active_return_train")) + " from cellz group by all"),
         "pweeks": ("px", """select week_date, lag(week_date) over (order by week_date) as prev_week_date, lead(week_date) over (order by week_date) as next_week_date
                            from (select distinct week_date from px)"""),
-        "panel": ("zwide pweeks", "select z.ticker, z.sector, z.week_date, k.prev_week_date, " + ", ".join(f"z.{f}" for f in WEEKLY) + ", "
-                  + ", ".join(f"l.{f} as {f}_train" for f in WEEKLY) + """, z.active_return_train, f.active_return_train as active_return_fwd
-                   from zwide z join pweeks k using (week_date) left join zwide l on l.ticker = z.ticker and l.week_date = k.prev_week_date
+        "kweeks": ("wpan", """select week_date, lag(week_date) over (order by week_date) as prev_week_date, lead(week_date) over (order by week_date) as next_week_date
+                           from (select distinct week_date from wpan)"""),
+        "panel": ("zwide kweeks", "select z.ticker, z.sector, z.week_date, k.prev_week_date, " + ", ".join(f"z.{f}" for f in PANEL) + ", "
+                  + ", ".join(f"l.{f} as {f}_train" for f in PANEL) + """, z.active_return_train, f.active_return_train as active_return_fwd
+                   from zwide z join kweeks k using (week_date) left join zwide l on l.ticker = z.ticker and l.week_date = k.prev_week_date
                    left join zwide f on f.ticker = z.ticker and f.week_date = k.next_week_date"""),
     }
 )
@@ -93,13 +100,22 @@ def weekly_features(spark, sf):
     return grid.filter("adj_close is not null").drop("target_return_1w")
 
 
+def panel_input(spark, sf):
+    """Weekly rows of the panel, stored: the calendar, the bound of a cross-section and the scores read them."""
+    sectors = views.sector_map(spark, sf).select(F.col("ticker").cast("string").alias("ticker"), "sector")
+    rows = feature_panel(spark, sf).filter("adj_close is not null").join(sectors, "ticker", "left")
+    return cut_lineage(rows.select("ticker", F.coalesce("sector", F.lit(-1)).alias("sector"), "week_date", *[(F.rint(F.col(f) * 1e9) / 1e9).alias(f) for f in PANEL]))
+
+
 def panel(spark, sf):
-    return pan.build_panel(weekly_features(spark, sf), directions=WEEKLY, layout=views.universe(spark, sf),
-                           weeks=views.shipment_weeks(spark, sf), check=False)
+    rows = panel_input(spark, sf)
+    return pan.build_panel(rows, directions=PANEL, weeks=pan.observed_weeks(rows), check=False)
 
 
 def feature_panel(spark, sf):
-    return feat.build_feature_panel(views.px_daily(spark, sf), views.sessions(spark, sf), check=False)
+    """The daily view is stored once: anchors, first dates, sessions and quotes read it."""
+    prices = cut_lineage(views.px_daily(spark, sf))
+    return feat.build_feature_panel(prices, prices.select(F.col("date").alias("price_date")).distinct(), check=False)
 
 
 def cols(names, alias=""):
@@ -206,12 +222,12 @@ def _(spark, sf):
     return sec.constituents(raw, "2026-02-18")
 
 
-@query("s11_panel_scan", with_blocks("panel", f"""select ticker, sector, week_date, prev_week_date, {cols(WEEKLY)}, {cols([f + '_train' for f in WEEKLY])},
+@query("s11_panel_scan", with_blocks("panel", f"""select ticker, sector, week_date, prev_week_date, {cols(PANEL)}, {cols([f + '_train' for f in PANEL])},
     {cols(['active_return_train', 'active_return_fwd'])} from panel where week_date between date '1998-01-01' and date '1998-06-30'"""))
 def _(spark, sf):
     # Two weeks of margin around the range give its edges their neighbours.
     panel(spark, sf).createOrReplaceTempView("crosswise_panel")
-    return rounded(snap.panel_scan(spark, "crosswise_panel", "1998-01-01", "1998-06-30", list(WEEKLY), ordered=False))
+    return rounded(snap.panel_scan(spark, "crosswise_panel", "1998-01-01", "1998-06-30", list(PANEL), ordered=False))
 
 
 @query("s12_event_scan", with_blocks("dense", f"""select ticker, max(week_date) as week_date, max(week_date) + 7 as next_week_date, 'cash_acquisition' as event_type,
@@ -420,18 +436,18 @@ def _(spark, sf):
 
 def cells(spark, sf):
     """Oriented panel cells in long form, with the active return."""
-    weekly = weekly_features(spark, sf).repartition("week_date")
-    layout = views.universe(spark, sf)
-    based = pan.add_group_stats(weekly, ["week_date", "sector"], {"__bench": "avg(return_1w) @"}, layout)
-    columns = {f: f"{s} * {f}" for f, s in WEEKLY.items()}
+    weekly = panel_input(spark, sf)
+    layout = resolve(None, weekly, ["week_date"])
+    based = pan.add_group_stats(weekly.repartition("week_date"), ["week_date", "sector"], {"__bench": "avg(return_1w) @"}, layout)
+    columns = {f: f"{s} * {f}" for f, s in PANEL.items()}
     columns["active_return_train"] = "return_1w - __bench"
     return pan.to_long(based, ["ticker", "sector", "week_date"], columns), layout
 
 
-@query("p04_orientation", with_blocks("wfeat", "select ticker, week_date, " + ", ".join(f"{r(f'{s} * {f}')} as {f}" for f, s in WEEKLY.items()) + " from wfeat"))
+@query("p04_orientation", with_blocks("wpan", "select ticker, week_date, " + ", ".join(f"{r(f'{s} * {f}')} as {f}" for f, s in PANEL.items()) + " from wpan"))
 def _(spark, sf):
-    df = weekly_features(spark, sf)
-    return rounded(df.select("ticker", "week_date", *[(F.col(f) * float(s)).alias(f) for f, s in WEEKLY.items()]))
+    df = panel_input(spark, sf)
+    return rounded(df.select("ticker", "week_date", *[(F.col(f) * float(s)).alias(f) for f, s in PANEL.items()]))
 
 
 @query("p05_grouped_winsorize", with_blocks("cellw", f"select ticker, week_date, feature, {r('w')} as winsorized from cellw where w is not null"))
@@ -463,9 +479,9 @@ def _(spark, sf):
     return rounded(out.select("ticker", "week_date", "raw_active_return", "active_return_train"))
 
 
-@query("p09_exact_lag", with_blocks("panel", f"select ticker, week_date, prev_week_date, {cols([f + '_train' for f in WEEKLY])} from panel"))
+@query("p09_exact_lag", with_blocks("panel", f"select ticker, week_date, prev_week_date, {cols([f + '_train' for f in PANEL])} from panel"))
 def _(spark, sf):
-    return rounded(panel(spark, sf).select("ticker", "week_date", "prev_week_date", *[f"{f}_train" for f in WEEKLY]))
+    return rounded(panel(spark, sf).select("ticker", "week_date", "prev_week_date", *[f"{f}_train" for f in PANEL]))
 
 
 @query("p10_exact_forward", with_blocks("panel", f"select ticker, week_date, {cols(['active_return_train', 'active_return_fwd'])} from panel"))
@@ -473,13 +489,16 @@ def _(spark, sf):
     return rounded(panel(spark, sf).select("ticker", "week_date", "active_return_train", "active_return_fwd"))
 
 
-@query("p11_panel_statistics", with_blocks("panel", """select count(*) as rows, count(distinct week_date) as weeks, min(week_date) as first_week, max(week_date) as last_week,
-    count(*) filter (""" + " or ".join(f"{f}_train is null" for f in WEEKLY) + """) as rows_with_any_missing_train_feature,
-    count(*) filter (active_return_fwd is null) as rows_with_missing_active_return_fwd, true as neutral from panel"""))
+@query("p11_panel_statistics", with_blocks("panel cellz", f"""select p.*, f.* exclude (side), t.* exclude (side) from (select count(*) as rows, count(distinct week_date) as weeks, min(week_date) as first_week, max(week_date) as last_week,
+    count(*) filter (""" + " or ".join(f"{f}_train is null" for f in PANEL) + f""") as rows_with_any_missing_train_feature,
+    count(*) filter (active_return_fwd is null) as rows_with_missing_active_return_fwd from panel) p
+    cross join (select {r('mean')} as max_abs_weekly_feature_mean, {r('sector_mean')} as max_abs_week_sector_feature_mean, {r('spread')} as max_abs_population_std_minus_one, side from worst where side) f
+    cross join (select {r('mean')} as max_abs_weekly_active_return_mean, {r('sector_mean')} as max_abs_week_sector_active_return_mean, {r('spread')} as max_abs_active_return_population_std_minus_one, side from worst where not side) t""",
+    {"worst": """select feature <> 'active_return_train' as side, max(abs(m)) as mean, max(sm) as sector_mean, max(case when sd > 1e-12 then abs(sd - 1) else 0 end) as spread
+        from (select feature, week_date, avg(z) as m, stddev_pop(z) as sd from cellz group by 1, 2)
+        join (select feature, week_date, max(abs(sm)) as sm from (select feature, week_date, sector, avg(z) as sm from cellz group by 1, 2, 3) group by 1, 2) using (feature, week_date) group by 1"""}))
 def _(spark, sf):
-    s = pan.panel_statistics(panel(spark, sf), list(WEEKLY))
-    worst = F.greatest(*[F.col(c) for c in s.columns if c.startswith("max_abs")])
-    return s.select("rows", "weeks", "first_week", "last_week", "rows_with_any_missing_train_feature", "rows_with_missing_active_return_fwd", (worst < 1e-10).alias("neutral"))
+    return rounded(pan.panel_statistics(panel(spark, sf), list(PANEL)))
 
 
 @query("p12_lookback_trim", with_blocks("panel", f"select ticker, week_date, prev_week_date, {cols(['return_1w_train', 'active_return_fwd'])} from panel where week_date between date '1999-01-06' and date '1999-06-30'"))
@@ -487,20 +506,20 @@ def _(spark, sf):
     return rounded(pan.trim_lookback(panel(spark, sf), "1999-01-06", "1999-06-30").select("ticker", "week_date", "prev_week_date", "return_1w_train", "active_return_fwd"))
 
 
-@query("p13_model_input", with_blocks("panel", f"""select upper(ticker::varchar) as ticker, sector::varchar as sector, week_date, prev_week_date, {cols(WEEKLY)},
-    {cols([f + '_train' for f in WEEKLY])}, {cols(['active_return_train', 'active_return_fwd'])} from panel where week_date >= date '1996-01-01'"""))
+@query("p13_model_input", with_blocks("panel", f"""select upper(ticker::varchar) as ticker, sector::varchar as sector, week_date, prev_week_date, {cols(PANEL)},
+    {cols([f + '_train' for f in PANEL])}, {cols(['active_return_train', 'active_return_fwd'])} from panel where week_date >= date '1996-01-01'"""))
 def _(spark, sf):
-    raw = panel(spark, sf).withColumn("Ticker", F.col("ticker").cast("string"))
+    raw = cut_lineage(panel(spark, sf)).withColumn("Ticker", F.col("ticker"))
     nanos = (F.unix_date("prev_week_date").cast("decimal(20,0)") * 86400 * 1000000000).cast("string")
-    return rounded(pan.prepare_model_input(raw.withColumn("prev_week_date", nanos), list(WEEKLY), "1996-01-01", check=False))
+    return rounded(pan.prepare_model_input(raw.withColumn("prev_week_date", nanos), list(PANEL), "1996-01-01"))
 
 
-@query("p14_panel_summary", with_blocks("panel", "select count(*) as rows, count(distinct ticker) as tickers, count(distinct week_date) as weeks, 'return_13w' as lower_is_better from panel"))
+@query("p14_panel_summary", with_blocks("panel", "select count(*) as rows, count(distinct ticker) as tickers, count(distinct week_date) as weeks, 'rsi14_simple,volatility_20d,volatility_60d' as lower_is_better from panel"))
 def _(spark, sf):
-    return pan.panel_summary(panel(spark, sf), WEEKLY)
+    return pan.panel_summary(panel(spark, sf), PANEL)
 
 
-@query("flagship_panel", with_blocks("panel", f"""select ticker, sector, week_date, prev_week_date, {cols(WEEKLY)}, {cols([f + '_train' for f in WEEKLY])},
+@query("flagship_panel", with_blocks("panel", f"""select ticker, sector, week_date, prev_week_date, {cols(PANEL)}, {cols([f + '_train' for f in PANEL])},
     {cols(['active_return_train', 'active_return_fwd'])} from panel"""))
 def flagship(spark, sf):
     """Weekly features -> neutral scores -> exact lags and forward targets."""

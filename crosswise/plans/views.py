@@ -115,12 +115,11 @@ def px_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array("l_returnflag", F.concat(F.lit("L"), F.col("l_linenumber").cast("string")))
     groups = lines.select(F.explode(names).alias("ticker"), "date", "price").groupBy("ticker", "date").agg(F.avg("price").alias("adj_close"))
     quotes = lines.groupBy("l_suppkey", "date").agg(F.avg("price").alias("price"))
-    # Only one row per supplier is exploded to days; the join keeps the sessions.
-    span = quotes.groupBy("l_suppkey").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    days = span.select("l_suppkey", F.explode(F.sequence("lo", "hi")).alias("date"))
-    days = days.join(sessions(spark, sf_dir).select(F.col("price_date").alias("date")), "date")
-    held = F.last("price", ignorenulls=True).over(Window.partitionBy("l_suppkey").orderBy("date"))
-    carried = days.join(quotes, ["l_suppkey", "date"], "left").select("l_suppkey", "date", held.alias("price"))
+    # A quote holds until the day before the supplier's next one; the join keeps the sessions.
+    upcoming = F.lead("date").over(Window.partitionBy("l_suppkey").orderBy("date"))
+    held = quotes.withColumn("__last", F.coalesce(F.date_sub(upcoming, 1), F.col("date")))
+    days = held.select("l_suppkey", "price", F.explode(F.sequence("date", "__last")).alias("date"))
+    carried = days.join(sessions(spark, sf_dir).select(F.col("price_date").alias("date")), "date")
     wiggle = 1 + ((F.unix_date("date") * 13 + F.col("l_suppkey") * 7) % 11) * 0.001
     own = carried.select(F.col("l_suppkey").cast("string").alias("ticker"), "date", (F.col("price") * wiggle).alias("adj_close"))
     return groups.unionByName(own)
