@@ -84,11 +84,15 @@ def session_grid(prices: DataFrame, sessions: DataFrame) -> DataFrame:
     row of its own.
     """
     calendar = sessions.agg(F.sort_array(F.collect_set("price_date")).alias("__days"))
-    numbered = calendar.select(F.posexplode("__days").alias("__i", "date"))
+    following = F.coalesce(F.date_sub(F.lead("__day").over(Window.orderBy("__day")), 1), F.col("__day"))
+    spans = calendar.select(F.posexplode("__days").alias("__i", "__day")).withColumn("__until", following)
+    # Every day of the calendar with the place of the first session from then on.
+    numbered = spans.select("__i", "__day", F.explode(F.sequence("__day", "__until")).alias("date")).select(
+        "date", (F.col("date") == F.col("__day")).alias("__own"), F.when(F.col("date") == F.col("__day"), F.col("__i")).otherwise(F.col("__i") + 1).alias("__i"))
+    outside = F.when(F.col("date") < F.try_element_at("__days", F.lit(1)), 0).otherwise(F.size("__days"))
     known = prices.filter("date is not null").select("ticker", "date", "adj_close").join(F.broadcast(numbered), "date", "left")
     dated = known.crossJoin(F.broadcast(calendar)).select(
-        "ticker", "date", "adj_close", F.col("__i").isNotNull().alias("__own"),
-        F.coalesce("__i", F.size(F.filter("__days", lambda d: d < F.col("date")))).alias("__i"))
+        "ticker", "date", "adj_close", F.coalesce("__own", F.lit(False)).alias("__own"), F.coalesce("__i", outside).alias("__i"))
     ahead = F.lead("__i").over(Window.partitionBy("ticker").orderBy("date"))
     reach = dated.select("*", ahead.alias("__next")).crossJoin(F.broadcast(calendar)).withColumn(
         "__rows", F.greatest(F.coalesce("__next", F.size("__days")) - F.col("__i"), F.col("__own").cast("int")))
@@ -96,10 +100,11 @@ def session_grid(prices: DataFrame, sessions: DataFrame) -> DataFrame:
     return filled.select("ticker", "price_date", F.when(F.col("price_date") == F.col("date"), F.col("adj_close")).alias("adj_close"))
 
 
-def snapshot_rows(daily: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Every calendar week for every ticker, left-joined to its daily row."""
+def snapshot_rows(daily: DataFrame, calendar: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+    """Every calendar week for every ticker, left-joined to its daily row. `tickers` (one
+    row each) saves building the daily rows a second time for their names."""
     weeks = calendar.agg(F.collect_list(F.struct(*calendar.columns)).alias("weeks"))
-    tickers = daily.select("ticker").distinct()
+    tickers = daily.select("ticker").distinct() if tickers is None else tickers
     grid = tickers.crossJoin(F.broadcast(weeks)).select("ticker", F.inline("weeks"))
     # Only the sessions of the calendar (one row per week) are exchanged.
     due = daily.join(F.broadcast(calendar.select("price_date").distinct()), "price_date", "left_semi")

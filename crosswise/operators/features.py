@@ -186,4 +186,5 @@ def build_feature_panel(prices: DataFrame, sessions: DataFrame, cutoff=None, che
         sessions = sessions.filter(F.col("price_date") <= F.lit(cutoff).cast("date"))
     calendar = snapshot_calendar(prices, sessions, cutoff, check)
     daily = daily_features(session_grid(prices, sessions))
-    return with_eligibility(weekly_returns(snapshot_rows(daily, calendar)))
+    tickers = prices.filter("date is not null").select("ticker").distinct()
+    return with_eligibility(weekly_returns(snapshot_rows(daily, calendar, tickers)))

@@ -257,3 +257,13 @@ def test_sql_functions(spark):
     row = spark.sql("select ticker_key(' brk.b ') k, quintile_of(12, 12) q, relevance_of(1D, 10) r, centered_percentile(1.5D, 2) p").first()
     assert (row["k"], row["q"], row["r"], row["p"]) == ("BRK-B", 5, 0, 0.5)
     assert spark.range(1).select(ticker_key(messages.F.lit("a.b"))).first()[0] == "A-B"
+
+
+def test_session_grid_fills_gaps_and_quotes_outside_the_calendar_have_no_row(spark):
+    sessions = spark.createDataFrame([(f"2024-01-{d:02d}",) for d in (2, 3, 5, 8)], "d string").selectExpr("cast(d as date) price_date")
+    quotes = [("A", "2024-01-03", 1.0), ("A", "2024-01-04", 2.0), ("A", "2024-01-08", 3.0), ("B", "2024-01-01", 4.0), ("B", "2024-01-05", None), ("C", "2024-01-09", 5.0), ("C", None, 6.0)]
+    prices = spark.createDataFrame(quotes, "ticker string, date string, adj_close double").withColumn("date", cal.F.col("date").cast("date"))
+    rows = sorted((r["ticker"], r["price_date"].day, r["adj_close"]) for r in cal.session_grid(prices, sessions).collect())
+    assert [r[:2] for r in rows] == [("A", 3), ("A", 5), ("A", 8), ("B", 2), ("B", 3), ("B", 5), ("B", 8)]
+    assert [r[2] for r in rows] == [1.0, None, 3.0, None, None, None, None]
+    assert cal.session_grid(prices.limit(0), sessions).count() == 0 and cal.session_grid(prices, sessions.limit(0)).count() == 0
