@@ -8,13 +8,14 @@ takes part; `blend_path_results` is one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import Layout
-from ..functions.ranking import add_ranks
 from ..sources.storage import cut_lineage
 from .portfolio import MIN_UNIVERSE, SELECTION_BPS, cost_scenarios, long_short_weekly
 from .windows import choose_candidate
@@ -77,6 +78,57 @@ def staged_search(
     return out.withColumns({"refined": F.coalesce("refined", F.lit(False)), "selected": F.coalesce("selected", F.lit(False))})
 
 
+def path_edges(rows: DataFrame, points: Sequence[tuple], active: str) -> DataFrame:
+    """The `truncation` best and worst names of every candidate and iteration, per batch of rows.
+
+    rows: (cell..., ticker, base, added, `active`), a cell's rows together and by ticker; points:
+    (keys..., candidate, learning_rate, truncation, n_estimators). Returns (cell..., candidate, t,
+    truncation, ticker, score, `active`, n): n is the batch's scored names of the cell, on one of its
+    rows. Names that are an edge of a cell are edges of their batch, and a batch gives
+    at most 2 * truncation rows a cell, candidate and iteration, so no path is ever written out."""
+    cell = [c for c in rows.columns if c not in ("ticker", "base", "added", active)]
+    keys = [c for c in cell if c not in ("fold", "week_date")]
+    of_key: dict[tuple, list] = {}
+    for *key, candidate, rate, truncation, ceiling in points:
+        of_key.setdefault(tuple(key), []).append((candidate, rate, truncation, ceiling))
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = [batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in cell]
+            changed = np.any([np.diff(p) != 0 for p in places], axis=0)
+            bounds = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+            base, added = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("base", "added"))
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                took, candidates, iterations, truncations, scores, counts = [], [], [], [], [], []
+                for candidate, rate, truncation, ceiling in of_key.get(tuple(batch.column(c)[lo].as_py() for c in keys), []):
+                    for t in range(1, ceiling + 1):
+                        share = t * rate
+                        with np.errstate(invalid="ignore"):
+                            score = base[lo:hi] * (1 - share) + added[lo:hi] * share
+                        known = np.flatnonzero(np.isfinite(score))
+                        order = known[np.argsort(-score[known], kind="stable")]
+                        edge = order if len(order) <= 2 * truncation else np.concatenate([order[:truncation], order[-truncation:]])
+                        took.append(edge + lo)
+                        scores.append(score[edge])
+                        candidates += [candidate] * len(edge)
+                        iterations += [t] * len(edge)
+                        truncations += [truncation] * len(edge)
+                        counts += [len(order), *[0] * (len(edge) - 1)][: len(edge)]
+                if not candidates:
+                    continue
+                picked = batch.take(pa.array(np.concatenate(took)))
+                own = [pa.array(candidates, pa.string()), pa.array(iterations, pa.int32()), pa.array(truncations, pa.int32())]
+                columns = [*[picked.column(c) for c in cell], *own, picked.column("ticker"), pa.array(np.concatenate(scores)), picked.column(active), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*cell, "candidate", "t", "truncation", "ticker", "score", active, "n"])
+
+    kinds = dict(rows.dtypes)
+    schema = [*[(c, kinds[c]) for c in cell], ("candidate", "string"), ("t", "int"), ("truncation", "int"), ("ticker", kinds["ticker"]),
+              ("score", "double"), (active, kinds[active]), ("n", "bigint")]
+    return rows.mapInArrow(edges, ", ".join(f"`{c}` {kind}" for c, kind in schema))
+
+
 def blend_path_results(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], layout: Layout, active: str = "raw_active_return") -> DataFrame:
     """Results of an additive path from one signal to another.
 
@@ -87,19 +139,25 @@ def blend_path_results(rows: DataFrame, candidates: DataFrame, keys: Sequence[st
     ones); the folds, each at its own number of iterations, are stitched and judged as a
     long/short book net of costs. Simpler: smaller truncation, then fewer iterations.
 
-    Rows are multiplied by candidates and iterations, both bounded by the parameter table."""
+    Rows meet by week in one exchange and are multiplied only inside its tasks: for the paths as
+    edges (`path_edges`), for the chosen iteration by the candidates of the parameter table."""
     keys = list(keys)
     same = [*keys, "candidate"]
     point = candidates.select(*same, *[F.col("params")[n].cast(t).alias(n) for n, t in
                                        (("learning_rate", "double"), ("truncation", "int"), ("n_estimators", "int"))])
     share = F.col("t") * F.col("learning_rate")
     score = F.col("base") * (1 - share) + F.col("added") * share
-    path = rows.join(F.broadcast(point), keys).withColumn("t", F.explode(F.sequence(F.lit(1), F.col("n_estimators")))).withColumn("score", score)
     week = [*same, "t", "fold", "truncation", "week_date"]
-    ranked = add_ranks(path.select(*week, "ticker", "score", active), week, "score", tie=["ticker"], descending=True, position="place", count="n", layout=layout)
-    top = F.avg(F.when(F.col("place") <= F.col("truncation"), F.col(active)))
-    bottom = F.avg(F.when(F.col("place") > F.col("n") - F.col("truncation"), F.col(active)))
-    spreads = ranked.filter(F.col("n") >= MIN_UNIVERSE).groupBy(*week).agg((top - bottom).alias("spread"))
+    rows = rows.select(*keys, "fold", "week_date", "ticker", "base", "added", active).repartition(*keys, "week_date")
+    points = [tuple(p) for p in point.select(*same, "learning_rate", "truncation", "n_estimators").collect()]
+    edges = path_edges(rows.sortWithinPartitions(*keys, "week_date", "fold", "ticker"), points, active)
+    cell = Window.partitionBy(*week)
+    placed = edges.select(
+        "*", F.sum("n").over(cell).alias("names"), F.row_number().over(cell.orderBy(F.col("score").desc(), "ticker")).alias("best"),
+        F.row_number().over(cell.orderBy("score", F.col("ticker").desc())).alias("worst"))
+    top = F.avg(F.when(F.col("best") <= F.col("truncation"), F.col(active)))
+    bottom = F.avg(F.when(F.col("worst") <= F.col("truncation"), F.col(active)))
+    spreads = placed.filter(F.col("names") >= MIN_UNIVERSE).groupBy(*week).agg((top - bottom).alias("spread"))
     # Rounded, so that equal spreads are equal whatever the order of addition.
     losses = spreads.groupBy(*same, "fold", "t").agg(F.round(F.avg("spread"), 9).alias("spread"))
     stopped = cut_lineage(losses.groupBy(*same, "fold").agg(F.max_by(F.col("t"), F.struct("spread", -F.col("t"))).alias("t")))

@@ -16,10 +16,15 @@ from .registry import BLOCKS, query, r, rounded, trades_sql, with_blocks
 MW = ["model", "week_date"]
 
 
+def outcomes(spark, sf):
+    """Returns of every ticker and week with what followed."""
+    return out.realized_outcomes(views.dense_returns(spark, sf), views.universe(spark, sf), weeks=views.dense_weeks(spark, sf))
+
+
 def frame(spark, sf):
     """Scored rows with outcomes; scores ride along with the returns, so the
     outcome side is never joined back to them."""
-    rows = out.realized_outcomes(views.dense_returns(spark, sf), views.universe(spark, sf), weeks=views.dense_weeks(spark, sf))
+    rows = outcomes(spark, sf)
     columns = ["model", "ticker", "sector", "week_date", "prediction", "next_week_date", "stock_return_fwd",
                "sector_return_fwd", "raw_active_return_fwd", "active_return_fwd"]
     return views.as_models(rows, views.MODELS).select(*columns).filter("prediction is not null")

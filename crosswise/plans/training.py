@@ -17,7 +17,7 @@ from ..operators import windows as win
 from ..sources import sinks
 from ..sources.storage import cut_lineage
 from . import views
-from .backtests import B10_SQL, E8_SUMMARY_SQL, IR, frame, long_short, scored
+from .backtests import B10_SQL, E8_SUMMARY_SQL, IR, long_short, outcomes, scored
 from .registry import BLOCKS, query, r, rounded, trades_sql, with_blocks
 
 START = "1995-01-01"
@@ -298,10 +298,9 @@ W10 = {
 def _(spark, sf):
     """The search of every year at once, on a path from momentum to reversal with the quarters as folds."""
     active = "raw_active_return_fwd"
-    rows = frame(spark, sf).groupBy("ticker", "week_date", active).pivot("model", ["momentum", "reversal"]).agg(F.max("prediction"))
-    rows = rows.filter(f"momentum is not null and reversal is not null and {active} is not null")
-    rows = cut_lineage(rows.select(F.year("week_date").alias("year"), F.quarter("week_date").alias("fold"), "ticker", "week_date",
-                                   F.col("momentum").alias("base"), F.col("reversal").alias("added"), active))
+    rows = outcomes(spark, sf).select(F.year("week_date").alias("year"), F.quarter("week_date").alias("fold"), "ticker", "week_date",
+                                      F.expr(views.MODELS["momentum"]).alias("base"), F.expr(views.MODELS["reversal"]).alias("added"), active)
+    rows = cut_lineage(rows.filter(f"base is not null and added is not null and {active} is not null"))
     layout = views.universe(spark, sf)
     points = [(i, f"rate {s}", {"learning_rate": s, "truncation": FIRST_TRUNCATION, "n_estimators": n}) for i, (s, n) in enumerate(zip(RATES, CEILINGS), 1)]
     table = spark.createDataFrame(points, "position int, candidate string, params map<string,string>")

@@ -101,3 +101,29 @@ def test_path_stops_where_the_truncated_spread_is_largest(spark):
         net.append(longs.raw_active_return.mean() - shorts.raw_active_return.mean() - 0.002 * traded)
         before = book
     assert math.isclose(got.information_ratio, math.sqrt(52) * np.mean(net) / np.std(net, ddof=1), rel_tol=1e-9)
+
+
+def test_paths_are_exchanged_as_edges_whatever_the_batches(spark):
+    rng = np.random.default_rng(5)
+    data = [("x", 1, f"T{i:03d}", week(w), float(rng.integers(-2, 3)), float(rng.integers(-2, 3)), rng.normal() / 50) for w in range(3) for i in range(60)]
+    rows = spark.createDataFrame(data, "g string, fold int, ticker string, week_date date, base double, added double, raw_active_return double").coalesce(1)
+    points = [("x", "c", 0.1, 2, 7)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert search.path_edges(rows, points, "raw_active_return").count() == 3 * 7 * 4
+    table = spark.createDataFrame([("x", "c", {"learning_rate": "0.1", "truncation": "2", "n_estimators": "7"})], "g string, candidate string, params map<string,string>")
+    whole = search.blend_path_results(rows, table, ["g"], Layout(60)).collect()
+    kept = spark.conf.get(size)
+    try:
+        spark.conf.set(size, 7)
+        found = pdf(search.path_edges(rows.sortWithinPartitions("g", "week_date", "fold", "ticker"), points, "raw_active_return"))
+        assert search.blend_path_results(rows, table, ["g"], Layout(60)).collect() == whole
+    finally:
+        spark.conf.set(size, kept)
+    frame = pd.DataFrame(data, columns=["g", "fold", "ticker", "week_date", "base", "added", "raw_active_return"])
+    for (t, day), part in found.groupby(["t", "week_date"]):
+        every = frame[frame.week_date == day].copy()
+        every["score"] = every.base * (1 - t * 0.1) + every.added * (t * 0.1)
+        order = ["score", "ticker"]
+        assert part.n.sum() == 60
+        got, want = (x.sort_values(order, ascending=[False, True]).ticker.tolist() for x in (part, every))
+        assert got[:2] == want[:2] and got[-2:] == want[-2:]
