@@ -38,7 +38,7 @@ def forward_returns(returns: DataFrame, layout: Layout | None = None, weeks: Dat
     The exact next week is required; a missing ticker-week is never skipped.
     """
     weeks = observed_weeks(returns) if weeks is None else weeks
-    based = with_benchmark(returns, layout).join(weeks.select("week_date", "next_week_date"), "week_date")
+    based = with_benchmark(returns, layout).join(F.broadcast(weeks.select("week_date", "next_week_date")), "week_date")
     out = based.selectExpr("ticker", "sector", "week_date", "next_week_date", *_lead_exact(AHEAD))
     source = "if(stock_return_fwd is not null, 'raw_feature_snapshot', 'unobserved')"
     return out.selectExpr("*", f"{source} as return_source", "cast(null as string) as return_source_url")
@@ -59,7 +59,7 @@ def realized_outcomes(
     based = with_benchmark(returns, layout)
     ranked = winsor_rank(based, ["week_date", "sector"], "raw_active_return", "ticker", lower, upper, layout)
     scored = zscore(ranked, ["week_date"], "percentile", TARGET, layout).drop("winsorized", "percentile")
-    joined = scored.join(weeks.select("week_date", "next_week_date"), "week_date")
+    joined = scored.join(F.broadcast(weeks.select("week_date", "next_week_date")), "week_date")
     return joined.selectExpr("*", *_lead_exact({**AHEAD, "active_return_fwd": TARGET}))
 
 
