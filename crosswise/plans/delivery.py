@@ -15,7 +15,7 @@ from ..sources.storage import cut_lineage, shared_folder
 from ..streaming import landing, messages
 from . import views
 from .backtests import by_status, frame, members
-from .inputs import feature_panel
+from .inputs import day_tasks, feature_panel, session_days
 from .registry import BLOCKS, query, r, rounded, with_blocks
 
 
@@ -66,11 +66,14 @@ def _(spark, sf):
 @query("k04_build_metadata", with_blocks("elig train dgrid", """select (select max(week_date) from elig) as inference_week, (select count(*) from elig) as panel_rows, (select count(*) from train) as training_rows,
     (select count(*) from elig where eligible and week_date = (select max(week_date) from elig)) as inference_rows, (select count(*) filter (adj_close is null) from dgrid) as missing_ticker_sessions"""))
 def _(spark, sf):
-    panel = feature_panel(spark, sf)
-    grid = cal.session_grid(views.px_daily(spark, sf), views.sessions(spark, sf))
+    days = session_days(spark, sf)
+    grid = cal.session_grid(views.px_daily(spark, sf, day_tasks(spark, sf, days)), days.select("price_date"))
     root = shared_folder(spark)
-    tables = {"weekly_panel": panel, "training": feat.training_rows(panel), "inference": feat.inference_rows(panel)}
-    sinks.write_outputs(tables, root)
+    sinks.write_outputs({"weekly_panel": feature_panel(spark, sf, days)}, root)
+    # Both splits come from the written panel, which is built once.
+    panel = spark.read.parquet(f"{root}/weekly_panel")
+    sinks.write_outputs({"training": feat.training_rows(panel), "inference": feat.inference_rows(panel)}, root)
+    tables = ("weekly_panel", "training", "inference")
     back = {name: spark.read.parquet(f"{root}/{name}") for name in tables}
     return sinks.build_metadata(back["weekly_panel"], back["training"], back["inference"], grid)
 
