@@ -223,12 +223,13 @@ def weekly_rank_metrics(
 def evaluate_exact_q1(
     frame: DataFrame, series: Sequence[str] = ("model",), *, score: str = "score", active: str = "raw_active_return",
     stock: str | None = None, target: str = "active_return_train", cost_bps: float = 5, layout: Layout | None = None,
+    entries: bool = False,
 ) -> DataFrame:
     """B9 with E7 for the exact top 20%: ranks, returns, trades and metrics of
     every week in one pass over the scored rows."""
     state = metric_state(frame, series, score=score, target=target, layout=layout)
     return long_only_weekly(
-        state, series, active=active, stock=stock, cost_bps=cost_bps, extra=WEEKLY_METRICS, carry=[*STATE, "__best"]
+        state, series, active=active, stock=stock, cost_bps=cost_bps, extra=WEEKLY_METRICS, carry=[*STATE, "__best"], entries=entries
     )
 
 

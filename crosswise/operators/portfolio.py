@@ -284,6 +284,7 @@ def long_only_weekly(
     cost_bps: float = LONG_ONLY_BPS,
     extra: dict[str, str] | None = None,
     carry: Sequence[str] = (),
+    entries: bool = False,
 ) -> DataFrame:
     """Returns, trades, costs and coverage of target weights.
 
@@ -291,6 +292,8 @@ def long_only_weekly(
     present so that `extra` aggregates, e.g. ranking metrics, see the whole
     universe in the same pass). Entering after a gap buys the whole book. A week
     that holds nothing (a withheld one) has neither returns nor costs nor turnover.
+    `entries` returns every week twice, told apart by `__entry`: as a successor, and as
+    bought whole from cash, which differs in the dollars traded only.
     """
     keys = [*series, "week_date"]
     priced = rows.selectExpr(
@@ -304,6 +307,8 @@ def long_only_weekly(
         **(extra or {}),
     }
     weekly = weekly_book(priced, series, aggregates, ["__w", "__a", "__s", *carry])
+    if entries:
+        weekly = weekly.withColumn("__entry", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("consecutive", F.col("consecutive") & ~F.col("__entry"))
     dollars = "if(holdings = 0, null, if(consecutive, traded, gross_weight))"
     cost = f"{cost_bps / 10000.0}D * {dollars}"
     return weekly.selectExpr(
@@ -311,7 +316,7 @@ def long_only_weekly(
         f"gross_stock_return - {cost} as net_stock_return",
         f"gross_active_return - {cost} as net_active_return",
         f"{cost} as transaction_cost", f"{dollars} / 2 as turnover",
-        "gross_active_return is not null as complete", *(extra or {}),
+        "gross_active_return is not null as complete", *(extra or {}), *(["__entry"] if entries else []),
     )
 
 

@@ -439,6 +439,10 @@ def gate_weekly(spark, sf):
     return cut_lineage(gt.shared_weekly(gate_scores(gate_rows(spark, sf)), gate_folds(dates), views.universe(spark, sf)))
 
 
+# The gate has one set of dates, all of them; the longer name says so.
+gate_weekly_all_dates = gate_weekly
+
+
 @gated("g01_fold_validation", with_blocks("gmf glo", f"""select as_of, candidate, fold, n as return_weeks, {r('net')} as net_active_return, {r('ir')} as active_ir, {r('t')} as turnover from gmf
     join (select as_of, candidate, fold, avg(turnover) filter (i > 1) as t from (select *, row_number() over (partition by as_of, candidate, fold order by week_date) as i from glo) group by 1, 2, 3) using (as_of, candidate, fold)"""))
 def _(spark, weekly):

@@ -305,3 +305,22 @@ def test_all_dates_follow_the_calendar(spark):
     sf = "/root/testdata/sf0.001"
     weeks = views.dense_weeks(spark, sf).count()
     assert training.gate_weekly_all_dates(spark, sf).select("as_of").distinct().count() == weeks - 259 > 2
+
+
+def test_weeks_are_evaluated_once_for_both_charges(spark, monkeypatch):
+    from helpers import random_frame
+
+    from crosswise.operators.evaluation import evaluate_exact_q1
+
+    scores = spark.createDataFrame(random_frame(n_tickers=9, n_weeks=5, gap=3).rename(columns={"model": "candidate", "stock_return": "raw_stock_return"}))
+    args = {"stock": "raw_stock_return", "layout": SMALL}
+    both = evaluate_exact_q1(scores, ["candidate"], **args, entries=True)
+    after = evaluate_exact_q1(scores, ["candidate"], **args)
+    alone = evaluate_exact_q1(scores.withColumn("entry", scores.week_date), ["candidate", "entry"], **args).drop("entry")
+    for flag, want in ((False, after), (True, alone)):
+        got = both.filter(both["__entry"] == flag).drop("__entry")
+        pd.testing.assert_frame_equal(pdf(got.select(*want.columns), "candidate", "week_date"), pdf(want, "candidate", "week_date"))
+    calls = []
+    monkeypatch.setattr(gt, "evaluate_exact_q1", lambda *a, **k: calls.append(1) or evaluate_exact_q1(*a, **k))
+    gt.shared_weekly(scores, scores.selectExpr("date'2022-03-02' as as_of", "1 as fold", "week_date").distinct(), SMALL)
+    assert len(calls) == 1
