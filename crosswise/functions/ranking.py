@@ -126,18 +126,27 @@ def _ranks_by_range(df, keys, value, tie, descending, position, average, count,
     offsets = sizes.select(
         *keys,
         "__range",
+        "__n",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
     )
     local = Window.partitionBy(*keys, "__range").orderBy("__ord")
-    placed = join_groups(ranged.withColumn("__local", F.row_number().over(local)), offsets, [*keys, "__range"])
-    placed = placed.withColumn("__pos", F.when(F.col("__ord").isNotNull(), F.col("__local") + F.col("__before"))).drop("__ord", "__range", "__local", "__before")
+    numbered = ranged.withColumn("__local", F.row_number().over(local))
+    if average:
+        tied = Window.partitionBy(*keys, "__range").orderBy("__ord.v")
+        numbered = numbered.withColumns({"__lo": F.rank().over(tied), "__hi": F.count("__ord").over(tied.rangeBetween(Window.unboundedPreceding, Window.currentRow))})
+    placed = join_groups(numbered, offsets, [*keys, "__range"])
+    placed = placed.withColumn("__pos", F.when(F.col("__ord").isNotNull(), F.col("__local") + F.col("__before")))
+    extra = {"__v": F.col("__ord.v"), "__edge": (F.col("__lo") == 1) | (F.col("__hi") == F.col("__n")), "__lo": F.col("__lo") + F.col("__before"), "__hi": F.col("__hi") + F.col("__before")}
+    placed = placed.withColumns(extra if average else {}).drop("__ord", "__range", "__local", "__before", "__n")
     placed = cut_lineage(placed)
     if average:
-        ties = placed.filter(F.col("__pos").isNotNull()).groupBy(*keys, value).agg(
-            ((F.min("__pos") + F.max("__pos")) / 2.0).alias("__avg")
-        )
-        placed = join_groups(placed, ties, [*keys, value], "left")
+        # Ties inside a range are whole there. One that goes on in the next range touches its border:
+        # two values a range at most, so no tie, however long, is gathered by its value.
+        ends = placed.filter(F.col("__pos").isNotNull() & F.col("__edge")).groupBy(*keys, "__v").agg(F.min("__lo").alias("__from"), F.max("__hi").alias("__to"))
+        placed = join_groups(placed, F.broadcast(ends), [*keys, "__v"], "left")
+        whole = F.coalesce("__from", "__lo") + F.coalesce("__to", "__hi")
+        placed = placed.withColumn("__avg", F.when(F.col("__pos").isNotNull(), whole / 2.0))
     # Positions are INT like row_number's while every group is below 2^31.
     place = F.col("__pos").cast("int") if layout.group_rows < 2**31 else F.col("__pos")
     wanted = [(position, place), (average, F.col("__avg") if average else None), (count, F.col("__total"))]
