@@ -33,7 +33,7 @@ def to_messages(snapshot: DataFrame, features: Sequence[str], feature_version: s
         F.date_format("week_date", "yyyy-MM-dd").alias("week_date"),
         F.date_format("price_date", "yyyy-MM-dd").alias("price_date"),
         F.col("adj_close").cast("double").alias("adj_close"),
-        *[finite(F.round(F.col(f).cast("double"), 15)).alias(f) for f in features],
+        *[F.round(finite(F.col(f).cast("double")), 15).alias(f) for f in features],
     )
     return snapshot.select(body.alias("m")).select(
         message_key(F.col("m.feature_version"), F.col("m.data_version"), F.col("m.week_date"), F.col("m.Ticker")).alias("key"),
@@ -67,13 +67,20 @@ def subscribe(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     )
 
 
+def once(df: DataFrame, kept: Sequence[str], **made: Column) -> DataFrame:
+    """`kept` and the columns `made`, as generated values: the optimizer puts a plain column's text
+    in place of its name, so that a later filter would make and parse a message once per condition."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
 def parse(messages: DataFrame, features: Sequence[str], feature_version: str) -> DataFrame:
     """M3: typed columns plus `problem`, missing for a valid message.
 
     A feature must be present as a JSON field; its value may be null.
     """
-    fields = F.json_object_keys("value")
-    parsed = messages.withColumn("m", F.from_json("value", message_schema(features)))
+    others = [c for c in messages.columns if c != "value"]
+    parsed = once(once(messages, others, value=F.col("value")), [*others, "value"], m=F.from_json("value", message_schema(features)), __fields=F.json_object_keys("value"))
+    fields = F.col("__fields")
     present = F.size(F.array_except(F.array(*[F.lit(f) for f in features]), F.coalesce(fields, F.array().cast("array<string>")))) == 0
     absent = F.lit(False)
     for c in IDENTIFIERS:
@@ -84,7 +91,6 @@ def parse(messages: DataFrame, features: Sequence[str], feature_version: str) ->
         .when(F.col("m.feature_version") != feature_version, "unexpected_feature_version")
         .when(~present, "missing_features")
     )
-    others = [c for c in messages.columns if c != "value"]
     return parsed.select(
         *others, "value", problem.alias("problem"),
         F.col("m.feature_version").alias("feature_version"), F.col("m.data_version").alias("data_version"),

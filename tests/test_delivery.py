@@ -198,6 +198,15 @@ def feature_messages(spark, rows):
     return messages.to_messages(df, FEATURES, "v1", "d1")
 
 
+def test_messages_are_made_and_parsed_once(spark):
+    """A filter on `problem` repeats neither the encoding nor the parsing of a message."""
+    made = feature_messages(spark, [("A", week(0), 10.0, 0.1), ("B", week(0), 11.0, float("inf")), ("C", week(0), 12.0, None)])
+    valid = messages.valid(messages.parse(made, FEATURES, "v1"))
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(name) for name in ("from_json", "StructsToJsonEvaluator", "jsonObjectKeys")] == [1, 1, 1]
+    assert sorted((r["ticker"], r[FEATURES[0]]) for r in valid.collect()) == [("A", 0.1), ("B", None), ("C", None)]
+
+
 def test_messages_round_trip_and_bad_ones_are_named(spark):
     made = feature_messages(spark, [("A", week(0), 10.0, 0.1), ("B", week(0), 11.0, float("nan"))])
     first = {r["key"]: json.loads(r["value"]) for r in made.collect()}
