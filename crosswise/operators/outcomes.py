@@ -129,12 +129,15 @@ def raw_outcome_violations(panel: DataFrame, returns: DataFrame, layout: Layout
 
 
 def raw_outcomes(panel: DataFrame, returns: DataFrame, layout: Layout | None = None, check: bool = True) -> DataFrame:
-    """Validated raw active return per panel row."""
+    """Validated raw active return per panel row. Rows that are their own panel are not joined with themselves."""
     if check:
         require_none(raw_outcome_violations(panel, returns, layout), "Raw returns do not match the panel")
-    joined = panel.select("ticker", "sector", "week_date").join(
-        returns.select("ticker", "week_date", "return_1w"), ["ticker", "week_date"]
-    )
+    if panel is returns:
+        joined = returns.select("ticker", "sector", "week_date", "return_1w").dropna(subset=["ticker", "week_date"])
+    else:
+        joined = panel.select("ticker", "sector", "week_date").join(
+            returns.select("ticker", "week_date", "return_1w"), ["ticker", "week_date"]
+        )
     return with_benchmark(joined, layout).select(
         "ticker", "week_date", "raw_active_return", F.col("return_1w").alias("raw_stock_return")
     )

@@ -54,10 +54,11 @@ BETA = f"({CAY} * {CBB} - {CBY} * {CAB}) / {DET} as ba, ({CBY} * {CAA} - {CAY} *
 BLOCKS["tfit"] = ("twin tgram", f"select *, (sy - ba * sa - bb * sb) / n as b0 from (select *, {BETA} from (select as_of, first, {SUMS} from twin join tgram using (week_date) group by 1, 2))")
 
 
-def train_panel(spark, sf):
-    """Panel over the gap-free view with two features, stored as training reads
-    it: several window passes then scan columns instead of rebuilding it."""
-    return cut_lineage(pan.build_panel(views.dense_returns(spark, sf).select("ticker", "sector", "week_date", *TWO), directions=TWO,
+def train_panel(spark, sf, returns=None):
+    """Panel over the gap-free view (or its `returns`, where a plan has them stored) with two features,
+    stored as training reads it: several window passes then scan columns instead of rebuilding it."""
+    returns = views.dense_returns(spark, sf) if returns is None else returns
+    return cut_lineage(pan.build_panel(returns.select("ticker", "sector", "week_date", *TWO), directions=TWO,
                                        layout=views.universe(spark, sf), weeks=views.dense_weeks(spark, sf), check=False))
 
 
@@ -145,12 +146,13 @@ def _(spark, sf):
 @query("w05_window_outcomes", with_blocks("twin trows target", f"""select as_of, t.ticker, t.week_date, {r('raw_active_return')} as raw_active_return
     from twin join trows t using (week_date) join target o on o.ticker = t.ticker and o.week_date = t.week_date"""))
 def _(spark, sf):
-    """Outcomes are attached once per row; windows are joined afterwards."""
-    panel, rets = train_panel(spark, sf), views.dense_returns(spark, sf)
+    """Outcomes are attached and rounded once per row; windows, pairs of weeks, are broadcast to them afterwards."""
+    rets = cut_lineage(views.dense_returns(spark, sf).select("ticker", "sector", "week_date", *TWO))
+    panel = train_panel(spark, sf, rets)
     rows = win.complete_rows(panel, list(TWO), START).select("ticker", "week_date")
-    attached = out.attach_outcomes(rows, out.raw_outcomes(rets, rets, views.universe(spark, sf), check=False))
+    attached = out.attach_outcomes(rows, out.raw_outcomes(rets, rets, views.universe(spark, sf), check=False).select("ticker", "week_date", "raw_active_return"))
     windows = win.window_weeks(panel, list(TWO), data_start=START)
-    return rounded(attached.join(windows, "week_date").select("as_of", "ticker", "week_date", "raw_active_return"))
+    return rounded(attached).join(F.broadcast(windows), "week_date").select("as_of", "ticker", "week_date", "raw_active_return")
 
 
 def tree_search(spark, sf):

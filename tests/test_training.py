@@ -324,3 +324,13 @@ def test_weeks_are_evaluated_once_for_both_charges(spark, monkeypatch):
     monkeypatch.setattr(gt, "evaluate_exact_q1", lambda *a, **k: calls.append(1) or evaluate_exact_q1(*a, **k))
     gt.shared_weekly(scores, scores.selectExpr("date'2022-03-02' as as_of", "1 as fold", "week_date").distinct(), SMALL)
     assert len(calls) == 1
+
+
+def test_rows_that_are_their_own_panel_are_not_joined_with_themselves(spark):
+    from crosswise.operators import outcomes as out
+
+    rows = [(f"T{i}", f"S{i % 2}", week(w), None if (i, w) == (3, 1) else i / 50 - w / 40) for i in range(6) for w in range(3)]
+    returns = spark.createDataFrame([*rows, (None, "S0", week(0), 0.5)], "ticker string, sector string, week_date date, return_1w double")
+    own, joined = (out.raw_outcomes(panel, returns, check=False) for panel in (returns, returns.select("*")))
+    assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, own.collect())) == sorted(map(str, joined.collect())) and own.count() == 18
