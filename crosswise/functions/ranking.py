@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,3 +153,114 @@ def _ranks_by_range(df, keys, value, tie, descending, position, average, count,
     place = F.col("__pos").cast("int") if layout.group_rows < 2**31 else F.col("__pos")
     wanted = [(position, place), (average, F.col("__avg") if average else None), (count, F.col("__total"))]
     return placed.select(*keep, *[c.alias(dst) for dst, c in wanted if dst])
+
+
+# --- correlation of ranks ------------------------------------------------------
+
+# Ranges cut for each task's worth of rows, and tasks that take the rows of one value that is a cut.
+RANGES, SPREAD = 4, 16
+
+
+def _range_of(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Number of each value's range: even between two cuts, odd for the values of one cut."""
+    at = np.searchsorted(cuts, x)
+    return (2 * at + (np.append(cuts, np.nan)[at] == x)).astype(np.int32)
+
+
+def _by_value(table: pa.Table, keys: Sequence[str], value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by (group, value), where in it each run of equal ones starts, and which runs open a group."""
+    codes = np.zeros(len(table), dtype=np.int64)
+    for key in keys:
+        own = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        codes = np.unique(codes * len(table) + own, return_inverse=True)[1]
+    x = table.column(value).to_numpy()
+    order = np.lexsort((x, codes))
+    x, codes = x[order], codes[order]
+    opens = np.diff(codes, prepend=-1) != 0
+    starts = np.flatnonzero(opens | np.append(True, x[1:] != x[:-1]))
+    return order, starts, opens[starts]
+
+
+def _local_ranks(sizes: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Average rank of each run, counted inside its group."""
+    before = np.cumsum(sizes) - sizes
+    return before - before[np.flatnonzero(opens)][np.cumsum(opens) - 1] + (sizes + 1) / 2.0
+
+
+def rank_correlation(stored: DataFrame, keys: Sequence[str], a: str, b: str, out: str, layout: Layout) -> DataFrame:
+    """(keys, `out`): correlation of the average ranks of `a` and `b` in each group, over the rows that hold both,
+    exact for groups of any size; missing where one of them is constant. `stored` is read several times.
+
+    Both columns are cut into ranges of a bounded number of rows; a value that many rows share is a
+    cut, whose rank follows from the counts of the ranges. Rows meet once by the range of `a`, where
+    they get its rank, and leave added up by `b`; those sums meet by the range of `b` and leave
+    as one row per group and range. No row is stored, joined back or sorted by its whole group."""
+    keys = list(keys)
+    rows = stored.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b"))
+    kinds = dict(rows.dtypes)
+    names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    ranges = RANGES * -(-rows.count() // layout.task_rows)
+    points = [i / ranges for i in range(1, ranges)]
+    # Cuts only steer the work: a poor one costs balance, not exactness.
+    found = rows.agg(*[F.percentile_approx(c, points, max(10_000, 20 * ranges)) for c in ("__a", "__b")]).first() if points else (None, None)
+    cuts_a, cuts_b = (np.unique(np.array(c or [], dtype=float)) for c in found)
+
+    def counted(batches):
+        for batch in batches:
+            for side, column, cuts in (("a", "__a", cuts_a), ("b", "__b", cuts_b)):
+                own = pa.table([*batch.select(keys).columns, _range_of(batch.column(column).to_numpy(zero_copy_only=False), cuts)], names=[*keys, "__range"])
+                sizes = own.group_by([*keys, "__range"], use_threads=False).aggregate([([], "count_all")])
+                columns = [sizes.column(c) for c in (*keys, "__range", "count_all")]
+                yield from pa.table([*columns, pa.repeat(side, len(sizes))], names=[*keys, "__range", "__n", "__side"]).to_batches()
+
+    def ranged(batches):
+        for batch in batches:
+            range_a, range_b = (_range_of(batch.column(c).to_numpy(zero_copy_only=False), cuts) for c, cuts in (("__a", cuts_a), ("__b", cuts_b)))
+            # The ranks of a cut's rows are known: they are spread, in the order in which they are read.
+            part = np.where(range_a % 2, np.arange(len(range_a)) % SPREAD, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (range_a, range_b, part))], names=[*batch.schema.names, "__ra", "__rb", "__part"])
+
+    placed = rows.mapInArrow(ranged, f"{names}, __a double, __b double, __ra int, __rb int, __part int")
+    counts = rows.mapInArrow(counted, f"{names}, __range int, __n bigint, __side string")
+    sizes = counts.groupBy(*keys, "__side", "__range").agg(F.sum("__n").alias("__n"))
+    side = Window.partitionBy(*keys, "__side")
+    earlier = F.coalesce(F.sum("__n").over(side.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = F.when(F.col("__range") % 2 == 1, (F.col("__n") + 1) / 2.0).otherwise(0.0)
+    # Ranks count from the middle of the group, so that sums of products cancel nothing.
+    base = earlier + middle - (F.sum("__n").over(side) + 1) / 2.0
+    bases = cut_lineage(sizes.select(*keys, "__side", "__range", base.alias("__base")))
+
+    def based(df: DataFrame, side: str, column: str) -> DataFrame:
+        own = bases.filter(F.col("__side") == side).drop("__side").withColumnRenamed("__range", column)
+        return join_groups(df, own, [*keys, column])
+
+    def rank_a(table: pa.Table) -> pa.Table:
+        ranks = table.column("__base").to_numpy().copy()
+        if table.column("__ra")[0].as_py() % 2 == 0:
+            order, starts, opens = _by_value(table, keys, "__a")
+            counts = np.diff(starts, append=len(order))
+            ranks[order] += np.repeat(_local_ranks(counts, opens), counts)
+        order, starts, _ = _by_value(table, keys, "__b")
+        ranks = ranks[order]
+        kept = table.select([*keys, "__rb", "__b"]).take(pa.array(order[starts]))
+        sums = [np.diff(starts, append=len(order)), np.add.reduceat(ranks, starts), np.add.reduceat(ranks * ranks, starts)]
+        return pa.table([*kept.columns, *map(pa.array, sums)], names=[*kept.column_names, "__w", "__s", "__q"])
+
+    def rank_b(table: pa.Table) -> pa.Table:
+        order, starts, opens = _by_value(table, keys, "__b")
+        w, s, q = (np.add.reduceat(table.column(c).to_numpy()[order], starts) for c in ("__w", "__s", "__q"))
+        odd = table.column("__rb")[0].as_py() % 2
+        rank = np.zeros(len(w)) if odd else _local_ranks(w, opens)
+        groups = np.flatnonzero(opens)
+        kept = table.select([*keys, "__rb"]).take(pa.array(order[starts[groups]]))
+        sums = [np.add.reduceat(x, groups) for x in (w.astype(float), s, q, s * rank, w * rank, w * rank * rank)]
+        return pa.table([*kept.columns, *map(pa.array, sums)], names=[*kept.column_names, "__w", "__s", "__q", "__sl", "__wl", "__wll"])
+
+    ranked = based(placed, "a", "__ra").groupBy("__ra", "__part").applyInArrow(rank_a, f"{names}, __rb int, __b double, __w bigint, __s double, __q double")
+    summed = ranked.groupBy("__rb").applyInArrow(rank_b, f"{names}, __rb int, __w double, __s double, __q double, __sl double, __wl double, __wll double")
+    total = based(summed, "b", "__rb").groupBy(*keys).agg(
+        F.expr("sum(__base * __s + __sl)").alias("__ab"),
+        F.expr("sum(__q)").alias("__aa"),
+        F.expr("sum(__base * __base * __w + 2 * __base * __wl + __wll)").alias("__bb"),
+    )
+    return total.select(*keys, F.try_divide(F.col("__ab"), F.sqrt("__aa") * F.sqrt("__bb")).alias(out))

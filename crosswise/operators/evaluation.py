@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.checks import require_none
 from ..functions.columns import finite, finite_sql
 from ..functions.layout import Layout, resolve
-from ..functions.ranking import add_group_stats, add_ranks
+from ..functions.ranking import add_group_stats, add_ranks, join_groups, rank_correlation
+from ..sources.storage import cut_lineage
 from .portfolio import MIN_UNIVERSE, cost_scenarios, information_ratio, long_only_weekly, long_short_weight, weekly_book
 
 MODEL_WEEK = ("model", "week_date")
@@ -29,34 +30,40 @@ def regression_metrics(
 ) -> DataFrame:
     """Errors and correlations per group; undefined figures are missing.
 
-    Only the rank correlation needs ordering; it uses the split-capable ranks,
-    so a group may be a whole model history. Groups without a valid pair keep
-    a row with n = 0.
+    Only the rank correlation needs ordering, which a group beyond the bound gets
+    by ranges, so it may be a whole model history. The pairs are stored once where
+    they are read more than once. Groups without a valid pair keep a row with n = 0.
     """
     keys = list(keys)
-    layout = resolve(layout, frame, keys)
     a, p = finite(actual), finite(predicted)
     both = a.isNotNull() & p.isNotNull()
-    rows = frame.select(*keys, "week_date" if "week_date" not in keys else F.lit(None).alias("__w"), "ticker",
-                        F.when(both, a).alias("__a"), F.when(both, p).alias("__p"))
-    tie = [c for c in rows.columns if c in ("week_date", "ticker") and c not in keys]
-    ranked = add_ranks(rows, keys, "__a", tie=tie, average="__ra", layout=layout)
-    ranked = add_ranks(ranked, keys, "__p", tie=tie, average="__rp", layout=layout)
+    rows = frame.select(*keys, F.when(both, a).alias("__a"), F.when(both, p).alias("__p"))
+    if layout is None or layout.splits > 1:
+        rows = cut_lineage(rows)
+        layout = resolve(layout, rows, keys)
+    split = layout.splits > 1
+    if not split:
+        rows = add_ranks(rows, keys, "__a", average="__ra", layout=layout)
+        rows = add_ranks(rows, keys, "__p", average="__rp", layout=layout)
     err = F.col("__a") - F.col("__p")
     n = F.count("__a")
     varied, spread = F.var_pop("__a"), F.var_pop("__p")
+    defined = (n > 1) & (varied > 0) & (spread > 0)
     mse = F.avg(err * err)
-    out = ranked.groupBy(*keys).agg(
+    out = rows.groupBy(*keys).agg(
         n.alias("n"),
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
         F.when((n > 1) & (varied > 0), 1 - mse / varied).alias("r2"),
-        F.when((n > 1) & (varied > 0) & (spread > 0), _correlation("__a", "__p")).alias("pearson_ic"),
-        F.when((n > 1) & (varied > 0) & (spread > 0), _correlation("__ra", "__rp")).alias("spearman_ic"),
+        F.when(defined, _correlation("__a", "__p")).alias("pearson_ic"),
+        defined.alias("spearman_ic") if split else F.when(defined, _correlation("__ra", "__rp")).alias("spearman_ic"),
         F.avg(F.col("__a") * F.col("__a")).alias("zero_baseline_mse"),
     )
-    return out
+    if not split:
+        return out
+    ranked = join_groups(out, rank_correlation(rows, keys, "__a", "__p", "__rank_ic", layout), keys, "left")
+    return ranked.withColumn("spearman_ic", F.when(F.col("spearman_ic"), F.col("__rank_ic"))).drop("__rank_ic")
 
 
 def ic_statistics(weekly: DataFrame, ic: str = "spearman_ic", keys: Sequence[str] = ("model",)) -> DataFrame:
